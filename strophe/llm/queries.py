@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strophe.llm import packing, simhash, vbyte
+from strophe.llm import boosting, ordinal, packing, simhash, vbyte
 from strophe.llm.common import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return boosting.score(docs, boosting.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_VOCABULARY)
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path, "words", end_id=1))
@@ -21,11 +26,16 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, max_distance=4)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.score(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_VOCABULARY)
     files = vbyte.write(table(spark, sf_dir, "documents"), path, "bytes", end_id=0)
     return vbyte.digest(vbyte.read(spark, files))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_simhash_near_dedup, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_best_fit_packing, op5_simhash_near_dedup, op6_toxicity, op9_token_files)}
 ORACLE_SQL: dict[str, str] = {}
