@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strophe.llm import boosting, ordinal, packing, simhash, vbyte
+from strophe.llm import ann, boosting, ordinal, packing, simhash, vbyte
 from strophe.llm.common import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return boosting.score(docs, boosting.train(docs, table(spark, sf_dir, "labels")))
@@ -37,5 +42,5 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vbyte.digest(vbyte.read(spark, files))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_best_fit_packing, op5_simhash_near_dedup, op6_toxicity, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_collision_counting_ann, op2_quality_classifier, op4_best_fit_packing, op5_simhash_near_dedup, op6_toxicity, op9_token_files)}
 ORACLE_SQL: dict[str, str] = {}
