@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strophe.llm import ann, boosting, ordinal, packing, simhash, vbyte
+from strophe.llm import ann, boosting, ordinal, packing, repeats, simhash, vbyte
 from strophe.llm.common import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -36,11 +36,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.score(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.strip(table(spark, sf_dir, "documents"), length=400))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_VOCABULARY)
     files = vbyte.write(table(spark, sf_dir, "documents"), path, "bytes", end_id=0)
     return vbyte.digest(vbyte.read(spark, files))
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_counting_ann, op2_quality_classifier, op4_best_fit_packing, op5_simhash_near_dedup, op6_toxicity, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_collision_counting_ann, op2_quality_classifier, op4_best_fit_packing, op5_simhash_near_dedup, op6_toxicity, op8_suffix_array_dedup, op9_token_files)}
 ORACLE_SQL: dict[str, str] = {}
