@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strophe.llm import ann, boosting, ordinal, packing, repeats, simhash, vbyte
+from strophe.llm import ann, boosting, decontam, ordinal, packing, pii, repeats, secrets, simhash, vbyte
 from strophe.llm.common import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.score(docs, boosting.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_VOCABULARY)
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path, "words", end_id=1))
@@ -36,6 +40,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.score(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.strip(table(spark, sf_dir, "documents"), length=400))
 
@@ -46,5 +54,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vbyte.digest(vbyte.read(spark, files))
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_counting_ann, op2_quality_classifier, op4_best_fit_packing, op5_simhash_near_dedup, op6_toxicity, op8_suffix_array_dedup, op9_token_files)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_collision_counting_ann, op2_quality_classifier, op3_template_decontamination, op4_best_fit_packing, op5_simhash_near_dedup, op6_toxicity, op7_secret_scan, op8_suffix_array_dedup, op9_token_files, op10_personal_data)}
 ORACLE_SQL: dict[str, str] = {}
