@@ -72,14 +72,14 @@ def windows(rows: DataFrame, ids: list[str], sizes: list[int], shortest: int) ->
     return out.withColumn("v", F.array_compact("v")).filter(F.size("v") * 2 <= F.col("size")).withColumnRenamed("v", "slots")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6, share: float = 0.6, shortest: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows): a row for each document and item that it holds."""
+def _matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6, share: float = 0.6, shortest: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, tkey, item_id, n_windows, item_windows); ``tkey`` stands for the text."""
     items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text"))
     counted = items.select("item_id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("n"), "text").filter(F.col("n") >= shortest)
     counted = counted.withColumn("own", F.least("n", F.lit(window)))
     sizes = sorted(r[0] for r in counted.select("own").distinct().collect())  # at most ``window`` values
     if not sizes:
-        return docs.sparkSession.createDataFrame([], f"doc_id long, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_windows long, item_windows long")
+        return docs.sparkSession.createDataFrame([], f"doc_id long, tkey long, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_windows long, item_windows long")
     ours = windows(counted.select("item_id", "own", "text"), ["item_id", "own"], sizes, shortest).filter("size = own")
     ours = materialize(ours.select("item_id", "key", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")), "item-windows")
     need = ours.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
@@ -97,5 +97,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6
     agrees = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
     lines = lines.select("doc_id", "tkey", "item_id", F.when(agrees, F.col("every")).otherwise(F.col("plain")).alias("found"))
     held = lines.groupBy("doc_id", "tkey", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("n_windows"))
-    out = held.join(small_side(need), "item_id").filter(F.col("n_windows") >= F.col("need"))
+    return held.join(small_side(need), "item_id").filter(F.col("n_windows") >= F.col("need")).drop("need")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """(doc_id, item_id, n_windows, item_windows): a row for each document and item that it holds."""
+    out = _matches(docs, benchmark, **kw)
     return out.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no item."""
+    bad = materialize(_matches(docs, benchmark, **kw).select(F.col("tkey").alias("_bad_text")).distinct(), "contaminated")
+    return docs.join(bad, F.xxhash64(docs["text"].cast("string")) == bad["_bad_text"], "left_anti")

@@ -186,3 +186,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4) -> D
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"),
     )
+
+
+def deduplicate(docs: DataFrame, words: int = 4, max_distance: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: the smallest doc_id, once.
+
+    Among rows with that id the one with the smallest text stays. Rows with a null doc_id are kept.
+    """
+    found = near_duplicates(docs, words, max_distance).filter("doc_id != component_id").select(F.col("doc_id").alias("_other"))
+    others = materialize(found.distinct(), "other-copies")
+    kept = docs.join(others, docs["doc_id"].cast("long") == others["_other"], "left_anti")
+    again = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1 and _id is not null")
+    again = materialize(again.select("_id"), "repeated-ids")
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(again, kept["doc_id"] == again["_id"], "left_semi").orderBy("text").dropDuplicates(["doc_id"])
+    return kept.join(again, kept["doc_id"] == again["_id"], "left_anti").unionByName(once)

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Characters whose class (letter, digit, space, other) is the same for ``re`` and the tokenizer.
 PLAIN = re.compile("[\t\n\r -~¡-©«-±´¶-¸»¿-ÿ]*")
 SPACED = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 CACHED_CHARS = 32
 
 
@@ -42,35 +42,22 @@ class Encoder:
     for a lower-casing one that drops white space. ``limit`` bounds each cache (about 150 bytes an entry).
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, kind: str, limit: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
-        pieces = _Bounded(self.whole, limit)
-        if kind == "bytes":
-            self.chunks = _Bounded(lambda chunk: b"".join(map(pieces.__getitem__, SPACED.findall(chunk))), limit)
-        else:
-            self.chunks = pieces
+        self.pieces = _Bounded(self.whole, limit)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         if "<|" in text or not (text.isascii() or PLAIN.fullmatch(text)):
             return self.whole(text)
         if self.kind == "words":  # white space parts pieces and is dropped
-            return b"".join(map(self.chunks.__getitem__, text.split()))
-        lines = text.split("\n")
-        if all(x and x == x.strip() and "  " not in x and "\t" not in x and "\r" not in x for x in lines):
-            # one space or one line break between words: a space goes to the word after it, a break stands alone
-            out = []
-            for k, line in enumerate(lines):
-                first, *rest = line.split(" ")
-                out += ["\n", first] if k else [first]
-                out += [" " + word for word in rest]
-            return b"".join(map(self.chunks.__getitem__, out))
-        return b"".join(map(self.chunks.__getitem__, SPACED.findall(text)))
+            return b"".join(map(self.pieces.__getitem__, WORDS.findall(text.lower())))
+        return b"".join(map(self.pieces.__getitem__, SPACED.findall(text)))
 
 
 _encoders: dict[tuple, Encoder] = {}
