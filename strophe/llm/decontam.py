@@ -34,9 +34,14 @@ UNITS = (
 NUMBER_WORDS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "twelve", "twenty", "hundred", "thousand")
 
 
-def tokens(text: Column) -> Column:
-    """array<struct<t, v>>: template token and, for placeholders, the value in the slot."""
-    raw = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def with_tokens(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """``ids``, t, v: template tokens of ``text`` and, for placeholders, the values in the slots.
+
+    The raw tokens are a column of their own, so that a text is cut once and not for each token.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    cut = rows.select(*ids, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("raw"))
+    raw = F.col("raw")
     is_number = lambda x: (x >= "0") & (x < ":")  # noqa: E731  by its first character
     is_stop = lambda x: x < "0"
 
@@ -52,42 +57,42 @@ def tokens(text: Column) -> Column:
             .otherwise(F.struct(low.alias("t"), F.lit(None).cast("string").alias("v")))
         )
 
-    return F.filter(F.transform(raw, typed), lambda s: s["t"].isNotNull())
+    both = cut.select(*ids, F.filter(F.transform(raw, typed), lambda s: s["t"].isNotNull()).alias("tokens"))
+    return both.select(*ids, F.col("tokens.t").alias("t"), F.col("tokens.v").alias("v"))
 
 
-def windows(rows: DataFrame, ids: list[str], sizes: list[int], shortest: int) -> DataFrame:
+def windows(rows: DataFrame, ids: list[str], sizes: list[int]) -> DataFrame:
     """``ids``, size, at, key, slots: every usable window of ``text``."""
-    cut = rows.select(*ids, tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tokens"))
-    cut = cut.filter(F.size("tokens") >= shortest).select(*ids, F.col("tokens.t").alias("t"), F.col("tokens.v").alias("v"))
+    hashed = with_tokens(rows, ids).select(*ids, F.transform("t", lambda x: F.xxhash64(x)).alias("h"), "v")
 
     def one(size: int) -> Column:
         def window(i: Column) -> Column:
-            return F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice("t", i + 1, size)).alias("key"), F.slice("v", i + 1, size).alias("v"))
+            return F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice("h", i + 1, size)).alias("key"), F.array_compact(F.slice("v", i + 1, size)).alias("slots"))
 
-        whole = F.when(F.size("t") >= size, F.sequence(F.lit(0), F.size("t") - size)).otherwise(F.array().cast("array<int>"))
+        whole = F.when(F.size("h") >= size, F.sequence(F.lit(0), F.size("h") - size)).otherwise(F.array().cast("array<int>"))
         return F.transform(whole, window)
 
     each = F.explode(F.concat(*[one(n) for n in sizes]) if len(sizes) > 1 else one(sizes[0])).alias("w")
-    out = cut.select(*ids, each).select(*ids, "w.size", "w.at", "w.key", "w.v")
-    return out.withColumn("v", F.array_compact("v")).filter(F.size("v") * 2 <= F.col("size")).withColumnRenamed("v", "slots")
+    out = hashed.select(*ids, each).select(*ids, "w.size", "w.at", "w.key", "w.slots")
+    return out.filter(F.size("slots") * 2 <= F.col("size"))
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6, share: float = 0.6, shortest: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, tkey, item_id, n_windows, item_windows); ``tkey`` stands for the text."""
     items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text"))
-    counted = items.select("item_id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("n"), "text").filter(F.col("n") >= shortest)
+    counted = with_tokens(items, ["item_id", "text"]).select("item_id", F.size("t").alias("n"), "text").filter(F.col("n") >= shortest)
     counted = counted.withColumn("own", F.least("n", F.lit(window)))
     sizes = sorted(r[0] for r in counted.select("own").distinct().collect())  # at most ``window`` values
     if not sizes:
         return docs.sparkSession.createDataFrame([], f"doc_id long, tkey long, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_windows long, item_windows long")
-    ours = windows(counted.select("item_id", "own", "text"), ["item_id", "own"], sizes, shortest).filter("size = own")
+    ours = windows(counted.select("item_id", "own", "text"), ["item_id", "own"], sizes).filter("size = own")
     ours = materialize(ours.select("item_id", "key", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")), "item-windows")
     need = ours.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
     need = need.withColumn("need", F.least(F.lit(least), F.ceil(F.col("item_windows") * share)))
     small = ours.count() <= broadcast_rows
     small_side = F.broadcast if small else (lambda df: df)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
-    theirs = windows(rows, ["doc_id", "tkey"], sizes, shortest).select("doc_id", "tkey", "key", "at", "slots")
+    theirs = windows(rows, ["doc_id", "tkey"], sizes).select("doc_id", "tkey", "key", "at", "slots")
     hits = materialize(theirs.join(small_side(ours), "key").drop("key"), "window-hits")
     # along one alignment, each value of the item must stand for one value of the text
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
