@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from strophe.plans import parse_queries, quality_queries, store_queries, text_queries
+
+_MODULES = (text_queries, parse_queries, store_queries, quality_queries)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: query for m in _MODULES for name, query in m.ORACLE_SQL.items()}
