@@ -102,7 +102,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int
     agrees = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
     lines = lines.select("doc_id", "tkey", "item_id", F.when(agrees, F.col("every")).otherwise(F.col("plain")).alias("found"))
     held = lines.groupBy("doc_id", "tkey", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("n_windows"))
-    return held.join(small_side(need), "item_id").filter(F.col("n_windows") >= F.col("need")).drop("need")
+    need = need.withColumnRenamed("item_id", "_item")
+    return held.join(small_side(need), F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item").filter(F.col("n_windows") >= F.col("need")).drop("need")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
