@@ -108,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, grades: int = 4, train_rows: int =
                 n.update(words)
                 if y:
                     toxic.update(words)
-            yield pd.DataFrame({"word": list(n), "n": list(n.values()), "toxic": [toxic[w] for w in n]})
+            if n:  # an empty frame has no string column
+                yield pd.DataFrame({"word": list(n), "n": list(n.values()), "toxic": [toxic[w] for w in n]})
 
     total, bad = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     rate = bad / max(1, total)
