@@ -64,26 +64,30 @@ def randomness(token: Column) -> Column:
         return F.element_at(F.transform(F.array(value), body), 1)
 
     def tests(s: Column) -> Column:
-        n, k, v = s["n"], s["k"], s["v"]
+        n, k, v, high, mean = s["n"], s["k"], s["v"], s["high"], s["mean"]
         square = F.aggregate(F.transform(F.array_distinct(v), lambda c: F.pow(F.size(F.filter(v, lambda x: x == c)).cast("double"), F.lit(2.0))), F.lit(0.0), lambda x, y: x + y)
         chi2, df = square * k / n - n, k - 1
         z_chi = (F.pow(F.greatest(chi2, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - F.lit(2.0) / (9 * df))) / F.sqrt(F.lit(2.0) / (9 * df))
-        high = F.transform(v, lambda x: F.when(x * 2 >= k, 1.0).otherwise(0.0))
         ones = F.aggregate(high, F.lit(0.0), lambda x, y: x + y)
         zeros = n - ones
         changes = F.aggregate(F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high) - 1), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda x, y: x + y)
         mean_runs = F.lit(2.0) * ones * zeros / n + 1
         var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
         z_runs = F.when((ones == 0) | (zeros == 0) | (var_runs <= 0), F.lit(8.0)).otherwise(F.abs(changes + 1 - mean_runs) / F.sqrt(F.greatest(var_runs, F.lit(1e-9))))
-        mean = F.aggregate(v, F.lit(0.0), lambda x, y: x + y) / n
         spread = F.aggregate(v, F.lit(0.0), lambda x, y: x + (y - mean) * (y - mean))
         lag = F.aggregate(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda x, y: (x - mean) * (y - mean)), F.lit(0.0), lambda x, y: x + y)
         z_serial = F.when(spread <= 0, F.lit(8.0)).otherwise(F.abs(lag / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n))
         logs = -(F.log(_normal_tail(z_chi)) + F.log(F.least(2 * _normal_tail(z_runs), F.lit(1.0))) + F.log(F.least(2 * _normal_tail(z_serial), F.lit(1.0))))
         return F.exp(-logs) * (1 + logs + logs * logs / 2)  # Fisher: chi-squared with six degrees of freedom
 
+    def measured(s: Column) -> Column:
+        """With what the tests use for every letter: a lambda would work it out again each time."""
+        high = F.transform(s["v"], lambda x: F.when(x * 2 >= s["k"], 1.0).otherwise(0.0))
+        mean = F.aggregate(s["v"], F.lit(0.0), lambda x, y: x + y) / s["n"]
+        return F.struct(s["n"].alias("n"), s["k"].alias("k"), s["v"].alias("v"), high.alias("high"), mean.alias("mean"))
+
     places = lambda a: F.transform(F.split(a["text"], ""), lambda c: (F.instr(a["letters"], c) - 1).cast("double"))
-    return let(_alphabet(token), lambda a: F.when(F.length(a["text"]) < 2, F.lit(0.0)).otherwise(let(F.struct(F.length(a["text"]).cast("double").alias("n"), a["k"].cast("double").alias("k"), places(a).alias("v")), tests)))
+    return let(_alphabet(token), lambda a: F.when(F.length(a["text"]) < 2, F.lit(0.0)).otherwise(let(F.struct(F.length(a["text"]).cast("double").alias("n"), a["k"].cast("double").alias("k"), places(a).alias("v")), lambda s: let(measured(s), tests))))
 
 
 def length_class(token: Column) -> Column:
