@@ -97,7 +97,7 @@ def search_cell(
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = 64, threshold: float = 0.65, share: float = 0.12,
+    vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = 128, threshold: float = 0.65, share: float = 0.3,
     growth: float = 1.25, seed: int = 11, shard_rows: int = 3000, block_rows: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``queries``.
