@@ -4,9 +4,12 @@ A string of ``length`` bytes has an *anchor*: the place of its smallest hashed 1
 ties. Equal strings have equal anchors, so strings that could be equal meet if text is dealt out by
 anchor. Runs of starts with one anchor form a segment (the starts, and the bytes their strings cover).
 
-1. Anchors that occur once in the corpus cannot hold a repeat and are dropped. That leaves little text.
-2. Segments of the same bytes under one anchor are counted and entered twice at most: a string needs
-   only one other start.
+1. Anchors that occur once in the corpus cannot hold a repeat and are dropped. A string reaches at least
+   half of its other bytes to one side of its anchor, so segments that share neither the half before
+   their anchor nor the half behind it with another one cannot either. That leaves little text.
+2. Segments of the same bytes under one anchor are entered once with their number: if there are two, all
+   their strings have another start, whatever else the shard holds. An anchor with one such segment alone
+   leaves nothing to be sorted.
 3. Where more than ``group`` different segments share an anchor (a passage that very many documents
    hold, in as many surroundings), they are cut into blocks of ``refine`` starts and dealt by the bytes
    that all strings of a block share; blocks that are still too many together are cut into single
@@ -86,14 +89,24 @@ def _uid(key: int, align: int, content: bytes) -> bytes:
     return xxhash.xxh3_128_digest(content, seed=(key ^ align) & (2**64 - 1))
 
 
+def _sides(raw: bytes, place: int, low: int, high: int, length: int) -> tuple[int, int]:
+    """Hashes of the anchor with the half of a string before and behind it; 0 where no string has that much."""
+    import xxhash
+
+    half = (length - GRAM) // 2
+    left = xxhash.xxh3_64_intdigest(raw[place - half : place + GRAM], seed=1) if low <= place - half else 0
+    right = xxhash.xxh3_64_intdigest(raw[place : place + GRAM + half], seed=2) if high + length >= place + GRAM + half else 0
+    return left - (left >> 63 << 64), right - (right >> 63 << 64)
+
+
 def _scan(length: int):
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for doc, text, tkey in zip(b["doc"], b["text"], b["tkey"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(k, _uid(k, a - p + length, raw[a : z + length]), tkey, doc, a, z, a - p + length) for k, p, a, z in _segments(raw, length)]
-            yield pd.DataFrame(out, columns=["key", "uid", "tkey", "doc", "low", "high", "align"])
+                out += [(k, _uid(k, a - p + length, raw[a : z + length]), tkey, doc, a, z, a - p + length, *_sides(raw, p, a, z, length)) for k, p, a, z in _segments(raw, length)]
+            yield pd.DataFrame(out, columns=["key", "uid", "tkey", "doc", "low", "high", "align", "left", "right"])
 
     return each
 
@@ -138,10 +151,8 @@ def _children(length: int, width: int):
 def _marks(length: int):
     def shard(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("uid", ignore_index=True)
-        twice = [c for c, n in zip(b["content"], b["many"], strict=True) for _ in range(2 if n > 1 else 1)]
-        found = repeated_starts(twice, length)
-        at = np.cumsum(np.where(b["many"] > 1, 2, 1)) - 1
-        runs = [_runs(found[k]) for k in at]
+        found = repeated_starts(b["content"].tolist(), length)
+        runs = [([0], [len(f)]) if n > 1 else _runs(f) for f, n in zip(found, b["many"], strict=True)]
         return pd.DataFrame({"uid": b["uid"], "begin": [r[0] for r in runs], "end": [r[1] for r in runs]})
 
     return shard
@@ -170,7 +181,7 @@ def _sorted_out(units: DataFrame, length: int, group: int, refine: tuple[int, ..
         pairs = links.join(found, "uid").select(F.col("parent").alias("uid"), F.explode(F.arrays_zip(F.transform("begin", lambda x: x + F.col("at")).alias("begin"), F.transform("end", lambda x: x + F.col("at")).alias("end"))).alias("r"))
         out = pairs.groupBy("uid").agg(F.collect_list("r").alias("r")).select("uid", F.col("r.begin").alias("begin"), F.col("r.end").alias("end"))
         kept = kept.filter(F.col("kinds") <= group)
-    volume = kept.agg(F.sum(F.octet_length("content") * F.least("many", F.lit(2)))).first()[0] or 0
+    volume = kept.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shards = max(1, -(-volume // shard_bytes))
     dealt = kept.select("uid", "many", "content", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     marks = dealt.groupBy("shard").applyInPandas(_marks(length), "uid binary, begin array<int>, end array<int>").filter(F.size("begin") > 0)
@@ -185,16 +196,27 @@ def _texts(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, length: int = 400, group: int = 512, refine: tuple[int, ...] = (16, 1), shard_bytes: int = 1 << 22) -> DataFrame:
     """(tkey, runs): for each different text (md5) with repeats, the runs of bytes that they cover."""
     texts = _texts(docs).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    scanned = texts.filter(F.octet_length("text") >= length).select("doc", "text", "tkey").mapInPandas(_scan(length), "key long, uid binary, tkey binary, doc long, low int, high int, align int")
+    scanned = texts.filter(F.octet_length("text") >= length).select("doc", "text", "tkey").mapInPandas(_scan(length), "key long, uid binary, tkey binary, doc long, low int, high int, align int, left long, right long")
     scanned = materialize(scanned, "segments")
     often = materialize(scanned.groupBy("key").count().filter("count > 1").select("key"), "anchors")
     some = materialize(scanned.join(often, "key", "left_semi"), "candidates")
+    # counted by segment first: what copies share is one row by then
+    kinds = some.groupBy("uid", "left", "right").agg(F.count("*").alias("many"))
+    halves = kinds.select(F.explode(F.array_distinct(F.array("left", "right"))).alias("half"), "many").filter("half != 0").groupBy("half").agg(F.sum("many").alias("many")).filter("many > 1").select("half")
+    halves = materialize(halves, "halves")
+    hit = lambda side: halves.select(F.col("half").alias(side), F.lit(True).alias(f"{side}_hit"))
+    near = kinds.join(hit("left"), "left", "left").join(hit("right"), "right", "left").filter("left_hit OR right_hit").select("uid")
+    some = materialize(some.join(near, "uid", "left_semi").select("key", "uid", "tkey", "doc", "low", "high", "align"), "near-candidates")
     units = some.groupBy("key", "uid").agg(F.count("*").alias("many"), F.min(F.struct("tkey", "doc", "low", "high", "align")).alias("rep"))
-    reps = units.groupBy("rep.tkey", "rep.doc").agg(F.collect_list(F.struct("key", "uid", "many", F.col("rep.low").alias("low"), F.col("rep.high").alias("high"), F.col("rep.align").alias("align"))).alias("reps"))
+    units = materialize(units, "segment-kinds")
+    mixed = units.groupBy("key").count().select("key", (F.col("count") > 1).alias("mixed"))
+    units = materialize(units.join(mixed, "key"), "kinds")
+    sure = units.filter("NOT mixed AND many > 1").select("uid", F.array(F.lit(0)).alias("begin"), F.array(F.col("rep.high") - F.col("rep.low") + 1).alias("end"))
+    reps = units.filter("mixed").groupBy("rep.tkey", "rep.doc").agg(F.collect_list(F.struct("key", "uid", "many", F.col("rep.low").alias("low"), F.col("rep.high").alias("high"), F.col("rep.align").alias("align"))).alias("reps"))
     reps = materialize(reps, "representatives")  # a list is bounded by the length of its text
     held = texts.join(reps, ["tkey", "doc"]).select("text", "reps").mapInPandas(_content(length), UNIT)
     held = materialize(held.dropDuplicates(["uid"]), "units")
-    marks = materialize(_sorted_out(held, length, group, refine, shard_bytes), "marks")
+    marks = materialize(_sorted_out(held, length, group, refine, shard_bytes).unionByName(sure), "marks")
     spans = some.select("uid", "tkey", "low").distinct().join(marks, "uid")
     runs = F.transform(F.arrays_zip("begin", "end"), lambda r: F.struct((r["begin"] + F.col("low")).alias("begin"), (r["end"] + F.col("low") + (length - 1)).alias("end")))
     return spans.select("tkey", runs.alias("runs")).groupBy("tkey").agg(F.flatten(F.collect_list("runs")).alias("runs"))
