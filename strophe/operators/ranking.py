@@ -34,8 +34,9 @@ def with_ordinal(df: DataFrame, key: str, name: str, first: int = 0, splits: int
 
 
 def top(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
-    """The first ``k`` rows in order; 0, negative or none means all of them."""
-    return df.orderBy(*order).limit(k) if k and k > 0 else df
+    """The first ``k`` rows in order; 0, negative or none means all of them, in order."""
+    ordered = df.orderBy(*order)
+    return ordered.limit(k) if k and k > 0 else ordered
 
 
 def best_of(df: DataFrame, by: list[str], *order: Column) -> DataFrame:

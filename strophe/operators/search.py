@@ -74,13 +74,16 @@ def exact_score(needle: Column) -> Column:
 
 
 def search_exact(index: DataFrame, query: str | None, limit: int = 0) -> DataFrame:
-    """Hits of ``query`` without its blanks, the best variant of each song."""
+    """Hits of ``query`` without its blanks, the best variant of each song, in order."""
+    return top(_exact_hits(index, query), limit, *order_exact())
+
+
+def _exact_hits(index: DataFrame, query: str | None) -> DataFrame:
     q = gate(index.sparkSession, query)
     if q is None:
         return no_hits(index.sparkSession)
     scored = index.select("n", F.col("variantIndex").cast("int").alias("variantIndex"), exact_score(F.lit(q.replace(" ", ""))).alias("score"), "title", F.lit("exact").alias("matchType"))
-    best = best_of(scored.filter(F.col("score").isNotNull()), ["n"], F.desc("score"), F.col("variantIndex"))
-    return top(best, limit, *order_exact())
+    return best_of(scored.filter(F.col("score").isNotNull()), ["n"], F.desc("score"), F.col("variantIndex"))
 
 
 def order_exact() -> tuple[Column, ...]:
@@ -142,7 +145,12 @@ def bm25(index: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
     return scored.groupBy("ref", "n", "variantIndex").agg(F.sum("s").alias("score"), F.countDistinct(F.when(F.col("required"), F.col("term"))).alias("required_found"))
 
 
-def search_lexical(index: DataFrame, stats: DataFrame, query: str | None, limit: int = 0, stem: Callable[[Column], Column] | None = None, fuzzy: int = FUZZY, transposed: bool = False) -> DataFrame:
+def search_lexical(index: DataFrame, stats: DataFrame, query: str | None, limit: int = 0, **kw) -> DataFrame:
+    """``lexical_hits``, in order."""
+    return top(lexical_hits(index, stats, query, **kw), limit, *order_lexical())
+
+
+def lexical_hits(index: DataFrame, stats: DataFrame, query: str | None, stem: Callable[[Column], Column] | None = None, fuzzy: int = FUZZY, transposed: bool = False) -> DataFrame:
     """Hits of the last term, with up to ``fuzzy`` edits, in variants that hold all other terms; where no
     variant holds them all, hits of any term. ``+ * ~ ^`` are letters like any other."""
     spark = index.sparkSession
@@ -157,8 +165,7 @@ def search_lexical(index: DataFrame, stats: DataFrame, query: str | None, limit:
     any_strict = strict.select(F.lit(1).alias("one")).limit(1)
     relaxed = scored.withColumn("one", F.lit(1)).join(F.broadcast(any_strict), "one", "left_anti").drop("one")
     best = best_of(strict.unionByName(relaxed), ["n"], F.desc(F.round("score", 6)), F.col("variantIndex"))
-    hits = best.select("n", F.col("variantIndex").cast("int").alias("variantIndex"), "score", F.lit("").alias("title"), F.lit("lexical").alias("matchType"))
-    return top(hits, limit, *order_lexical())
+    return best.select("n", F.col("variantIndex").cast("int").alias("variantIndex"), "score", F.lit("").alias("title"), F.lit("lexical").alias("matchType"))
 
 
 def order_lexical() -> tuple[Column, ...]:
@@ -167,8 +174,8 @@ def order_lexical() -> tuple[Column, ...]:
 
 def search_unified(exact: DataFrame, index: DataFrame, stats: DataFrame, query: str | None, limit: int = 0, **kw) -> DataFrame:
     """Exact hits, then lexical hits of songs that have no exact one; ``tier`` tells them apart."""
-    first = search_exact(exact, query)
-    second = search_lexical(index, stats, query, **kw).join(first.select("n"), "n", "left_anti")
+    first = _exact_hits(exact, query)
+    second = lexical_hits(index, stats, query, **kw).join(first.select("n"), "n", "left_anti")
     both = first.withColumn("tier", F.lit(0)).unionByName(second.withColumn("tier", F.lit(1)))
     return top(both, limit, F.col("tier"), F.desc(F.round("score", 6)), F.collate("title", "ru"), F.col("n"))
 
