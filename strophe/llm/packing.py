@@ -33,11 +33,12 @@ def pieces(docs: DataFrame, path: str, kind: str, end_id: int, size: int = 4096)
     """Tokenized documents; those of more than ``size`` ids are cut, the others stay whole."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(path, kind), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, kind), np.array([end_id], "<u4")
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = encode.ids(text if isinstance(text, str) else "") + end
+            found = encode.batch([t if isinstance(t, str) else "" for t in b["text"]])
+            for doc_id, own in zip(b["doc_id"], found, strict=True):
+                ids = np.concatenate([own, end]).tobytes()
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     own = ids[at : at + 4 * size]
                     out.append((None if pd.isna(doc_id) else int(doc_id), k, at // 4, len(own) // 4, zlib.crc32(own)))

@@ -1,9 +1,10 @@
-"""Token ids of whole texts, with a bounded per-worker cache of word pieces.
+"""Token ids of whole texts, with bounded per-worker caches of words and word pieces.
 
 Both vocabularies split a text at places that depend only on the characters around them, so a text
-that keeps to the characters of ``PLAIN`` can be cut into pieces, each encoded once per worker by the
-tokenizers library. Any other text (other scripts, runs that could touch a special token) is handed
-over to the library whole.
+that keeps to the characters of ``PLAIN`` can be cut at its blanks. A word seen before costs a look-up; a
+new one is cut into pieces, each encoded once per worker by the tokenizers library. Any other text
+(other scripts, control characters, runs that could touch a special token) is handed over to the library
+whole.
 """
 
 from __future__ import annotations
@@ -12,53 +13,122 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Characters whose class (letter, digit, space, other) is the same for ``re`` and the tokenizer.
 PLAIN = re.compile("[\t\n\r -~¡-©«-±´¶-¸»¿-ÿ]*")
 SPACED = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+#: A run of white space that goes on beyond a blank, so that a piece could cross it.
+CROSSING = re.compile(r"\s \s|\s \Z")
+#: The letter that byte-level vocabularies write for each byte: its own where that can be seen.
+SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+LETTER = {b: b for b in SEEN} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - SEEN))}
 CACHED_CHARS = 32
+_NONE = np.zeros(0, "<u4")
 
 
 class _Bounded(dict):
-    """A dict that forgets everything when it is full."""
+    """A dict that starts anew when it is full, and still finds what it held before."""
 
     def __init__(self, make, limit: int) -> None:
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.before = make, limit // 2, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.before.get(key) or self.make(key)
         if len(key) <= CACHED_CHARS:
             if len(self) >= self.limit:
+                self.before = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
 class Encoder:
-    """``ids(text)``: the ids as little-endian unsigned 32-bit integers, in bytes.
+    """``batch(texts)``: the ids of each text, unsigned 32-bit integers.
 
     ``kind`` is "bytes" for a byte-level vocabulary whose pieces carry their leading space, "words"
     for a lower-casing one that drops white space. ``limit`` bounds each cache (about 150 bytes an entry).
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, kind: str, limit: int = 900_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
-        self.pieces = _Bounded(self.whole, limit)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        self.pieces = _Bounded(self.piece, limit)
+        self.words = _Bounded(self.word if kind == "words" else self.spaced, limit)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, text: str) -> bytes:
-        if "<|" in text or not (text.isascii() or PLAIN.fullmatch(text)):
-            return self.whole(text)
-        if self.kind == "words":  # white space parts pieces and is dropped
-            return b"".join(map(self.pieces.__getitem__, WORDS.findall(text.lower())))
+    def piece(self, piece: str) -> bytes:
+        """The library's model alone: a piece of a plain text is neither normalized nor cut any further."""
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(LETTER))
+        return array("I", [t.id for t in found]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """A word of a lower-casing vocabulary."""
+        return self.pieces[word] if word.isalpha() else b"".join(map(self.pieces.__getitem__, WORDS.findall(word)))
+
+    def spaced(self, word: str) -> bytes:
+        """A word with the blank before it."""
+        return self.pieces[f" {word}"] if word.isalpha() else self.cut(f" {word}")
+
+    def cut(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, SPACED.findall(text)))
 
+    def plain(self, text: str) -> bool:
+        """Whether the text may be cut at its blanks."""
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return False
+        if self.kind == "words":  # white space parts pieces and is dropped
+            return True
+        doubtful = text[-1:] == " " or any(x in text for x in ("  ", " \n", " \t", " \r"))
+        return not (doubtful and CROSSING.search(text))
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str], chars: int = 1 << 23) -> list[np.ndarray]:
+        """The ids of each text; about ``chars`` characters are worked on at a time."""
+        out: list[np.ndarray] = [np.frombuffer(self.whole(t), "<u4") if not self.plain(t) else _NONE for t in texts]
+        some, held = [], 0
+        for k, text in enumerate(texts):
+            if out[k] is _NONE:
+                some.append(k)
+                held += len(text)
+            if some and (held >= chars or k == len(texts) - 1):
+                for i, found in zip(some, self._cut_at_blanks([texts[i] for i in some]), strict=True):
+                    out[i] = found
+                some, held = [], 0
+        return out
+
+    def _cut_at_blanks(self, texts: list[str]) -> list[np.ndarray]:
+        """Every different word is looked up once; the ids of all words are then gathered in one step."""
+        lower = self.kind == "words"
+        rows = pa.array([t.lower() for t in texts] if lower else texts, pa.large_string())
+        lists = pc.ascii_split_whitespace(rows) if lower else pc.split_pattern(rows, " ")
+        ends, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        held = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
+        if lower:
+            held = [h if w else b"" for h, w in zip(held, coded.dictionary.to_pylist(), strict=True)]
+        else:  # no blank stands before the first word of a text
+            at[ends[:-1]] = len(held) + np.arange(len(texts))
+            held += [self.cut(t.split(" ", 1)[0]) for t in texts]
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        ids, first = np.frombuffer(b"".join(held), "<u4"), np.cumsum(size) - size
+        each = size[at]
+        done = np.r_[0, np.cumsum(each)]
+        every = ids[np.repeat(first[at] - done[:-1], each) + np.arange(done[-1])]
+        return [every[a:z] for a, z in zip(done[ends[:-1]].tolist(), done[ends[1:]].tolist(), strict=True)]
+
 
 _encoders: dict[tuple, Encoder] = {}
 

@@ -62,32 +62,36 @@ class TokenFiles:
 
 
 def tokenize(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text and the end id, as little-endian 16-bit integers.
+    """(doc_id, width, ids, counts): the ids of each whole text and the end id, ``width`` bytes each.
 
-    Vocabularies of more than 65,536 entries take 32 bits; ``ids`` holds 4 bytes an id then.
+    Two bytes do for vocabularies of at most 65,536 entries. The last row of a task has no ids but
+    ``counts``, how often each id came up in it (64-bit integers).
     """
     from tokenizers import Tokenizer
 
-    wide = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+    size = Tokenizer.from_file(path).get_vocab_size()
+    wide = "<u2" if size <= 1 << 16 else "<u4"
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path, kind)
-        end = np.array([end_id], "<u4").tobytes()
+        encode, end, total = encoder(path, kind), np.array([end_id], wide), np.zeros(size, np.int64)
         for b in batches:
-            ids = [np.frombuffer(encode.ids(t if isinstance(t, str) else "") + end, "<u4").astype(wide).tobytes() for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "width": int(wide[-1]), "ids": ids})
+            found = encode.batch([t if isinstance(t, str) else "" for t in b["text"]])
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=size)
+                total[end_id] += len(found)
+            ids = [np.concatenate([x.astype(wide), end]).tobytes() for x in found]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "width": int(wide[-1]), "ids": ids, "counts": None})
+        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "width": int(wide[-1]), "ids": [None], "counts": [total.tobytes()]})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(each, "doc_id long, width int, ids binary")
+    return rows.mapInPandas(each, "doc_id long, width int, ids binary, counts binary")
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(1, np.int64)
     for b in batches:
-        for width, ids in zip(b["width"], b["ids"], strict=True):
-            n = np.bincount(np.frombuffer(ids, f"<u{width}"), minlength=len(total))
-            n[: len(total)] += total
-            total = n
+        for counts in b["counts"]:
+            total = total + np.frombuffer(counts, np.int64)
     seen = np.flatnonzero(total)
     yield pd.DataFrame({"id": seen, "n": total[seen]})
 
@@ -96,7 +100,7 @@ def write(docs: DataFrame, path: str, kind: str, end_id: int, block_tokens: int
     """Tokenize ``docs`` and write the files; only the counts of the vocabulary pass through the driver."""
     spark = docs.sparkSession
     rows = materialize(tokenize(docs, path, kind, end_id), "ids")
-    counts = rows.mapInPandas(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = rows.filter("counts IS NOT NULL").select("counts").mapInPandas(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])  # at most a row for each entry of the vocabulary
     by_rank = ranked["id"].to_numpy(np.int64)
     files = TokenFiles(fresh_path(spark, "blocks"), fresh_path(spark, "ranks"))
@@ -127,7 +131,7 @@ def write(docs: DataFrame, path: str, kind: str, end_id: int, block_tokens: int
             yield block()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = rows.filter("ids IS NOT NULL").select("doc_id", "width", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
     # the payload is entropy-coded already byte by byte: a light codec over it
     ordered.mapInPandas(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(files.blocks)
     return files
