@@ -4,7 +4,7 @@ Every vector is projected on ``projections`` random directions; each direction h
 A query opens a window around its own projection in each array (query-centred buckets), and all windows
 are widened together, round by round, by a factor (virtual rehashing: no table is built again). A
 vector that falls into at least ``threshold`` of the windows is a candidate and is verified with its
-exact score. A query's search ends once ``share`` of the shard's vectors plus ``k`` have been verified,
+exact score. A query's search ends once ``share`` of the shard's vectors plus five times ``k`` have been verified,
 or once the k best lie within the approximation radius; if neither happens, the windows end up covering
 the whole shard, so that nothing is lost by a cap.
 
@@ -56,7 +56,7 @@ def search_cell(
     narrow = np.uint8 if projections < 256 else np.uint16
     norms = np.linalg.norm(queries, axis=1, keepdims=True)
     centres = (queries / norms * longest) @ axes[:-1]
-    need, budget = int(np.ceil(threshold * projections)), share * n + k
+    need, budget = int(np.ceil(threshold * projections)), share * n + 5 * k
     first = max(float(arrays.std()), 1e-9) * 0.8
     windows: list[tuple[np.ndarray, np.ndarray]] = []  # begin and width of every window, a pair for each round
     out_q, out_v, out_s = [], [], []
@@ -97,8 +97,8 @@ def search_cell(
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = 128, threshold: float = 0.65, share: float = 0.3,
-    growth: float = 1.25, seed: int = 11, shard_rows: int = 3000, block_rows: int = 4096,
+    vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = 64, threshold: float = 0.65, share: float = 0.15,
+    growth: float = 1.35, seed: int = 11, shard_rows: int = 3000, block_rows: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``queries``.
 
