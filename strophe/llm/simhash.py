@@ -193,7 +193,12 @@ def deduplicate(docs: DataFrame, words: int = 4, max_distance: int = 4) -> DataF
 
     Among rows with that id the one with the smallest text stays. Rows with a null doc_id are kept.
     """
-    found = near_duplicates(docs, words, max_distance).filter("doc_id != component_id").select(F.col("doc_id").alias("_other"))
+    return standing(docs, near_duplicates(docs, words, max_distance))
+
+
+def standing(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their component in ``named``, (doc_id, component_id)."""
+    found = named.filter("doc_id != component_id").select(F.col("doc_id").alias("_other"))
     others = materialize(found.distinct(), "other-copies")
     kept = docs.join(others, docs["doc_id"].cast("long") == others["_other"], "left_anti")
     again = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1 and _id is not null")
