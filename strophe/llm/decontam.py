@@ -4,17 +4,22 @@ Texts become token sequences in which numbers, units after a number and names (c
 a sentence) are typed placeholders; other words are lower-cased and punctuation goes. Windows of
 ``window`` template tokens are hashed and hash-joined with those of the benchmark items, so a question
 with other numbers or names still meets its item. The values in the slots must then agree: along one
-alignment of item and text, each value of the item stands for one value of the text. Windows in which
-placeholders outnumber words are not used.
+alignment of item and text, each value of the item stands for one value of the text. A second key of
+the same join is the lower-cased window without placeholders, whatever its case and slots: it finds
+word-for-word copies.
+
+Templates in which placeholders outnumber words start no alignment, since they meet everything; along one
+that another window has started they count unless they are placeholders alone.
 
 A document is contaminated by an item if at least ``least`` different windows of the item are found in
-it (thirteen tokens in a row), or ``share`` of the item's windows if the item has few.
+it (thirteen tokens in a row), or ``share`` of all windows of the item if it has few.
 
 Column expressions only. The benchmark's windows are broadcast while they are at most
 ``broadcast_rows``; beyond that the join shuffles.
 
 Defined cases: null texts and texts or items of fewer than ``shortest`` tokens match nothing; items
-shorter than a window are compared whole; repeated rows give one row for each item; null item or
+shorter than a window are compared whole; repeated rows give one row for each item (of
+texts under one item id the best match); null item or
 document ids are kept as null; extra columns are ignored; empty tables give an empty result.
 """
 
@@ -62,48 +67,80 @@ def with_tokens(rows: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def windows(rows: DataFrame, ids: list[str], sizes: list[int]) -> DataFrame:
-    """``ids``, size, at, key, slots: every usable window of ``text``."""
-    hashed = with_tokens(rows, ids).select(*ids, F.transform("t", lambda x: F.xxhash64(x)).alias("h"), "v")
+    """``ids``, size, at, key: every window of ``text`` by its lower-cased words, usable ones by template too.
+
+    A template without a placeholder is the lower-cased window, so it has one key.
+    """
+    low = F.zip_with("v", "t", lambda v, t: F.xxhash64(F.coalesce(v, t)))
+    hashed = with_tokens(rows, ids).select(*ids, F.transform("t", lambda x: F.xxhash64(x)).alias("h"), low.alias("p"), "v")
 
     def one(size: int) -> Column:
-        def window(i: Column) -> Column:
-            return F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice("h", i + 1, size)).alias("key"), F.array_compact(F.slice("v", i + 1, size)).alias("slots"))
+        def plain(i: Column) -> Column:
+            return F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice("p", i + 1, size)).alias("key"))
+
+        def template(i: Column) -> Column:
+            slots = F.size(F.array_compact(F.slice("v", i + 1, size)))
+            key = F.when(slots.between(1, size // 2), F.xxhash64(F.slice("h", i + 1, size)))
+            return F.struct(F.lit(size).alias("size"), i.alias("at"), key.alias("key"))
 
         whole = F.when(F.size("h") >= size, F.sequence(F.lit(0), F.size("h") - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(whole, window)
+        return F.concat(F.transform(whole, plain), F.transform(whole, template))
 
     each = F.explode(F.concat(*[one(n) for n in sizes]) if len(sizes) > 1 else one(sizes[0])).alias("w")
-    out = hashed.select(*ids, each).select(*ids, "w.size", "w.at", "w.key", "w.slots")
-    return out.filter(F.size("slots") * 2 <= F.col("size"))
+    return hashed.select(*ids, each).select(*ids, "w.size", "w.at", "w.key").filter("key is not null")
+
+
+def _aligned(lines: DataFrame) -> DataFrame:
+    """``found``: the windows of the item that the text holds along one alignment.
+
+    A window counts if its words are the same, or if its template is, it is not of placeholders alone and
+    each value of the item stands for one value of the text along the line.
+    """
+    there = lambda name, i: F.get(F.col(name), F.col("line") + i)  # noqa: E731  null outside of the text
+
+    def token(t: Column, i: Column) -> Column:
+        own, other = F.get("item_v", i), there("v", i)
+        same = F.coalesce(there("t", i) == t, F.lit(False))
+        exact = F.coalesce(F.coalesce(other, there("t", i)) == F.coalesce(own, t), F.lit(False))
+        slot = F.when(own.isNotNull() & same, F.struct(own.alias("own"), other.alias("other")))
+        return F.struct(F.when(same, F.when(own.isNull(), "w").otherwise("s")).otherwise("-").alias("template"), F.when(exact, "w").otherwise("-").alias("plain"), slot.alias("slot"))
+
+    at = lines.withColumn("x", F.transform("item_t", token))
+    at = at.withColumn("template", F.array_join("x.template", "")).withColumn("plain", F.array_join("x.plain", "")).withColumn("slots", F.col("x.slot"))
+    places = F.sequence(F.lit(0), F.col("n") - F.col("own"))
+    part = lambda name, i: F.substr(F.col(name), i + 1, F.col("own"))
+    at = at.withColumn("same", F.filter(places, lambda i: ~part("plain", i).contains("-")))
+    at = at.withColumn("like", F.filter(places, lambda i: ~part("template", i).contains("-") & part("template", i).contains("w")))
+    pairs = F.array_distinct(F.array_compact(F.flatten(F.transform("like", lambda i: F.slice("slots", i + 1, F.col("own"))))))
+    at = at.withColumn("pairs", pairs)
+    agrees = F.size("pairs") == F.size(F.array_distinct("pairs.own"))
+    return at.withColumn("found", F.when(agrees, F.array_union("same", "like")).otherwise(F.col("same")))
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6, share: float = 0.6, shortest: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, tkey, item_id, n_windows, item_windows); ``tkey`` stands for the text."""
-    items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text"))
-    counted = with_tokens(items, ["item_id", "text"]).select("item_id", F.size("t").alias("n"), "text").filter(F.col("n") >= shortest)
-    counted = counted.withColumn("own", F.least("n", F.lit(window)))
+    items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    items = items.withColumn("ikey", F.xxhash64(F.col("item_id").isNull(), "item_id", "text"))
+    counted = with_tokens(items, ["item_id", "ikey", "text"]).withColumn("n", F.size("t")).filter(F.col("n") >= shortest)
+    counted = materialize(counted.withColumn("own", F.least("n", F.lit(window))), "items")
     sizes = sorted(r[0] for r in counted.select("own").distinct().collect())  # at most ``window`` values
     if not sizes:
         return docs.sparkSession.createDataFrame([], f"doc_id long, tkey long, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_windows long, item_windows long")
-    ours = windows(counted.select("item_id", "own", "text"), ["item_id", "own"], sizes).filter("size = own")
-    ours = materialize(ours.select("item_id", "key", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")), "item-windows")
-    need = ours.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
-    need = need.withColumn("need", F.least(F.lit(least), F.ceil(F.col("item_windows") * share)))
-    small = ours.count() <= broadcast_rows
-    small_side = F.broadcast if small else (lambda df: df)
+    ours = windows(counted.select("ikey", "own", "text"), ["ikey", "own"], sizes).filter("size = own")
+    ours = materialize(ours.select("ikey", "key", F.col("at").alias("item_at")), "item-windows")
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
-    theirs = windows(rows, ["doc_id", "tkey"], sizes).select("doc_id", "tkey", "key", "at", "slots")
-    hits = materialize(theirs.join(small_side(ours), "key").drop("key"), "window-hits")
-    # along one alignment, each value of the item must stand for one value of the text
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
-    lines = hits.groupBy("doc_id", "tkey", "item_id", (F.col("at") - F.col("item_at")).alias("line")).agg(
-        pairs.alias("pairs"), F.collect_set("item_at").alias("every"), F.collect_set(F.when(F.size("slots") == 0, F.col("item_at"))).alias("plain")
-    )
-    agrees = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
-    lines = lines.select("doc_id", "tkey", "item_id", F.when(agrees, F.col("every")).otherwise(F.col("plain")).alias("found"))
-    held = lines.groupBy("doc_id", "tkey", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("n_windows"))
-    need = need.withColumnRenamed("item_id", "_item")
-    return held.join(small_side(need), F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item").filter(F.col("n_windows") >= F.col("need")).drop("need")
+    theirs = windows(rows, ["doc_id", "tkey"], sizes).select("doc_id", "tkey", "key", "at")
+    hits = materialize(theirs.join(small(ours), "key").select("doc_id", "tkey", "ikey", (F.col("at") - F.col("item_at")).alias("line")), "window-hits")
+    lines = materialize(hits.select("tkey", "ikey", "line").distinct(), "lines")
+    # texts with a hit are cut again and held against the item along each line
+    texts = rows.join(small(lines.select("tkey").distinct()), "tkey", "left_semi").select("tkey", "text").dropDuplicates(["tkey"])
+    cut = materialize(with_tokens(texts, ["tkey"]), "hit-texts")
+    own = counted.select("ikey", "item_id", "n", "own", F.col("t").alias("item_t"), F.col("v").alias("item_v"))
+    held = _aligned(lines.join(small(own), "ikey").join(cut, "tkey")).select("tkey", "ikey", "item_id", "n", "own", "found")
+    held = held.groupBy("tkey", "ikey").agg(F.first("item_id").alias("item_id"), F.first(F.col("n") - F.col("own") + 1).cast("long").alias("item_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("n_windows"))
+    held = held.filter(F.col("n_windows") >= F.least(F.lit(least), F.ceil(F.col("item_windows") * share)))
+    return hits.select("doc_id", "tkey", "ikey").distinct().join(held, ["tkey", "ikey"]).select("doc_id", "tkey", "item_id", "n_windows", "item_windows")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
