@@ -6,12 +6,14 @@ local form, disguised addresses, account numbers. Boosted trees score a candidat
 evaluated as one Column expression. Labels for the fit need no annotation: among candidates of the
 fixed forms, those that pass the form's own check (Luhn, number ranges, digit counts) are positive and
 those that fail it are negative. The check itself is not a feature. For each generator the threshold
-is calibrated on the half of the sample that the fit does not see: the lowest at which the share of
-positives above it reaches ``precision``; a generator without such a threshold adds nothing.
+is calibrated on all candidates of its form in different texts, at their full counts: the lowest at
+which the share of positives above it reaches ``precision``, both among all of them and among the half
+of the feature vectors that the fit does not see; a generator without such a threshold adds nothing.
 
 Candidates that overlap a fixed form are not added; fixed forms that pass their check always stay.
-Column expressions only on the executors; what comes to the driver is a sample of at most
-``train_rows`` distinct feature vectors.
+Column expressions only on the executors; what comes to the driver is at most
+``train_rows`` distinct feature vectors, the most frequent, for the fit alone, and the counts by margin
+in steps of 1 / ``STEPS``.
 
 Defined cases: a null text is empty and has no span; rows with a null doc_id and repeated rows are
 scanned like any other; extra columns are ignored (``redact`` keeps them); an empty table gives an empty
@@ -45,6 +47,10 @@ PATTERNS = {
 FEATURES = ("generator", "length", "digits", "separators", "letters", "groups", "first", "before_space", "before_word", "after_space", "after_mark", "near_at")
 
 
+#: Steps of a margin of 1, for thresholds. Powers of two, so that a step is an exact margin.
+STEPS = 256
+
+
 def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -105,29 +111,42 @@ def candidates(text: Column) -> Column:
     return F.concat(*[find(text, pattern, kind, context=16) for kind, pattern in PATTERNS.items()])
 
 
+def _counted(found: DataFrame) -> DataFrame:
+    """(form, features, y, n, held): candidates of the fixed forms over different texts, all of them.
+
+    Both labels of a vector lie in the same half; ``held`` is the half that the fit does not see.
+    """
+    one = found.filter(F.size("spans") > 0).dropDuplicates(["tkey"]).select(F.explode("spans").alias("s")).filter(F.col("s.kind").isin(*BASE))
+    groups = one.select("s.features", F.col("s.valid").cast("int").alias("y")).groupBy("features", "y").agg(F.count("*").alias("n"))
+    return groups.select(F.col("features")[0].alias("form"), "features", "y", "n", (F.pmod(F.xxhash64("features"), F.lit(2)) == 1).alias("held"))
+
+
 def train(found: DataFrame, train_rows: int = 20_000, precision: float = 0.95, trees: int = 12, depth: int = 3) -> tuple[Forest, dict[str, float]]:
     """(trees, least margin of each added kind) from candidates of the fixed forms."""
-    one = found.select(F.explode("spans").alias("s")).filter(F.col("s.kind").isin(*BASE))
-    seen = one.select("s.kind", "s.features", F.col("s.valid").cast("int").alias("y")).groupBy("kind", "features", "y").count()
-    rows = seen.orderBy(F.desc("count"), "kind", "features", "y").limit(train_rows).collect()
+    seen = materialize(_counted(found), "vectors")
+    rows = seen.filter("not held").orderBy(F.desc("n"), "features", "y").limit(train_rows).collect()
     none = Forest(np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)), -30.0)
     if len({r["y"] for r in rows}) < 2:
         return none, {}
     x = np.array([r["features"] for r in rows], float)
     y = np.array([r["y"] for r in rows], float)
-    w = np.minimum(np.array([r["count"] for r in rows]), 64)  # copies of a text must not outvote the rest
-    half = np.arange(len(rows)) % 2 == 0
-    forest = fit(np.repeat(x[half], w[half], 0), np.repeat(y[half], w[half]), trees=trees, depth=depth, rate=0.3)
-    score = forest.margin(x[~half])
+    total: dict[tuple, int] = {}
+    for r in rows:
+        total[tuple(r["features"])] = total.get(tuple(r["features"]), 0) + r["n"]
+    # in the fit a frequent vector must not outvote the rest; its two labels keep their shares
+    w = np.array([max(1, round(r["n"] * min(1, 64 / total[tuple(r["features"])]))) for r in rows])
+    forest = fit(np.repeat(x, w, 0), np.repeat(y, w), trees=trees, depth=depth, rate=0.3)
+    step = F.floor(margin(F.col("features"), forest) * STEPS).alias("step")
+    n, good = F.col("n"), F.col("n") * F.col("y")
+    sums = [F.sum(F.when(when, c).otherwise(0)).alias(name) for name, when, c in (("n", F.lit(True), n), ("good", F.lit(True), good), ("held_n", F.col("held"), n), ("held_good", F.col("held"), good))]
+    steps = seen.select("form", step, "n", "y", "held").groupBy("form", "step").agg(*sums).collect()  # some thousands at most
     least = {}
     for kind, form in (("phone_local", 0), ("email_disguised", 1), ("account", 3)):
-        own = x[~half][:, 0] == form
-        s, t, n = score[own], y[~half][own], w[~half][own]
-        for cut in np.unique(s):
-            over = s >= cut
-            if (t[over] * n[over]).sum() >= precision * n[over].sum():
-                least[kind] = float(cut)
-                break
+        own = sorted(((r["step"], r["n"], r["good"], r["held_n"], r["held_good"]) for r in steps if r["form"] == form), reverse=True)
+        above = np.cumsum(np.array([r[1:] for r in own], np.int64).reshape(-1, 4), 0)
+        for cut, (all_n, all_good, held_n, held_good) in zip(own, above.tolist(), strict=True):
+            if held_n and all_good >= precision * all_n and held_good >= precision * held_n:
+                least[kind] = cut[0] / STEPS  # the last one is the lowest
     return forest, least
 
 
@@ -153,7 +172,7 @@ def chosen(spans: Column, forest: Forest, least: dict[str, float]) -> tuple[Colu
 
 def scan(docs: DataFrame, train_rows: int = 20_000, precision: float = 0.95) -> DataFrame:
     """(doc_id, base, added) of every row; arrays of spans (start, end, kind)."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), judged(F.col("text")).alias("spans"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), judged(F.col("text")).alias("spans"))
     found = materialize(found, "candidates")
     base, added = chosen(F.col("spans"), *train(found, train_rows, precision))
     return found.select("doc_id", base.alias("base"), added.alias("added"))
@@ -161,7 +180,7 @@ def scan(docs: DataFrame, train_rows: int = 20_000, precision: float = 0.95) ->
 
 def redact(docs: DataFrame, train_rows: int = 20_000, precision: float = 0.95) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets; ``n_chars`` follows the text."""
-    found = materialize(docs.select(judged(F.col("text")).alias("spans")).filter(F.size("spans") > 0), "candidates")
+    found = materialize(docs.select(F.xxhash64("text").alias("tkey"), judged(F.col("text")).alias("spans")).filter(F.size("spans") > 0), "candidates")
     model = train(found, train_rows, precision)
     text = F.col("text").cast("string")
 
