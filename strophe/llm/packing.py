@@ -35,15 +35,16 @@ def pieces(docs: DataFrame, path: str, kind: str, end_id: int, size: int = 4096)
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(path, kind), np.array([end_id], "<u4")
         for b in batches:
-            out = []
-            found = encode.batch([t if isinstance(t, str) else "" for t in b["text"]])
-            for doc_id, own in zip(b["doc_id"], found, strict=True):
-                ids = np.concatenate([own, end]).tobytes()
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    own = ids[at : at + 4 * size]
-                    out.append((None if pd.isna(doc_id) else int(doc_id), k, at // 4, len(own) // 4, zlib.crc32(own)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+            rows = iter(b["doc_id"])
+            # a slice of ids is hashed and gone before the next one is made
+            for part in encode.slices([t if isinstance(t, str) else "" for t in b["text"]]):
+                out = []
+                for own, doc_id in zip(part, rows):  # the slice ends first
+                    ids = np.concatenate([own, end]).tobytes()
+                    for k, at in enumerate(range(0, len(ids), 4 * size)):
+                        own = ids[at : at + 4 * size]
+                        out.append((None if pd.isna(doc_id) else int(doc_id), k, at // 4, len(own) // 4, zlib.crc32(own)))
+                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInPandas(each, PIECES)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +29,22 @@ CROSSING = re.compile(r"\s \s|\s \Z")
 SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 LETTER = {b: b for b in SEEN} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - SEEN))}
 CACHED_CHARS = 32
-_NONE = np.zeros(0, "<u4")
+#: Bytes of a dict's entry, its key and its value beside their characters.
+ENTRY = 190
 
 
 class _Bounded(dict):
-    """A dict that starts anew when it is full, and still finds what it held before."""
+    """A dict that starts anew when it holds ``limit`` bytes, and still finds what it held before."""
 
     def __init__(self, make, limit: int) -> None:
-        self.make, self.limit, self.before = make, limit // 2, {}
+        self.make, self.limit, self.before, self.held = make, limit // 2, {}, 0
 
     def __missing__(self, key: str) -> bytes:
         value = self.before.get(key) or self.make(key)
         if len(key) <= CACHED_CHARS:
-            if len(self) >= self.limit:
-                self.before = dict(self)
+            self.held += ENTRY + len(key) + len(value)
+            if self.held > self.limit:
+                self.before, self.held = dict(self), 0
                 self.clear()
             self[key] = value
         return value
@@ -51,18 +54,18 @@ class Encoder:
     """``batch(texts)``: the ids of each text, unsigned 32-bit integers.
 
     ``kind`` is "bytes" for a byte-level vocabulary whose pieces carry their leading space, "words"
-    for a lower-casing one that drops white space. ``limit`` bounds each cache (about 150 bytes an entry).
+    for a lower-casing one that drops white space. ``limit`` bounds the caches in bytes.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 900_000) -> None:
+    def __init__(self, path: str, kind: str, limit: int = 64 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.pieces = _Bounded(self.piece, limit)
-        self.words = _Bounded(self.word if kind == "words" else self.spaced, limit)
+        self.pieces = _Bounded(self.piece, limit * 3 // 4)
+        self.words = _Bounded(self.mixed, limit // 4)  # words of several pieces
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -72,13 +75,9 @@ class Encoder:
         found = self.model.tokenize(piece.encode().decode("latin-1").translate(LETTER))
         return array("I", [t.id for t in found]).tobytes()
 
-    def word(self, word: str) -> bytes:
-        """A word of a lower-casing vocabulary."""
-        return self.pieces[word] if word.isalpha() else b"".join(map(self.pieces.__getitem__, WORDS.findall(word)))
-
-    def spaced(self, word: str) -> bytes:
-        """A word with the blank before it."""
-        return self.pieces[f" {word}"] if word.isalpha() else self.cut(f" {word}")
+    def mixed(self, word: str) -> bytes:
+        """A word of letters and other characters; of a byte-level vocabulary, with the blank before it."""
+        return b"".join(map(self.pieces.__getitem__, WORDS.findall(word))) if self.kind == "words" else self.cut(word)
 
     def cut(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, SPACED.findall(text)))
@@ -95,18 +94,27 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return self.batch([text])[0]
 
-    def batch(self, texts: list[str], chars: int = 1 << 23) -> list[np.ndarray]:
-        """The ids of each text; about ``chars`` characters are worked on at a time."""
-        out: list[np.ndarray] = [np.frombuffer(self.whole(t), "<u4") if not self.plain(t) else _NONE for t in texts]
-        some, held = [], 0
-        for k, text in enumerate(texts):
-            if out[k] is _NONE:
-                some.append(k)
-                held += len(text)
-            if some and (held >= chars or k == len(texts) - 1):
-                for i, found in zip(some, self._cut_at_blanks([texts[i] for i in some]), strict=True):
-                    out[i] = found
-                some, held = [], 0
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [ids for part in self.slices(texts) for ids in part]
+
+    def slices(self, texts: list[str], chars: int = 1 << 21) -> Iterator[list[np.ndarray]]:
+        """The ids of each text, in slices of whole texts of about ``chars`` characters."""
+        part, held = [], 0
+        for text in texts:
+            part.append(text)
+            held += len(text)
+            if held >= chars:
+                yield self._slice(part)
+                part, held = [], 0
+        if part:
+            yield self._slice(part)
+
+    def _slice(self, texts: list[str]) -> list[np.ndarray]:
+        out = [None if self.plain(t) else np.frombuffer(self.whole(t), "<u4") for t in texts]
+        some = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(some, self._cut_at_blanks([texts[k] for k in some]) if some else (), strict=True):
+            out[k] = ids
         return out
 
     def _cut_at_blanks(self, texts: list[str]) -> list[np.ndarray]:
@@ -116,17 +124,18 @@ class Encoder:
         lists = pc.ascii_split_whitespace(rows) if lower else pc.split_pattern(rows, " ")
         ends, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
         at = coded.indices.to_numpy().astype(np.int64)
-        held = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
-        if lower:
-            held = [h if w else b"" for h, w in zip(held, coded.dictionary.to_pylist(), strict=True)]
-        else:  # no blank stands before the first word of a text
+        pieces, words, blank = self.pieces, self.words, "" if lower else " "
+        held = [pieces[blank + w] if w.isalpha() else words[blank + w] for w in coded.dictionary.to_pylist()]
+        if not lower:  # no blank stands before the first word of a text
             at[ends[:-1]] = len(held) + np.arange(len(texts))
             held += [self.cut(t.split(" ", 1)[0]) for t in texts]
         size = np.fromiter(map(len, held), np.int64, len(held)) // 4
         ids, first = np.frombuffer(b"".join(held), "<u4"), np.cumsum(size) - size
         each = size[at]
         done = np.r_[0, np.cumsum(each)]
-        every = ids[np.repeat(first[at] - done[:-1], each) + np.arange(done[-1])]
+        place = np.repeat(first[at] - done[:-1], each)
+        place += np.arange(done[-1])
+        every = ids[place]
         return [every[a:z] for a, z in zip(done[ends[:-1]].tolist(), done[ends[1:]].tolist(), strict=True)]
 
 

@@ -75,12 +75,13 @@ def tokenize(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end, total = encoder(path, kind), np.array([end_id], wide), np.zeros(size, np.int64)
         for b in batches:
-            found = encode.batch([t if isinstance(t, str) else "" for t in b["text"]])
-            if found:
-                total += np.bincount(np.concatenate(found), minlength=size)
-                total[end_id] += len(found)
-            ids = [np.concatenate([x.astype(wide), end]).tobytes() for x in found]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "width": int(wide[-1]), "ids": ids, "counts": None})
+            at = 0
+            for part in encode.slices([t if isinstance(t, str) else "" for t in b["text"]]):
+                total += np.bincount(np.concatenate(part), minlength=size)
+                total[end_id] += len(part)
+                ids = [np.concatenate([x.astype(wide), end]).tobytes() for x in part]
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at : at + len(part)], "width": int(wide[-1]), "ids": ids, "counts": None})
+                at += len(part)
         yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "width": int(wide[-1]), "ids": [None], "counts": [total.tobytes()]})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
