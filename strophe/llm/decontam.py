@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
-Texts become token sequences in which numbers, units after a number and names (capitalised words inside
-a sentence) are typed placeholders; other words are lower-cased and punctuation goes. Windows of
+Texts become token sequences in which numbers, units after a number and names (capitalised words) are
+typed placeholders; other words are lower-cased and punctuation goes. Whether a capitalised word at the
+start of a sentence is a name cannot be seen: an item enters with both readings. Windows of
 ``window`` template tokens are hashed and hash-joined with those of the benchmark items, so a question
 with other numbers or names still meets its item. The values in the slots must then agree: along one
 alignment of item and text, each value of the item stands for one value of the text. A second key of
@@ -14,10 +15,11 @@ that another window has started they count unless they are placeholders alone.
 A document is contaminated by an item if at least ``least`` different windows of the item are found in
 it (thirteen tokens in a row), or ``share`` of all windows of the item if it has few.
 
-Column expressions only. The benchmark's windows are broadcast while they are at most
-``broadcast_rows``; beyond that the join shuffles.
+Column expressions only. The benchmark's windows (20 bytes each) are broadcast while they are at most
+``broadcast_rows``, its items while their tokens take at most 32 bytes for each of these rows; beyond that
+the joins shuffle.
 
-Defined cases: null texts and texts or items of fewer than ``shortest`` tokens match nothing; items
+Defined cases: whole texts of any length are cut into windows; null texts and texts or items of fewer than ``shortest`` tokens match nothing; items
 shorter than a window are compared whole; repeated rows give one row for each item (of
 texts under one item id the best match); null item or
 document ids are kept as null; extra columns are ignored; empty tables give an empty result.
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from strophe.llm.common import materialize
 
-TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}\p{M}'’]*|[.!?\n]+"
+#: Possessive: a group repeated once a number would take a stack frame each.
+TOKEN = r"[0-9]++(?:[.,][0-9]++)*+|\p{L}[\p{L}\p{M}'’]*+|[.!?\n]++"
 NUMBER, UNIT, NAME = "0num", "0unit", "0name"
 UNITS = (
     "mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "hour", "hours", "day", "days", "week", "weeks", "year", "years",
@@ -39,10 +42,10 @@ UNITS = (
 NUMBER_WORDS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "twelve", "twenty", "hundred", "thousand")
 
 
-def with_tokens(rows: DataFrame, ids: list[str]) -> DataFrame:
+def with_tokens(rows: DataFrame, ids: list[str], leading: bool = True) -> DataFrame:
     """``ids``, t, v: template tokens of ``text`` and, for placeholders, the values in the slots.
 
-    The raw tokens are a column of their own, so that a text is cut once and not for each token.
+    ``leading``: capitalised words at the start of a sentence are names too. The raw tokens are a column of their own, so that a text is cut once and not for each token.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cut = rows.select(*ids, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("raw"))
@@ -56,7 +59,7 @@ def with_tokens(rows: DataFrame, ids: list[str]) -> DataFrame:
         return (
             F.when(is_stop(x), F.struct(F.lit(None).cast("string").alias("t"), F.lit(None).cast("string").alias("v")))
             .when(is_number(x), slot(NUMBER))
-            .when((low != x) & (F.upper(x) != x) & before.isNotNull() & ~is_stop(before), slot(NAME))
+            .when((low != x) & (F.upper(x) != x) if leading else (low != x) & (F.upper(x) != x) & before.isNotNull() & ~is_stop(before), slot(NAME))
             .when(low.isin(*NUMBER_WORDS), slot(NUMBER))
             .when(low.isin(*UNITS) & before.isNotNull() & is_number(before), slot(UNIT))
             .otherwise(F.struct(low.alias("t"), F.lit(None).cast("string").alias("v")))
@@ -66,13 +69,13 @@ def with_tokens(rows: DataFrame, ids: list[str]) -> DataFrame:
     return both.select(*ids, F.col("tokens.t").alias("t"), F.col("tokens.v").alias("v"))
 
 
-def windows(rows: DataFrame, ids: list[str], sizes: list[int]) -> DataFrame:
+def windows(rows: DataFrame, ids: list[str], sizes: list[int], leading: bool = True) -> DataFrame:
     """``ids``, size, at, key: every window of ``text`` by its lower-cased words, usable ones by template too.
 
     A template without a placeholder is the lower-cased window, so it has one key.
     """
     low = F.zip_with("v", "t", lambda v, t: F.xxhash64(F.coalesce(v, t)))
-    hashed = with_tokens(rows, ids).select(*ids, F.transform("t", lambda x: F.xxhash64(x)).alias("h"), low.alias("p"), "v")
+    hashed = with_tokens(rows, ids, leading).select(*ids, F.transform("t", lambda x: F.xxhash64(x)).alias("h"), low.alias("p"), "v")
 
     def one(size: int) -> Column:
         def plain(i: Column) -> Column:
@@ -103,7 +106,7 @@ def _aligned(lines: DataFrame) -> DataFrame:
         same = F.coalesce(there("t", i) == t, F.lit(False))
         exact = F.coalesce(F.coalesce(other, there("t", i)) == F.coalesce(own, t), F.lit(False))
         slot = F.when(own.isNotNull() & same, F.struct(own.alias("own"), other.alias("other")))
-        return F.struct(F.when(same, F.when(own.isNull(), "w").otherwise("s")).otherwise("-").alias("template"), F.when(exact, "w").otherwise("-").alias("plain"), slot.alias("slot"))
+        return F.struct(F.when(same, F.when(own.isNull(), "w").otherwise("s")).when(exact, "w").otherwise("-").alias("template"), F.when(exact, "w").otherwise("-").alias("plain"), slot.alias("slot"))
 
     at = lines.withColumn("x", F.transform("item_t", token))
     at = at.withColumn("template", F.array_join("x.template", "")).withColumn("plain", F.array_join("x.plain", "")).withColumn("slots", F.col("x.slot"))
@@ -126,9 +129,14 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int
     sizes = sorted(r[0] for r in counted.select("own").distinct().collect())  # at most ``window`` values
     if not sizes:
         return docs.sparkSession.createDataFrame([], f"doc_id long, tkey long, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_windows long, item_windows long")
-    ours = windows(counted.select("ikey", "own", "text"), ["ikey", "own"], sizes).filter("size = own")
-    ours = materialize(ours.select("ikey", "key", F.col("at").alias("item_at")), "item-windows")
-    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    both = [windows(counted.select("ikey", "own", "text"), ["ikey", "own"], sizes, leading) for leading in (True, False)]
+    ours = both[0].union(both[1]).filter("size = own")
+    ours = materialize(ours.select("ikey", "key", F.col("at").alias("item_at")).distinct(), "item-windows")
+
+    def small(df: DataFrame, chars: str = "0") -> DataFrame:
+        rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.expr(chars)), F.lit(0))).first()
+        return F.broadcast(df) if rows <= broadcast_rows and size <= 32 * broadcast_rows else df
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
     theirs = windows(rows, ["doc_id", "tkey"], sizes).select("doc_id", "tkey", "key", "at")
     hits = materialize(theirs.join(small(ours), "key").select("doc_id", "tkey", "ikey", (F.col("at") - F.col("item_at")).alias("line")), "window-hits")
@@ -137,7 +145,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int
     texts = rows.join(small(lines.select("tkey").distinct()), "tkey", "left_semi").select("tkey", "text").dropDuplicates(["tkey"])
     cut = materialize(with_tokens(texts, ["tkey"]), "hit-texts")
     own = counted.select("ikey", "item_id", "n", "own", F.col("t").alias("item_t"), F.col("v").alias("item_v"))
-    held = _aligned(lines.join(small(own), "ikey").join(cut, "tkey")).select("tkey", "ikey", "item_id", "n", "own", "found")
+    held = _aligned(lines.join(small(own, "octet_length(array_join(item_t, '')) + octet_length(array_join(item_v, ''))"), "ikey").join(cut, "tkey")).select("tkey", "ikey", "item_id", "n", "own", "found")
     held = held.groupBy("tkey", "ikey").agg(F.first("item_id").alias("item_id"), F.first(F.col("n") - F.col("own") + 1).cast("long").alias("item_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("n_windows"))
     held = held.filter(F.col("n_windows") >= F.least(F.lit(least), F.ceil(F.col("item_windows") * share)))
     return hits.select("doc_id", "tkey", "ikey").distinct().join(held, ["tkey", "ikey"]).select("doc_id", "tkey", "item_id", "n_windows", "item_windows")
