@@ -45,7 +45,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.digest(repeats.strip(table(spark, sf_dir, "documents"), length=400))
+    return repeats.digest(table(spark, sf_dir, "documents"), length=400)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,17 @@
 """Removal of long byte strings that occur more than once in a corpus, by suffix arrays over shards.
 
-A string of ``length`` bytes has an *anchor*: the place of its smallest hashed 16-byte gram, leftmost on
+Strings are judged at two lengths in one pass: those of ``length`` bytes are removed, those of ``passage``
+bytes (at most ``length``) tell which passages of more than ``words`` words stand elsewhere too.
+
+A string of ``passage`` bytes has an *anchor*: the place of its smallest hashed 16-byte gram, leftmost on
 ties. Equal strings have equal anchors, so strings that could be equal meet if text is dealt out by
-anchor. Runs of starts with one anchor form a segment (the starts, and the bytes their strings cover).
+anchor. Runs of starts with one anchor form a segment: the starts, and the bytes that strings of
+``length`` bytes from there cover.
 
-1. Anchors that occur once in the corpus cannot hold a repeat and are dropped. A string reaches at least
-   half of its other bytes to one side of its anchor, so segments that share neither the half before
-   their anchor nor the half behind it with another one cannot either. That leaves little text.
+1. A string reaches at least half of its other bytes to one side of its anchor, so a segment that shares
+   neither the half before its anchor nor the half behind it cannot hold a repeat. A task counts the
+   hashes of these halves by itself first, so that one of a very common passage leaves it once; the
+   hashes that are counted twice or more in all name the texts and the segments to look at.
 2. Segments of the same bytes under one anchor are entered once with their number: if there are two, all
    their strings have another start, whatever else the shard holds. An anchor with one such segment alone
    leaves nothing to be sorted.
@@ -14,25 +19,28 @@ anchor. Runs of starts with one anchor form a segment (the starts, and the bytes
    hold, in as many surroundings), they are cut into blocks of ``refine`` starts and dealt by the bytes
    that all strings of a block share; blocks that are still too many together are cut into single
    strings, which can only meet their equals.
-4. Shards of segments are sorted by induced sorting; permuted common prefixes of ``length`` or more
-   mark the starts that repeat.
-5. Marks go back to every document by segment, and a document's bytes are dropped under the union of
-   the marked strings.
+4. Shards of segments are sorted by induced sorting; permuted common prefixes of ``passage`` and of
+   ``length`` bytes or more mark the starts that repeat.
+5. Marks go back to every different text by segment, and its bytes are dropped under the union of the
+   marked strings; rows take the result of their text.
 
-Hashes deal text out; only equality of whole segments rests on them (128 bits).
+Hashes deal text out; only equality of whole segments and of whole texts rests on them (128 bits).
 
-Defined cases: null texts are empty; texts shorter than ``length`` keep all their bytes; repeated rows
-are copies of each other and lose what they share; null doc_ids are rows like any other; extra columns
-are ignored by ``strip``; an empty table gives an empty result.
+Defined cases: null texts are empty; texts shorter than ``length`` keep all their bytes; texts of any
+length go in overlapping chunks of ``CHUNK`` bytes; repeated rows are copies of each other and lose what
+they share; null doc_ids are rows like any other; extra columns are ignored by ``strip``; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strophe.llm.common import materialize
@@ -40,215 +48,279 @@ from strophe.llm.suffixes import repeated_starts
 
 GRAM = 16
 CHUNK = 1 << 20
-UNIT = "key long, uid binary, many long, align int, content binary"
+PLACE = np.uint64((1 << 21) - 1)  # enough bits for a place in a chunk
+FLUSH = 1 << 20
+UNIT = "key long, uid binary, many long, starts int, align int, content binary"
+RUNS = "array<struct<begin:int,end:int,whole:boolean>>"
 
 
-def _anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, anchor place, first start, last start) of each segment of one text."""
-    text = np.frombuffer(raw, np.uint8)
-    words = np.ndarray((len(raw) - 7,), "<u8", buffer=raw, strides=(1,))
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64."""
+    odd = 0x9E3779B97F4A7C15
     with np.errstate(over="ignore"):
-        grams = (words[:-8] * np.uint64(0x9E3779B97F4A7C15)) ^ (words[8:] * np.uint64(0xC2B2AE3D27D4EB4F))
-        grams ^= grams >> np.uint64(29)
-        grams *= np.uint64(0xBF58476D1CE4E5B9)
-        grams ^= grams >> np.uint64(32)
-    span, starts = length - GRAM + 1, len(text) - length + 1
-    # the least of each window, from running minima of blocks to both sides; the place breaks ties to the left
-    pad = -(-len(grams) // span) * span - len(grams)
-    padded = np.r_[grams, np.full(pad, np.uint64(2**64 - 1))].reshape(-1, span)
-    to_right = np.minimum.accumulate(padded, axis=1).ravel()
-    to_left = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(to_left[:starts], to_right[span - 1 : span - 1 + starts])
-    # the leftmost place of that value at or after the start
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
-    if len(ranked) > 1 and (ranked[1:] == ranked[:-1]).any():
-        different, group = np.unique(grams, return_inverse=True)
-        key = np.sort(group.astype(np.int64) * len(grams) + np.arange(len(grams)))
-        value = np.searchsorted(different, least).astype(np.int64)
-        place = key[np.searchsorted(key, value * len(grams) + np.arange(starts))] % len(grams)
-    else:
-        place = order[np.searchsorted(ranked, least)]
-    change = np.r_[0, np.flatnonzero(place[1:] != place[:-1]) + 1]
-    low, high = change, np.r_[change[1:], starts] - 1
-    return grams[place[low]].view(np.int64), place[low], low, high
-
-
-def _segments(text: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(key, place, first start, last start); a long text goes in overlapping chunks."""
-    for at in range(0, max(1, len(text) - length + 1), CHUNK):
-        part = text[at : at + CHUNK + length - 1]
-        if len(part) >= length:
-            key, place, low, high = _anchors(part, length)
-            yield from zip(key.tolist(), (place + at).tolist(), (low + at).tolist(), (high + at).tolist(), strict=True)
-
-
-def _uid(key: int, align: int, content: bytes) -> bytes:
-    import xxhash
+        return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)]) for b in (odd, pow(odd, -1, 2**64)))
 
-    return xxhash.xxh3_128_digest(content, seed=(key ^ align) & (2**64 - 1))
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-def _sides(raw: bytes, place: int, low: int, high: int, length: int) -> tuple[int, int]:
-    """Hashes of the anchor with the half of a string before and behind it; 0 where no string has that much."""
-    import xxhash
 
-    half = (length - GRAM) // 2
-    left = xxhash.xxh3_64_intdigest(raw[place - half : place + GRAM], seed=1) if low <= place - half else 0
-    right = xxhash.xxh3_64_intdigest(raw[place : place + GRAM + half], seed=2) if high + length >= place + GRAM + half else 0
-    return left - (left >> 63 << 64), right - (right >> 63 << 64)
+def _anchors(raw: bytes, length: int) -> np.ndarray:
+    """One column a segment of one chunk: anchor hash, anchor place, first start, last start, left, right.
 
-
-def _scan(length: int):
+    ``left`` and ``right`` hash the anchor with the half of a string before and behind it; 0 where no
+    string has that much.
+    """
+    words = np.ndarray((len(raw) - 7,), "<u8", buffer=raw, strides=(1,))
+    span, half = length - GRAM + 1, (length - GRAM) // 2
+    with np.errstate(over="ignore"):
+        grams = _mixed((words[:-8] * np.uint64(0x9E3779B97F4A7C15)) ^ (words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)))
+        n, starts = len(grams), len(raw) - length + 1
+        # the least gram of each window, from running minima of blocks to both sides; its low bits are its place
+        packed = np.full(-(-n // span) * span, np.uint64(2**64 - 1))
+        packed[:n] = (grams & ~PLACE) | np.arange(n, dtype=np.uint64)
+        blocks = packed.reshape(-1, span)
+        to_right = np.minimum.accumulate(blocks, axis=1).ravel()
+        to_left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        least = np.minimum(to_left[:starts], to_right[span - 1 : span - 1 + starts])
+        low = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
+        high, place = np.r_[low[1:], starts] - 1, (least[low] & PLACE).astype(np.int64)
+        power, inverse = _powers(CHUNK + (1 << 16))
+        sums = np.r_[np.uint64(0), np.cumsum(grams * power[:n])]
+
+        def side(begin: np.ndarray, there: np.ndarray, salt: int) -> np.ndarray:
+            begin = np.where(there, begin, 0)
+            end = np.minimum(begin + half + 1, n)
+            return np.where(there, _mixed((sums[end] - sums[begin]) * inverse[begin] ^ np.uint64(salt)), np.uint64(0))
+
+        left, right = side(place - half, low <= place - half, 1), side(place, high + length >= place + GRAM + half, 2)
+    return np.stack([grams[place].view(np.int64), place, low, high, left.view(np.int64), right.view(np.int64)])
+
+
+def _segments(text: bytes, length: int) -> np.ndarray:
+    """``_anchors`` of one text, with places in the text; a long one goes in overlapping chunks."""
+    out = [np.zeros((6, 0), np.int64)]
+    for at in range(0, len(text) - length + 1, CHUNK):
+        part = _anchors(text[at : at + CHUNK + length - 1], length)
+        part[1:4] += at
+        out.append(part)
+    return np.concatenate(out, axis=1)
+
+
+def _counted(halves: list[np.ndarray], rows: list[np.ndarray]) -> pd.DataFrame:
+    """Each half once with its number; those that repeat here name their rows, with the number 0."""
+    half, row = np.concatenate(halves), np.concatenate(rows)
+    order = np.argsort(half, kind="stable")
+    half, row = half[order], row[order]
+    first = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
+    size = np.diff(np.r_[first, len(half)])
+    again = np.repeat(size > 1, size)
+    more = pd.DataFrame({"half": half[again], "row": row[again]}).drop_duplicates().assign(n=0)
+    return pd.concat([pd.DataFrame({"half": half[first], "row": row[first], "n": size}), more], ignore_index=True)
+
+
+def _halves(length: int):
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        halves, rows, held = [], [], 0
         for b in batches:
-            out = []
-            for doc, text, tkey in zip(b["doc"], b["text"], b["tkey"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                out += [(k, _uid(k, a - p + length, raw[a : z + length]), tkey, doc, a, z, a - p + length, *_sides(raw, p, a, z, length)) for k, p, a, z in _segments(raw, length)]
-            yield pd.DataFrame(out, columns=["key", "uid", "tkey", "doc", "low", "high", "align", "left", "right"])
+            for raw, row in zip(b["raw"], b["row"], strict=True):
+                own = _segments(raw, length)[4:].ravel()
+                own = own[own != 0]
+                halves.append(own)
+                rows.append(np.full(len(own), row))
+                held += len(own)
+                if held >= FLUSH:
+                    yield _counted(halves, rows)
+                    halves, rows, held = [], [], 0
+        if held:
+            yield _counted(halves, rows)
 
     return each
 
 
-def _content(length: int):
-    """Units of the representatives, from the texts that hold them."""
+def _uid(key: int, align: int, starts: int, content: bytes) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(content, seed=(key ^ align ^ (starts << 40)) & (2**64 - 1))
+
+
+def _units(short: int, length: int):
+    """The segments of a text whose left or right half is asked for."""
+    import xxhash
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text, reps in zip(b["text"], b["reps"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                for r in reps:
-                    out.append((r["key"], bytes(r["uid"]), r["many"], r["align"], raw[r["low"] : r["high"] + length]))
-            yield pd.DataFrame(out, columns=["key", "uid", "many", "align", "content"])
+            for raw, tkey, many, halves in zip(b["raw"], b["tkey"], b["many"], b["halves"], strict=True):
+                s = _segments(raw, short)
+                for key, place, low, high in s[:4, np.isin(s[4:], np.asarray(halves, np.int64)).any(axis=0)].T.tolist():
+                    content, starts, align = raw[low : high + length], high - low + 1, low - place + length
+                    whole = max(0, min(high, len(raw) - length) - low + 1)
+                    where = xxhash.xxh3_64_intdigest(tkey, seed=low)
+                    out.append((key, _uid(key, align, starts, content), many, starts, align, content, tkey, low, whole, where - (where >> 63 << 64)))
+            yield pd.DataFrame(out, columns=["key", "uid", "many", "starts", "align", "content", "tkey", "low", "whole", "place"])
 
     return each
 
 
-def _children(length: int, width: int):
+def _children(short: int, length: int, width: int):
     """Units of ``width`` starts, keyed by the bytes their strings share, with their parent."""
     import xxhash
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, uid, many, align, content in zip(b["key"], b["uid"], b["many"], b["align"], b["content"], strict=True):
-                starts = len(content) - length + 1
+            for key, uid, many, starts, align, content in zip(b["key"], b["uid"], b["many"], b["starts"], b["align"], b["content"], strict=True):
                 first = -(align % width)  # blocks lie on a grid that hangs on the anchor
                 for at in range(first, starts, width):
                     a, z = max(at, 0), min(at + width, starts)
-                    core = content[at + width - 1 : at + length]  # lies in every string of the block, cut or not
+                    core = content[at + width - 1 : at + short]  # lies in every string of the block, cut or not
                     child = xxhash.xxh3_64_intdigest(core, seed=(key + (align + at)) & (2**64 - 1))
                     child -= (child >> 63) << 64
                     own = content[a : z + length - 1]
-                    out.append((child, _uid(child, a - at, own), many, a - at, own, bytes(uid), a))
-            yield pd.DataFrame(out, columns=["key", "uid", "many", "align", "content", "parent", "at"])
+                    out.append((child, _uid(child, a - at, z - a, own), many, z - a, a - at, own, bytes(uid), a))
+            yield pd.DataFrame(out, columns=["key", "uid", "many", "starts", "align", "content", "parent", "at"])
 
     return each
 
 
-def _marks(length: int):
+def _marks(short: int, length: int):
     def shard(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("uid", ignore_index=True)
-        found = repeated_starts(b["content"].tolist(), length)
-        runs = [([0], [len(f)]) if n > 1 else _runs(f) for f, n in zip(found, b["many"], strict=True)]
-        return pd.DataFrame({"uid": b["uid"], "begin": [r[0] for r in runs], "end": [r[1] for r in runs]})
+        found = repeated_starts(b["content"].tolist(), b["starts"].to_numpy(), (short, length))
+        out = []
+        for content, starts, many, marked in zip(b["content"], b["starts"], b["many"], zip(*found, strict=True), strict=True):
+            if many > 1:  # every string of the segment has another start
+                marked = [np.arange(starts) + size <= len(content) for size in (short, length)]
+            out.append([(a, z, whole) for whole, m in zip((False, True), marked, strict=True) for a, z in _runs(m)])
+        return pd.DataFrame({"uid": b["uid"], "runs": out})
 
     return shard
 
 
-def _runs(marked: np.ndarray) -> tuple[list[int], list[int]]:
+def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
     edge = np.diff(np.r_[0, marked.astype(np.int8), 0])
-    return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def _sorted_out(units: DataFrame, length: int, group: int, refine: tuple[int, ...], shard_bytes: int) -> DataFrame:
-    """(uid, begin, end): the runs of marked starts of each unit that has any; ``units`` is written."""
-    spark = units.sparkSession
+def _sorted_out(units: DataFrame, short: int, length: int, group: int, refine: tuple[int, ...], shard_bytes: int) -> DataFrame:
+    """(uid, runs): the runs of marked starts of each unit that has any; ``units`` is written."""
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stats = units.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("many").alias("total")).filter("total > 1")
     stats = materialize(stats, "unit-keys")
     kept = units.join(stats, "key")
     out = None
     if refine and stats.filter(F.col("kinds") > group).limit(1).count():
         hot = materialize(kept.filter(F.col("kinds") > group).select(*units.columns), "hot-units")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         schema = f"{UNIT}, parent binary, at int"
-        cut = materialize(hot.repartition(parts).mapInPandas(_children(length, refine[0]), schema), "cut-units")
+        cut = materialize(hot.repartition(parts).mapInPandas(_children(short, length, refine[0]), schema), "cut-units")
         links = cut.select("uid", "parent", "at")
-        below = materialize(cut.groupBy("uid").agg(F.first("key").alias("key"), F.sum("many").alias("many"), F.first("align").alias("align"), F.first("content").alias("content")).select("key", "uid", "many", "align", "content"), "units")
-        found = materialize(_sorted_out(below, length, group, refine[1:], shard_bytes), "child-marks")
-        pairs = links.join(found, "uid").select(F.col("parent").alias("uid"), F.explode(F.arrays_zip(F.transform("begin", lambda x: x + F.col("at")).alias("begin"), F.transform("end", lambda x: x + F.col("at")).alias("end"))).alias("r"))
-        out = pairs.groupBy("uid").agg(F.collect_list("r").alias("r")).select("uid", F.col("r.begin").alias("begin"), F.col("r.end").alias("end"))
+        same = [F.first(c).alias(c) for c in ("key", "starts", "align", "content")]
+        below = materialize(cut.groupBy("uid").agg(F.sum("many").alias("many"), *same).select(*units.columns), "units")
+        found = materialize(_sorted_out(below, short, length, group, refine[1:], shard_bytes), "child-marks")
+        moved = F.transform("runs", lambda r: F.struct((r["begin"] + F.col("at")).alias("begin"), (r["end"] + F.col("at")).alias("end"), r["whole"].alias("whole")))
+        out = links.join(found, "uid").select(F.col("parent").alias("uid"), moved.alias("runs")).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
         kept = kept.filter(F.col("kinds") <= group)
     volume = kept.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    shards = max(1, -(-volume // shard_bytes))
-    dealt = kept.select("uid", "many", "content", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
-    marks = dealt.groupBy("shard").applyInPandas(_marks(length), "uid binary, begin array<int>, end array<int>").filter(F.size("begin") > 0)
+    # small shards while that gives every task some, full ones beyond
+    shards = max(1, -(-volume // shard_bytes), min(4 * parts, -(-volume // max(1, shard_bytes // 64))))
+    dealt = kept.select("uid", "many", "starts", "content", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
+    marks = dealt.groupBy("shard").applyInPandas(_marks(short, length), f"uid binary, runs {RUNS}").filter(F.size("runs") > 0)
     return marks if out is None else marks.unionByName(out)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tkey", F.unhex(F.md5("text")))
-
-
-def repeats(docs: DataFrame, length: int = 400, group: int = 512, refine: tuple[int, ...] = (16, 1), shard_bytes: int = 1 << 22) -> DataFrame:
-    """(tkey, runs): for each different text (md5) with repeats, the runs of bytes that they cover."""
-    texts = _texts(docs).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    scanned = texts.filter(F.octet_length("text") >= length).select("doc", "text", "tkey").mapInPandas(_scan(length), "key long, uid binary, tkey binary, doc long, low int, high int, align int, left long, right long")
-    scanned = materialize(scanned, "segments")
-    often = materialize(scanned.groupBy("key").count().filter("count > 1").select("key"), "anchors")
-    some = materialize(scanned.join(often, "key", "left_semi"), "candidates")
-    # counted by segment first: what copies share is one row by then
-    kinds = some.groupBy("uid", "left", "right").agg(F.count("*").alias("many"))
-    halves = kinds.select(F.explode(F.array_distinct(F.array("left", "right"))).alias("half"), "many").filter("half != 0").groupBy("half").agg(F.sum("many").alias("many")).filter("many > 1").select("half")
-    halves = materialize(halves, "halves")
-    hit = lambda side: halves.select(F.col("half").alias(side), F.lit(True).alias(f"{side}_hit"))
-    near = kinds.join(hit("left"), "left", "left").join(hit("right"), "right", "left").filter("left_hit OR right_hit").select("uid")
-    some = materialize(some.join(near, "uid", "left_semi").select("key", "uid", "tkey", "doc", "low", "high", "align"), "near-candidates")
-    units = some.groupBy("key", "uid").agg(F.count("*").alias("many"), F.min(F.struct("tkey", "doc", "low", "high", "align")).alias("rep"))
-    units = materialize(units, "segment-kinds")
-    mixed = units.groupBy("key").count().select("key", (F.col("count") > 1).alias("mixed"))
-    units = materialize(units.join(mixed, "key"), "kinds")
-    sure = units.filter("NOT mixed AND many > 1").select("uid", F.array(F.lit(0)).alias("begin"), F.array(F.col("rep.high") - F.col("rep.low") + 1).alias("end"))
-    reps = units.filter("mixed").groupBy("rep.tkey", "rep.doc").agg(F.collect_list(F.struct("key", "uid", "many", F.col("rep.low").alias("low"), F.col("rep.high").alias("high"), F.col("rep.align").alias("align"))).alias("reps"))
-    reps = materialize(reps, "representatives")  # a list is bounded by the length of its text
-    held = texts.join(reps, ["tkey", "doc"]).select("text", "reps").mapInPandas(_content(length), UNIT)
-    held = materialize(held.dropDuplicates(["uid"]), "units")
-    marks = materialize(_sorted_out(held, length, group, refine, shard_bytes).unionByName(sure), "marks")
-    spans = some.select("uid", "tkey", "low").distinct().join(marks, "uid")
-    runs = F.transform(F.arrays_zip("begin", "end"), lambda r: F.struct((r["begin"] + F.col("low")).alias("begin"), (r["end"] + F.col("low") + (length - 1)).alias("end")))
-    return spans.select("tkey", runs.alias("runs")).groupBy("tkey").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-
-
-def strip(docs: DataFrame, length: int = 400, **kw) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): every row of ``docs`` with the bytes that remain."""
-    runs = materialize(repeats(docs, length, **kw), "runs")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("raw"))
+    return rows.withColumn("tkey", F.unhex(F.md5("raw"))).withColumn("row", F.xxhash64("raw")).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
+
+
+def _found(docs: DataFrame, short: int, length: int, group: int, refine: tuple[int, ...], shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The different texts that could hold a repeat, (tkey, raw), and the runs of bytes, (tkey, runs)."""
+    texts = _texts(docs)
+    scanned = texts.filter(F.octet_length("raw") >= short).select("raw", "row").mapInPandas(_halves(short), "half long, row long, n long")
+    scanned = materialize(scanned, "halves")
+    # at most a row of each flush for a half, however common it is
+    met = scanned.filter("n > 0").withColumn("n", F.sum("n").over(W.partitionBy("half"))).filter("n > 1").select("row", "half")
+    hits = met.union(scanned.filter("n = 0").select("row", "half")).groupBy("row").agg(F.collect_set("half").alias("halves"))
+    each = texts.groupBy("row", "tkey").agg(F.count("*").alias("many"), F.min("doc").alias("doc"))
+    asked = materialize(each.join(hits, "row").select("tkey", "doc", "many", "halves"), "asked")  # a list is bounded by its text
+    held = materialize(texts.select("tkey", "doc", "raw").join(asked, ["tkey", "doc"]).drop("doc"), "held-texts")
+    # a row that repeats gives its units again; their number is above 1 then without it
+    units = materialize(held.mapInPandas(_units(short, length), f"{UNIT}, tkey binary, low int, whole int, place long"), "units")
+    kinds = units.groupBy("key", "uid").agg(F.sum("many").alias("many"), F.min("place").alias("place"), F.min("starts").alias("starts"), F.min("whole").alias("whole"))
+    kinds = materialize(kinds, "segment-kinds")
+    mixed = kinds.groupBy("key").agg((F.count("*") > 1).alias("mixed"))
+    kinds = materialize(kinds.join(mixed, "key"), "kinds")
+    all_of = lambda n, whole: F.struct(F.lit(0).alias("begin"), F.col(n).alias("end"), F.lit(whole).alias("whole"))
+    sure = kinds.filter("NOT mixed AND many > 1").select("uid", F.filter(F.array(all_of("starts", False), all_of("whole", True)), lambda r: r["end"] > 0).alias("runs"))
+    reps = units.drop("many").join(kinds.filter("mixed").select("uid", "place", "many"), ["uid", "place"]).select("key", "uid", "many", "starts", "align", "content")
+    reps = materialize(reps.dropDuplicates(["uid"]), "representatives")
+    marks = materialize(_sorted_out(reps, short, length, group, refine, shard_bytes).unionByName(sure), "marks")
+    spans = units.select("uid", "tkey", "low").join(marks, "uid")
+    reach = lambda r: r["end"] + F.col("low") - 1 + F.when(r["whole"], length).otherwise(short)
+    runs = F.transform("runs", lambda r: F.struct((r["begin"] + F.col("low")).alias("begin"), reach(r).alias("end"), r["whole"].alias("whole")))
+    return held.select("tkey", "raw"), spans.select("tkey", runs.alias("runs")).groupBy("tkey").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+
+
+def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def _whole_words(raw: bytes, a: int, z: int) -> int:
+    """The words of ``raw`` that lie in a..z with both their ends."""
+    part = raw[a:z]
+    words = len(part.split())
+    cut_left = a > 0 and not raw[a - 1 : a].isspace() and not part[:1].isspace()
+    cut_right = z < len(raw) and not raw[z : z + 1].isspace() and not part[-1:].isspace()
+    return words - cut_left - cut_right
+
+
+def stripped(
+    docs: DataFrame, length: int = 400, passage: int = 256, words: int = 50, group: int = 512, refine: tuple[int, ...] = (16, 1), shard_bytes: int = 1 << 22,
+) -> DataFrame:
+    """(tkey, n_removed, n_spans, n_passages, kept) of each different text (md5) that holds a repeat; written."""
+    held, runs = _found(docs, min(passage, length), length, group, refine, shard_bytes)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text, own in zip(b["text"], b["runs"], strict=True):
-                raw, kept, spans, at, removed = text.encode("utf-8", "surrogatepass"), [], 0, 0, 0
-                end = -1
-                for r in sorted((r["begin"], r["end"]) for r in own) if own is not None else ():
-                    if r[0] > end:
-                        spans += 1
-                        kept.append(raw[at : r[0]])
-                        removed += r[1] - r[0]
-                        end = at = r[1]
-                    elif r[1] > end:
-                        removed += r[1] - end
-                        end = at = r[1]
-                kept.append(raw[at:])
-                out.append((len(raw), removed, spans, b"".join(kept)))
-            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-            frame.insert(0, "doc_id", b["doc_id"].astype("Int64"))
-            yield frame
-
-    return _texts(docs).join(runs, "tkey", "left").select("doc_id", "text", "runs").mapInPandas(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def digest(stripped: DataFrame) -> DataFrame:
-    return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+            for tkey, raw, own in zip(b["tkey"], b["raw"], b["runs"], strict=True):
+                gone = _union([(r["begin"], r["end"]) for r in own if r["whole"]])
+                seen = _union([(r["begin"], r["end"]) for r in own])
+                kept = b"".join(raw[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(raw)], strict=True))
+                out.append((tkey, len(raw) - len(kept), len(gone), sum(_whole_words(raw, a, z) > words for a, z in seen), kept))
+            yield pd.DataFrame(out, columns=["tkey", "n_removed", "n_spans", "n_passages", "kept"])
+
+    once = held.join(runs, "tkey").dropDuplicates(["tkey"])
+    return materialize(once.mapInPandas(each, "tkey binary, n_removed long, n_spans long, n_passages long, kept binary"), "stripped")
+
+
+def _each_row(rows: DataFrame, own: DataFrame, kept: str) -> DataFrame:
+    """``rows`` with what their texts lose; texts that ``own`` does not have lose nothing."""
+    counts = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_removed", "n_spans", "n_passages")]
+    out = rows.join(own, "tkey", "left").select("doc_id", "n_bytes", *counts, F.coalesce("own", kept).alias(kept))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", kept, "n_passages")
+
+
+def strip(docs: DataFrame, length: int = 400, **kw) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, n_passages): every row of ``docs`` with the bytes that remain.
+
+    ``n_passages``: passages of more than ``words`` words that stand elsewhere too, removed or not.
+    """
+    rows = _texts(docs).select("doc_id", "tkey", F.octet_length("raw").cast("long").alias("n_bytes"), F.col("raw").alias("kept"))
+    return _each_row(rows, stripped(docs, length, **kw).withColumnRenamed("kept", "own"), "kept")
+
+
+def digest(docs: DataFrame, length: int = 400, **kw) -> DataFrame:
+    """``strip`` with the SHA-256 of the bytes that remain: no text is shuffled for it."""
+    rows = _texts(docs).select("doc_id", "tkey", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("kept_sha256"))
+    return _each_row(rows, stripped(docs, length, **kw).withColumn("own", F.sha2("kept", 256)).drop("kept"), "kept_sha256")

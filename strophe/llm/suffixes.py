@@ -115,19 +115,27 @@ def suffix_array(t: np.ndarray, alphabet: int, direct: int = 1024) -> np.ndarray
     return _induce(t, small, lms, starts)
 
 
-def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
-    """For each segment, whether each of its ``length``-byte strings starts elsewhere in the segments too."""
+def repeated_starts(segments: list[bytes], starts: np.ndarray, lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each of ``lengths`` and each segment, which of its first ``starts`` places begin a string of so
+    many bytes that begins at such a place elsewhere too, in the same segment or another one.
+    """
     text = np.frombuffer(bytes([SEPARATOR]).join(segments) + bytes([SEPARATOR]), np.uint8)
     n = len(text)
     sa = suffix_array(np.r_[text.astype(np.int64) + 1, 0], 257)[1:]
-    before = np.full(n, -1, np.int64)  # the suffix that sorts just before each suffix
+    ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)) + 1) - 1
+    cuts = np.r_[0, ends[:-1] + 1]
+    own = np.zeros(n + 1, np.int8)  # places that are starts; the bytes behind them belong to other segments
+    np.add.at(own, cuts, 1)
+    np.add.at(own, cuts + starts, -1)
+    own = np.cumsum(own)[:n] > 0
+    sa = sa[own[sa]]
+    before = np.full(n, -1, np.int64)  # the start that sorts just before each start
     before[sa[1:]] = sa[:-1]
-    ends = np.flatnonzero(text == SEPARATOR)
     left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
     # permuted common prefixes: where the neighbour moves along, the prefix is one shorter
     at = np.arange(n)
     chained = np.zeros(n, bool)
-    chained[1:] = (before[1:] > 0) & (before[1:] == before[:-1] + 1) & (text[:-1] == text[before[1:] - 1]) & (left[:-1] > 0)
+    chained[1:] = (before[1:] > 0) & (before[1:] == before[:-1] + 1) & (text[:-1] == text[before[1:] - 1]) & (left[:-1] > 0) & own[:-1]
     fresh = np.flatnonzero(~chained & (before >= 0))
     limit = np.minimum(left[fresh], left[before[fresh]])
     words = np.ndarray((n,), "<u8", buffer=text.tobytes() + b"\0" * 8, strides=(1,))
@@ -145,7 +153,10 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     plcp[fresh] = common
     origin = np.maximum.accumulate(np.where(chained, 0, at))
     plcp = np.maximum(plcp[origin] - (at - origin), 0)
-    again = plcp >= length
-    again[before[again]] = True
-    cuts = np.r_[0, ends[:-1] + 1]
-    return [again[a : max(a, e - length + 1)] for a, e in zip(cuts.tolist(), ends.tolist(), strict=True)]
+    plcp[before < 0] = 0
+    out = []
+    for length in lengths:
+        again = plcp >= length
+        again[before[again]] = True
+        out.append([again[a : a + k] for a, k in zip(cuts.tolist(), starts.tolist(), strict=True)])
+    return out
