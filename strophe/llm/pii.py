@@ -3,21 +3,31 @@
 High-recall generators propose overlapping candidates: the fixed forms themselves, telephone numbers in
 local form, disguised addresses, account numbers. Boosted trees score a candidate from its format
 (digits, separators, length, generator) and its context (what stands just before and after); they are
-evaluated as one Column expression. Labels for the fit need no annotation: among candidates of the
-fixed forms, those that pass the form's own check (Luhn, number ranges, digit counts) are positive and
-those that fail it are negative. The check itself is not a feature. For each generator the threshold
-is calibrated on all candidates of its form in different texts, at their full counts: the lowest at
-which the share of positives above it reaches ``precision``, both among all of them and among the half
-of the feature vectors that the fit does not see; a generator without such a threshold adds nothing.
-
-Candidates that overlap a fixed form are not added; fixed forms that pass their check always stay.
-Column expressions only on the executors; what comes to the driver is at most
-``train_rows`` distinct feature vectors, the most frequent, for the fit alone, and the counts by margin
-in steps of 1 / ``STEPS``.
-
-Defined cases: a null text is empty and has no span; rows with a null doc_id and repeated rows are
-scanned like any other; extra columns are ignored (``redact`` keeps them); an empty table gives an empty
-result; without candidates of both labels no span is added.
+evaluated as one Column expression.
+
+Labels need no annotation. They come from evidence that is not a feature, and candidates without any are
+not learned from:
+
+* fixed forms: their own check (Luhn, number ranges, digit counts);
+* local numbers: part of a valid international number, or behind a word for telephones, against part of
+  a valid address or card, a calendar date, a number behind a word for versions, orders or ids;
+* disguised addresses: an ending that valid addresses of the corpus have, against any other;
+* account numbers: the check digits modulo 97.
+
+For each generator the threshold is calibrated on all its labelled candidates in different texts, at
+their full counts: the lowest margin at which the share of positives above it reaches ``precision``, both
+among all of them and among the half of the texts that the fit does not see, which must have at least
+``least_seen`` positives there; a generator without such a threshold adds nothing. Of overlapping
+proposals the one with the largest excess over its threshold is taken first, and none that overlaps a
+fixed form; fixed forms that pass their check always stay.
+
+Column expressions only on the executors; what comes to the driver is at most ``train_rows`` distinct
+feature vectors, the most frequent, for the fit alone, ``ENDINGS`` endings, and the counts by margin in
+steps of 1 / ``STEPS``.
+
+Defined cases: a null text is empty and has no span; texts of any length are scanned whole; rows with a
+null doc_id and repeated rows are scanned like any other; extra columns are ignored (``redact`` keeps
+them); an empty table gives an empty result; without candidates of both labels no span is added.
 """
 
 from __future__ import annotations
@@ -28,7 +38,7 @@ from pyspark.sql import functions as F
 
 from strophe.llm.boosting import Forest, fit
 from strophe.llm.common import materialize
-from strophe.llm.spans import count, find, listed, overlaps, sha256
+from strophe.llm.spans import SPAN, count, find, listed, overlaps, sha256
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("phone_local", "email_disguised", "account")
@@ -44,8 +54,15 @@ PATTERNS = {
     "email_disguised": rf"(?i)(?<![{LOCAL}])[{LOCAL}]++\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{{2,}}+",
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
 }
-FEATURES = ("generator", "length", "digits", "separators", "letters", "groups", "first", "before_space", "before_word", "after_space", "after_mark", "near_at")
-
+FEATURES = ("generator", "length", "digits", "separators", "letters", "groups", "first", "before_space", "before_mark", "after_space", "after_mark", "near_at")
+#: What a text must hold for a pattern to be tried.
+HINTS = {
+    "email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "phone_local": r"[0-9]\)?[\x20.-][0-9]{2}",
+    "email_disguised": r"(?i)dot[\])\x20]", "account": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
+}
+CALLED, NUMBERED = r"(?i)(?:tel|phone|call|mobile|fax)\W*\z", r"(?i)(?:\bv|version|release|order|\bid|\bno|\bnr|isbn|#)\W*\z"
+DATE = r"^(?:(?:19|20)[0-9]{2}[\x20.-](?:0[1-9]|1[0-2])[\x20.-](?:[0-2][0-9]|3[01])|(?:[0-2][0-9]|3[01])[\x20.-](?:[0-2][0-9]|3[01])[\x20.-](?:(?:19|20)[0-9]{2}|[0-9]{2}))$"
+ENDINGS = 1000
 
 #: Steps of a margin of 1, for thresholds. Powers of two, so that a step is an exact margin.
 STEPS = 256
@@ -74,15 +91,30 @@ def passes(s: Column) -> Column:
     )
 
 
+def _checked_account(match: Column) -> Column:
+    """Whether the number with its first four letters behind and letters as 10 to 35 leaves 1 modulo 97."""
+    bare = F.replace(match, F.lit(" "), F.lit(""))
+    digits = F.filter(F.split(F.concat(F.substr(bare, F.lit(5)), F.left(bare, F.lit(4))), ""), lambda c: c != "")
+    step = lambda a, c: F.when(c < "A", a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(digits, F.lit(0), step) == 1
+
+
+def evidence(s: Column, base: Column) -> Column:
+    """1 or 0 where something but the features tells what a candidate is, else null; endings come later."""
+    part_of = lambda *kinds: F.exists(base, lambda o: o["kind"].isin(*kinds) & (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    local = F.when(part_of("phone"), 1).when(part_of("ip", "card"), 0).when(s["match"].rlike(DATE), 0).when(s["before"].rlike(CALLED), 1).when(s["before"].rlike(NUMBERED), 0)
+    return F.when(s["kind"] == "phone_local", local).when(s["kind"] == "account", _checked_account(s["match"]).cast("int")).when(s["kind"].isin("ip", "card", "phone"), passes(s).cast("int"))
+
+
 def described(s: Column) -> Column:
     """The features of a candidate, small whole numbers in the order of ``FEATURES``."""
     m, before, after = s["match"], s["before"], s["after"]
     capped = lambda c, most: F.least(c, F.lit(most)).cast("int")
-    form = F.when(s["kind"].isin("phone", "phone_local"), 0).when(s["kind"].isin("email", "email_disguised"), 1).when(s["kind"] == "ip", 2).otherwise(3)
+    generator = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]), F.lit(0))
     values = (
-        form, capped(F.length(m), 40), capped(F.length(_digits(m)), 24), capped(F.length(F.regexp_replace(m, r"[^\x20().-]", "")), 8),
+        generator, capped(F.length(m), 40), capped(F.length(_digits(m)), 24), capped(F.length(F.regexp_replace(m, r"[^\x20().-]", "")), 8),
         capped(F.length(F.regexp_replace(m, "[^A-Za-z]", "")), 20), capped(F.size(F.split(m, "[^0-9]+")), 8), F.when(m.rlike(r"^[+(]"), 1).otherwise(0),
-        F.when(before.rlike(r"\s\z"), 1).when(before == "", 2).otherwise(0), F.when(before.rlike(r"(?i)(?:tel|phone|call|mobile|fax|mail|contact|card|account|iban|ip|address)\W*\z"), 1).otherwise(0),
+        F.when(before.rlike(r"\s\z"), 1).when(before == "", 2).otherwise(0), F.when(before.rlike(r"[:=(\[<][\s]*\z"), 1).otherwise(0),
         F.when(after.rlike(r"^\s"), 1).when(after == "", 2).otherwise(0), F.when(after.rlike(r"^[.,;:!?)]"), 1).otherwise(0), F.when(F.concat(before, after).contains("@"), 1).otherwise(0),
     )
     return F.array(*[v.cast("int") for v in values])
@@ -108,23 +140,31 @@ def margin(features: Column, forest: Forest) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    return F.concat(*[find(text, pattern, kind, context=16) for kind, pattern in PATTERNS.items()])
+    """Every proposal; a pattern is tried on the texts that hold its hint."""
+    none = F.array().cast(SPAN)
+    hint = lambda kind: text.contains("@") if HINTS[kind] == "@" else text.rlike(HINTS[kind])
+    return F.concat(*[F.when(hint(kind), find(text, pattern, kind, context=16)).otherwise(none) for kind, pattern in PATTERNS.items()])
 
 
-def _counted(found: DataFrame) -> DataFrame:
-    """(form, features, y, n, held): candidates of the fixed forms over different texts, all of them.
+def _labelled(found: DataFrame) -> DataFrame:
+    """(kind, features, y, n, n_held): labelled candidates over different texts, all of them.
 
-    Both labels of a vector lie in the same half; ``held`` is the half that the fit does not see.
+    ``n_held`` counts those in the half of the texts that the fit does not see.
     """
-    one = found.filter(F.size("spans") > 0).dropDuplicates(["tkey"]).select(F.explode("spans").alias("s")).filter(F.col("s.kind").isin(*BASE))
-    groups = one.select("s.features", F.col("s.valid").cast("int").alias("y")).groupBy("features", "y").agg(F.count("*").alias("n"))
-    return groups.select(F.col("features")[0].alias("form"), "features", "y", "n", (F.pmod(F.xxhash64("features"), F.lit(2)) == 1).alias("held"))
-
-
-def train(found: DataFrame, train_rows: int = 20_000, precision: float = 0.95, trees: int = 12, depth: int = 3) -> tuple[Forest, dict[str, float]]:
-    """(trees, least margin of each added kind) from candidates of the fixed forms."""
-    seen = materialize(_counted(found), "vectors")
-    rows = seen.filter("not held").orderBy(F.desc("n"), "features", "y").limit(train_rows).collect()
+    one = found.filter(F.size("spans") > 0).dropDuplicates(["tkey"]).select("tkey", F.explode("spans").alias("s"))
+    common = one.filter("s.kind = 'email'").groupBy("s.ending").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ending").limit(ENDINGS)
+    endings = [r["ending"] for r in common.collect()]
+    y = F.when(F.col("s.kind") == "email_disguised", F.col("s.ending").isin(*endings).cast("int") if endings else F.lit(None).cast("int")).otherwise(F.col("s.y"))
+    held = F.pmod(F.xxhash64("tkey"), F.lit(2)) == 1
+    seen = one.select("s.kind", "s.features", y.alias("y"), held.alias("held")).filter("y IS NOT NULL")
+    return seen.groupBy("kind", "features", "y").agg(F.count("*").alias("n"), F.count(F.when(F.col("held"), 1)).alias("n_held"))
+
+
+def train(found: DataFrame, train_rows: int = 20_000, precision: float = 0.95, least_seen: int = 5, trees: int = 12, depth: int = 3) -> tuple[Forest, dict[str, float]]:
+    """(trees, least margin of each added kind) from the labelled candidates."""
+    seen = materialize(_labelled(found), "vectors")
+    n_fit = F.col("n") - F.col("n_held")
+    rows = seen.filter(n_fit > 0).orderBy(F.desc(n_fit), "kind", "features", "y").limit(train_rows).select("features", "y", n_fit.alias("n")).collect()
     none = Forest(np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)), -30.0)
     if len({r["y"] for r in rows}) < 2:
         return none, {}
@@ -137,15 +177,14 @@ def train(found: DataFrame, train_rows: int = 20_000, precision: float = 0.95, t
     w = np.array([max(1, round(r["n"] * min(1, 64 / total[tuple(r["features"])]))) for r in rows])
     forest = fit(np.repeat(x, w, 0), np.repeat(y, w), trees=trees, depth=depth, rate=0.3)
     step = F.floor(margin(F.col("features"), forest) * STEPS).alias("step")
-    n, good = F.col("n"), F.col("n") * F.col("y")
-    sums = [F.sum(F.when(when, c).otherwise(0)).alias(name) for name, when, c in (("n", F.lit(True), n), ("good", F.lit(True), good), ("held_n", F.col("held"), n), ("held_good", F.col("held"), good))]
-    steps = seen.select("form", step, "n", "y", "held").groupBy("form", "step").agg(*sums).collect()  # some thousands at most
+    sums = [F.sum(c * y).alias(f"{name}{label}") for name, c in (("n", F.col("n")), ("held", F.col("n_held"))) for label, y in (("", F.lit(1)), ("_good", F.col("y")))]
+    steps = seen.filter(F.col("kind").isin(*ADDED)).select("kind", step, "n", "n_held", "y").groupBy("kind", "step").agg(*sums).collect()  # some thousands at most
     least = {}
-    for kind, form in (("phone_local", 0), ("email_disguised", 1), ("account", 3)):
-        own = sorted(((r["step"], r["n"], r["good"], r["held_n"], r["held_good"]) for r in steps if r["form"] == form), reverse=True)
+    for kind in ADDED:
+        own = sorted(((r["step"], r["n"], r["n_good"], r["held"], r["held_good"]) for r in steps if r["kind"] == kind), reverse=True)
         above = np.cumsum(np.array([r[1:] for r in own], np.int64).reshape(-1, 4), 0)
         for cut, (all_n, all_good, held_n, held_good) in zip(own, above.tolist(), strict=True):
-            if held_n and all_good >= precision * all_n and held_good >= precision * held_n:
+            if held_good >= least_seen and all_good >= precision * all_n and held_good >= precision * held_n:
                 least[kind] = cut[0] / STEPS  # the last one is the lowest
     return forest, least
 
@@ -155,19 +194,29 @@ def _bare(s: Column) -> Column:
 
 
 def judged(text: Column) -> Column:
-    """The candidates of a text with the verdict of the form's own check and their features."""
+    """The candidates of a text: the verdict of the form's own check, features, evidence and ending."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.transform(candidates(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), passes(s).alias("valid"), described(s).alias("features")))
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  worked out once
+    ending = lambda s: F.when(s["kind"].startswith("email"), F.lower(F.regexp_extract(s["match"], r"([A-Za-z0-9-]+)\z", 1)))
+
+    def one(s: Column, base: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), passes(s).alias("valid"), described(s).alias("features"), evidence(s, base).alias("y"), ending(s).alias("ending"))
+
+    return let(candidates(text), lambda every: let(F.filter(every, passes), lambda base: F.transform(every, lambda s: one(s, base))))
 
 
 def chosen(spans: Column, forest: Forest, least: dict[str, float]) -> tuple[Column, Column]:
-    """(fixed forms, added ones) among judged candidates."""
+    """(fixed forms, added ones) among judged candidates: greedy by the excess over the threshold."""
     base = F.transform(F.filter(spans, lambda s: s["valid"]), _bare)
+    none = F.transform(F.filter(spans, lambda s: F.lit(False)), _bare)
     if not least:
-        return base, F.transform(F.filter(spans, lambda s: F.lit(False)), _bare)
+        return base, none
     bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-    good = F.filter(spans, lambda s: F.when(s["kind"].isin(*least), (margin(s["features"], forest) >= bound[s["kind"]]) & ~overlaps(base, s)).otherwise(False))
-    return base, F.transform(good, _bare)
+    over = lambda s: F.when(s["kind"].isin(*least), margin(s["features"], forest) - bound[s["kind"]])
+    good = F.filter(spans, lambda s: F.when(s["kind"].isin(*least), (over(s) >= 0) & ~overlaps(base, s)).otherwise(False))
+    ranked = F.array_sort(F.transform(good, lambda s: F.struct((-over(s)).alias("excess"), *[s[c].alias(c) for c in ("start", "end", "kind")])))
+    take = lambda kept, s: F.when(overlaps(kept, s), kept).otherwise(F.concat(kept, F.array(_bare(s))))
+    return base, F.aggregate(ranked, none, take)
 
 
 def scan(docs: DataFrame, train_rows: int = 20_000, precision: float = 0.95) -> DataFrame:

@@ -1,31 +1,39 @@
-"""Thresholds of the added kinds come from full counts, whatever the size of the fit."""
+"""Thresholds of the added kinds come from full counts of labelled candidates; planted data is found."""
+
+import random
 
 from pyspark.sql import functions as F
 
 from strophe.llm import pii
 
-SPAN = "tkey long, spans array<struct<start:int,end:int,kind:string,valid:boolean,features:array<int>>>"
+SPAN = "tkey long, spans array<struct<start:int,end:int,kind:string,valid:boolean,features:array<int>,y:int,ending:string>>"
+
+
+def _spans(spark, df):
+    """``df``: (f, ok, n), local numbers with evidence, each in a text of its own."""
+    each = df.select("f", "ok", F.explode(F.sequence(F.lit(1), "n")))
+    fields = {"start": F.lit(0), "end": F.lit(1), "kind": F.lit("phone_local"), "valid": F.lit(False), "features": F.col("f"), "y": F.col("ok").cast("int"), "ending": F.lit(None).cast("string")}
+    one = F.struct(*[c.alias(k) for k, c in fields.items()])
+    return each.select(F.monotonically_increasing_id().alias("tkey"), F.array(one).alias("spans")).to(spark.createDataFrame([], SPAN).schema)
 
 
 def _table(spark, valid, invalid):
-    """Telephone candidates of 40 vectors: all valid, but ``invalid`` of those of one length."""
+    """Candidates of 40 vectors: all good, but ``invalid`` of those of one length."""
     rows = []
     for length in range(10, 30):
         for before in (0, 1):
-            f = [0, length, 10, 2, 0, 3, 1, before, 0, 1, 0, 0]
+            f = [5, length, 10, 2, 0, 3, 1, before, 0, 1, 0, 0]
             good = length >= 20
             rows += [(f, True, valid)] if good else [(f, False, valid)]
             if good and invalid:
                 rows += [(f, False, invalid)]
-    df = spark.createDataFrame(rows, "f array<int>, ok boolean, n int").select("f", "ok", F.explode(F.sequence(F.lit(1), "n")))
-    one = F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("phone").alias("kind"), F.col("ok").alias("valid"), F.col("f").alias("features"))
-    return df.select(F.monotonically_increasing_id().alias("tkey"), F.array(one).alias("spans")).to(spark.createDataFrame([], SPAN).schema)
+    return _spans(spark, spark.createDataFrame(rows, "f array<int>, ok boolean, n int"))
 
 
 def test_precision_of_full_counts(spark):
-    """Of each good vector 1 in 31 is invalid: 0.97 at every size, also where both counts are over 64."""
-    for times in (1, 80):
-        _, least = pii.train(_table(spark, 30 * times, times))
+    """Of each good vector 1 in 61 is bad: above 0.95 at every size, also where both counts are over 64."""
+    for times in (4, 80):
+        _, least = pii.train(_table(spark, 60 * times, times))
         assert "phone_local" in least, times
 
 
@@ -36,10 +44,50 @@ def test_too_many_invalid(spark):
 
 def test_thresholds_are_not_of_the_fitted_rows_alone(spark):
     """Vectors beyond ``train_rows`` count: the most frequent ones are all good, the many rare ones are not."""
-    frequent = [([0, 25, 10, k, 0, 3, 1, 0, 0, 1, 0, 0], True, 20 + k) for k in range(8)] + [([0, 12, 10, k, 0, 3, 1, 0, 0, 1, 0, 0], False, 20 + k) for k in range(8)]
-    rare = [([0, 25, 10, k % 8, 0, 3, 1, 0, 0, 1, 0, 1 + k], False, 2) for k in range(200)]
-    df = spark.createDataFrame(frequent + rare, "f array<int>, ok boolean, n int").select("f", "ok", F.explode(F.sequence(F.lit(1), "n")))
-    one = F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("phone").alias("kind"), F.col("ok").alias("valid"), F.col("f").alias("features"))
-    found = df.select(F.monotonically_increasing_id().alias("tkey"), F.array(one).alias("spans"))
-    _, least = pii.train(found.to(spark.createDataFrame([], SPAN).schema), train_rows=6)
+    frequent = [([5, 25, 10, k, 0, 3, 1, 0, 0, 1, 0, 0], True, 200 + k) for k in range(8)] + [([5, 12, 10, k, 0, 3, 1, 0, 0, 1, 0, 0], False, 200 + k) for k in range(8)]
+    rare = [([5, 25, 10, k % 8, 0, 3, 1, 0, 0, 1, 0, 1 + k], False, 8) for k in range(200)]
+    df = spark.createDataFrame(frequent + rare, "f array<int>, ok boolean, n int")
+    _, least = pii.train(_spans(spark, df), train_rows=6)
     assert "phone_local" not in least
+
+
+def _account(rng):
+    body = "".join(rng.choice("0123456789") for _ in range(16))
+    check = 98 - int("".join(str(int(c, 36)) for c in f"{body}DE00")) % 97
+    return f"DE{check:02d}{body}"
+
+
+def test_planted(spark):
+    """Near misses of every generator teach it; planted local numbers, disguised addresses and accounts are found."""
+    rng = random.Random(17)
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(rng.choice("abcdefghimnorstu") for _ in range(rng.randint(3, 8)))
+    local = lambda: f"({rng.randint(200, 999)}) 555-{n(4)}"
+    disguised = lambda ending: f"{word()} (at) {word()} (dot) {ending}"
+    taught = [
+        lambda: f"+1 {local()}", lambda: f"tel: {local()}", lambda: f"{rng.randint(1, 254)}.{rng.randint(1, 254)}.{rng.randint(100, 254)}.{rng.randint(100, 254)}", lambda: f"20{n(2)}-0{rng.randint(1, 9)}-1{n(1)}",
+        lambda: f"version {rng.randint(10, 99)}.{rng.randint(10, 99)}.{rng.randint(10, 99)}", lambda: f"{word()}@{word()}.org", lambda: disguised("org"), lambda: f"{word()} at {word()} dot {word()}", lambda: _account(rng), lambda: f"DE{n(18)}",
+    ]
+    texts, want, clean = [], {}, set()
+    for _ in range(1500):
+        texts.append(f"{word()} {word()} {rng.choice(taught)()} {word()} {word()}")
+    for k in range(300):
+        kind, x = [("phone_local", local()), ("email_disguised", disguised("org")), ("account", _account(rng))][k % 3]
+        want[len(texts)] = f"{kind}:{len(a := f'{word()} {word()} ')}:{len(a) + len(x)}"
+        texts.append(f"{a}{x} {word()}")
+    for k in range(200):
+        clean.add(len(texts))
+        texts.append(f"{word()} {word()} {[f'20{n(2)}-0{rng.randint(1, 9)}-1{n(1)}', f'10.{rng.randint(10, 99)}.{rng.randint(10, 99)}', f'{word()} at {word()} dot {word()}', word()][k % 4]} {word()}")
+    rng.shuffle(order := list(range(len(texts))))
+    df = spark.createDataFrame([(k, texts[k]) for k in order], "doc_id long, text string")
+    got = {r["doc_id"]: set(filter(None, r["spans"].split(","))) for r in pii.digest(pii.scan(df)).collect()}
+    added = lambda k: {x for x in got[k] if x.split(":")[0] in pii.ADDED}
+    for kind in ("phone_local", "email_disguised"):
+        mine = [k for k, w in want.items() if w.startswith(kind)]
+        assert sum(want[k] in added(k) for k in mine) >= 0.9 * len(mine), kind
+    assert sum(bool(added(k)) for k in clean) <= 0.05 * len(clean)
+    # a number of the right form is as likely a wrong one here: the check digits are no feature
+    assert not any(x.startswith("account") for k in got for x in added(k))
+    for k in got:
+        places = sorted(tuple(map(int, x.split(":")[1:])) for x in added(k))
+        assert all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False))
