@@ -2,7 +2,8 @@
 
 Every vector is projected on ``projections`` random directions; each direction has one sorted array.
 A query opens a window around its own projection in each array (query-centred buckets), and all windows
-are widened together, round by round, by a factor (virtual rehashing: no table is built again). A
+are widened together, round by round, by a factor (virtual rehashing: no table is built again); a round
+counts only what it lets in. A
 vector that falls into at least ``threshold`` of the windows is a candidate and is verified with its
 exact score. A query's search ends once ``share`` of the shard's vectors plus five times ``k`` have been verified,
 or once the k best lie within the approximation radius; if neither happens, the windows end up covering
@@ -17,7 +18,8 @@ query's bests from all shards are merged by rank. Every row is indexed; no sampl
 
 Defined cases: vectors that are null, zero, of another length than the most common one, or that hold
 null or non-finite components take no part, as queries or candidates; rows with a null id neither; a
-repeated id is a candidate once for each of its rows, and never for itself; ties go to the smaller id;
+repeated id is one candidate, with the best score of its rows, never for itself, and one query, with what
+any of its rows finds; ties go to the smaller id;
 fewer than ``k`` candidates are all returned; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -42,54 +44,61 @@ def search_cell(
     ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, longest: float,
     k: int, projections: int, threshold: float, share: float, growth: float, seed: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, score) of at most ``k`` neighbours of each query in one shard."""
+    """(query row, vector row, score) of at most ``k`` neighbours of each query in one shard, of different ids."""
     n, dim = vectors.shape
     axes = np.random.default_rng(seed).standard_normal((dim + 1, projections))
     lift = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
     data = (np.c_[vectors, lift] @ axes).T
     order = np.argsort(data, axis=1, kind="stable")
-    arrays = np.take_along_axis(data, order, axis=1)
-    place = np.empty(order.shape, np.uint32)  # of each vector in each sorted array
-    np.put_along_axis(place, order, np.arange(n, dtype=np.uint32)[None, :], axis=1)
-    place = place.astype(np.uint16) if n < 1 << 16 else place
-    shifted, inside = np.empty_like(place), np.empty(place.shape, bool)
-    narrow = np.uint8 if projections < 256 else np.uint16
+    arrays, flat = np.take_along_axis(data, order, axis=1), order.ravel()
     norms = np.linalg.norm(queries, axis=1, keepdims=True)
     centres = (queries / norms * longest) @ axes[:-1]
     need, budget = int(np.ceil(threshold * projections)), share * n + 5 * k
-    first = max(float(arrays.std()), 1e-9) * 0.8
-    windows: list[tuple[np.ndarray, np.ndarray]] = []  # begin and width of every window, a pair for each round
+    first, row = max(float(arrays.std()), 1e-9) * 0.8, np.arange(projections) * n
+    name = np.unique(ids, return_inverse=True)[1]
+    several = name.max(initial=0) + 1 < n
+
+    def place(at: np.ndarray, side: str) -> np.ndarray:
+        return np.stack([np.searchsorted(a, c, side) for a, c in zip(arrays, at.T, strict=True)], 1) + row
+
+    def kth(done: np.ndarray, scores: np.ndarray) -> float | None:
+        """The k-th best score of different ids so far."""
+        best = scores[done]
+        if several:
+            each = np.full(name.max() + 1, -np.inf)
+            np.maximum.at(each, name[done], best)
+            best = each[each > -np.inf]
+        return float(np.partition(best, len(best) - k)[len(best) - k]) if len(best) >= k else None
+
+    middle = place(centres, "left")
+    windows: list[tuple[np.ndarray, np.ndarray]] = []  # both ends of every window, a pair for each round
     out_q, out_v, out_s = [], [], []
     for q in range(len(queries)):
-        done, scores = np.zeros(n, bool), np.full(n, -np.inf)
+        done, scores, counts = np.zeros(n, bool), np.full(n, -np.inf), np.zeros(n, np.int64)
         mine = ids == query_ids[q]
         others, radius, step = n - int(mine.sum()), first, 0
+        low = high = middle[q]
         while True:
             if step == len(windows):
-                low = np.stack([np.searchsorted(a, c - radius) for a, c in zip(arrays, centres.T, strict=True)], 1)
-                high = np.stack([np.searchsorted(a, c + radius, "right") for a, c in zip(arrays, centres.T, strict=True)], 1)
-                windows.append((low.astype(place.dtype), (high - low).astype(place.dtype)))
-            begin, width = windows[step]
-            # a place before the window wraps round to a large number
-            np.less(np.subtract(place, begin[q][:, None], out=shifted), width[q][:, None], out=inside)
-            counts = np.add.reduce(inside.view(np.uint8), axis=0, dtype=narrow)
+                windows.append((place(centres - radius, "left"), place(centres + radius, "right")))
+            begin, end = (side[q] for side in windows[step])
+            # only what this round lets in is counted
+            at, size = np.r_[begin, high], np.r_[low - begin, end - high]
+            low, high, done_before = begin, end, np.cumsum(size) - size
+            counts += np.bincount(flat[np.repeat(at - done_before, size) + np.arange(int(size.sum()))], minlength=n)
             new = np.flatnonzero((counts >= need) & ~done & ~mine)
             if len(new):
                 done[new] = True
                 scores[new] = np.einsum("ij,j->i", vectors[new], queries[q])
-            found = int(done.sum())
-            if found >= min(budget, others):
+            if int(done.sum()) >= min(budget, others):
+                break
+            worst = kth(done, scores)
+            if worst is not None and np.sqrt(max(0.0, 2 - 2 * worst / (norms[q, 0] * longest))) * longest <= radius / growth:
                 break
-            if found >= k:
-                kth = np.partition(scores[done], found - k)[found - k] / (norms[q, 0] * longest)
-                if np.sqrt(max(0.0, 2 - 2 * kth)) * longest <= radius / growth:
-                    break
             radius, step = radius * growth, step + 1
         at = np.flatnonzero(done)
-        if len(at) > k:
-            s = scores[at]
-            at = at[s >= np.partition(s, len(s) - k)[len(s) - k]]
-        at = at[np.lexsort((ids[at], -scores[at]))][:k]
+        at = at[np.lexsort((ids[at], -scores[at]))]
+        at = at[np.sort(np.unique(ids[at], return_index=True)[1])][:k]
         out_q.append(np.full(len(at), q))
         out_v.append(at)
         out_s.append(scores[at])
@@ -129,10 +138,13 @@ def search(
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         x, y = np.stack(d["embedding"].to_list()), np.stack(q["embedding"].to_list())
         ids, names = d["vec_id"].to_numpy(np.int64), q["vec_id"].to_numpy(np.int64)
+        once = np.unique(np.c_[ids.view(float), x], axis=0, return_index=True)[1] if len(np.unique(ids)) < len(ids) else slice(None)  # rows that repeat
+        ids, x = ids[once], x[once]
         at, v, s = search_cell(ids, x, names, y, longest, k, projections, threshold, share, growth, seed)
         return pd.DataFrame({"query_id": names[at], "vec_id": ids[v], "score": s})
 
     near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(cell, "query_id long, vec_id long, score double")
+    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -7,7 +7,8 @@ The classifier is fitted on a sample of at most ``train_rows`` labelled rows, ch
 id; it scores every whole text. Inputs of a score are statistics of the text alone.
 
 Defined cases: null and empty texts have the statistics of an empty text and get a score; rows with a
-null doc_id are not held out; null labels are skipped; repeated labels count as often as they stand; a
+null doc_id are not held out; null labels are skipped; a document counts once for each of its labels, by
+its smallest text if its rows repeat; texts of any length are read whole; a
 sample with one class or none gives a constant score (its smoothed rate, 0.5 without labels); extra
 columns are ignored; an empty table gives an empty result.
 """
@@ -122,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id")  # at most train_rows rows of 12 bytes
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most train_rows, however often rows repeat
     got = rows.mapInPandas(each, "y int, doc_id long, x array<double>").toPandas()
     got = got.assign(key=[tuple(v) for v in got["x"]]).sort_values(["doc_id", "y", "key"], ignore_index=True)
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))

@@ -3,15 +3,18 @@
 P(grade > k) = sigmoid(w x - theta_k): one weight vector for all grades, ordered thresholds. The score
 is the expected severity, the sum of P(grade > k) over k.
 
-The labels mark texts as toxic or not. Their grades are derived: 0 for a text that is not toxic; for a
-toxic one, how many of its terms are *markers* (words or stems much likelier in toxic texts of the
-sample), at least 1 and at most ``grades - 1``.
+The labels mark texts as toxic or not. Their grades are derived: 0 for a text that is not toxic; toxic ones
+are ranked by the density of *markers* (words or stems much likelier in toxic texts of the sample) among
+their terms, and cut into ``grades - 1`` parts of like numbers, so that every grade is filled. The density
+takes the length of a text into account, which is no feature. ``Model.filled`` holds the numbers.
 
 The vocabulary and the fit use a sample of at most ``train_rows`` labelled rows outside the held-out
 fold; the vocabulary keeps at most ``max_words`` words by chi-squared. Every whole text is scored.
 
 Defined cases: null and empty texts have no features; rows with a null doc_id are scored; null labels
-are skipped; without labels of both kinds the weights are zero and only the smoothed rate remains;
+are skipped; a document counts once for each of its labels, by its smallest text if its rows repeat; texts
+of any length are read whole; without labels of both kinds the weights are zero and only the smoothed rate
+remains; with fewer toxic texts than grades the upper grades stay empty;
 extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -37,6 +40,7 @@ class Model:
     vocabulary: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
+    filled: tuple[int, ...] = ()
 
     def above(self, margin: np.ndarray) -> np.ndarray:
         """P(grade > k), a column for each threshold."""
@@ -94,11 +98,19 @@ def fit(rows: list[dict[int, int]], grade: np.ndarray, words: int, grades: int,
     return w, first + np.r_[0, np.cumsum(np.exp(gaps))]
 
 
+def graded(toxic: np.ndarray, density: np.ndarray, grades: int) -> np.ndarray:
+    """0 for texts that are not toxic, 1 to ``grades - 1`` by rank of density for the others; equal ones share a grade."""
+    own = np.sort(density[toxic])
+    cuts = own[[len(own) * k // (grades - 1) for k in range(1, grades - 1)]] if len(own) >= grades - 1 else own[:0]
+    return np.where(toxic, 1 + np.searchsorted(cuts, density, "right"), 0).astype(np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, grades: int = 4, train_rows: int = 20_000, max_words: int = 4096, least_texts: int = 8) -> Model:
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     sample = own.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id")  # at most train_rows rows of 12 bytes
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most train_rows, however often rows repeat
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -124,25 +136,24 @@ def train(docs: DataFrame, labels: DataFrame, grades: int = 4, train_rows: int =
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [features(t, vocabulary) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "at": [list(f) for f in found], "n": [list(f.values()) for f in found]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "size": [len(terms(t)) for t in b["text"]], "at": [list(f) for f in found], "n": [list(f.values()) for f in found]})
 
-    got = rows.mapInPandas(sparse, "doc_id long, y int, at array<long>, n array<long>").toPandas()  # at most train_rows sparse rows
+    got = rows.mapInPandas(sparse, "doc_id long, y int, size long, at array<long>, n array<long>").toPandas()  # at most train_rows sparse rows
     got = got.sort_values(["doc_id", "y"], kind="stable", ignore_index=True)
     found = [dict(sorted(zip(map(int, a), map(int, n), strict=True))) for a, n in zip(got["at"], got["n"], strict=True)]
-    marked = np.array([sum(n for k, n in f.items() if marker[k]) for f in found], np.int64)
-    grade = np.where(got["y"].to_numpy(np.int64) == 1, np.clip(marked, 1, grades - 1), 0).astype(np.int64)
-    return Model(vocabulary, *fit(found, grade, len(vocabulary), grades))
+    density = np.array([sum(n for k, n in f.items() if marker[k]) for f in found], float) / np.maximum(got["size"].to_numpy(float), 1)
+    grade = graded(got["y"].to_numpy(np.int64) == 1, density, grades)
+    return Model(vocabulary, *fit(found, grade, len(vocabulary), grades), tuple(np.bincount(grade, minlength=grades).tolist()))
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """(doc_id, expected_severity, grade, p_toxic, toxic) of every row; ``grade`` is the likeliest."""
+    """(doc_id, expected_severity, grade, p_toxic, toxic) of every row; ``grade`` is the median."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             row, column, value = _sparse([features(t, model.vocabulary) for t in b["text"]])
             above = model.above(np.bincount(row, model.weights[column] * value, len(b)))
-            each_grade = -np.diff(np.c_[np.ones(len(b)), above, np.zeros(len(b))], axis=1)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "expected_severity": above.sum(axis=1), "grade": each_grade.argmax(axis=1).astype("int32"), "p_toxic": above[:, 0], "toxic": (above[:, 0] >= least).astype("int32")})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "expected_severity": above.sum(axis=1), "grade": (above >= 0.5).sum(axis=1).astype("int32"), "p_toxic": above[:, 0], "toxic": (above[:, 0] >= least).astype("int32")})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(each, "doc_id long, expected_severity double, grade int, p_toxic double, toxic int")

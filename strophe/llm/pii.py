@@ -252,4 +252,4 @@ def redact(docs: DataFrame, train_rows: int = 20_000, precision: float = 0.95) -
 def digest(found: DataFrame) -> DataFrame:
     counts = [count(F.col("base"), k).alias(f"n_{k}") for k in BASE]
     every = F.concat("base", "added")
-    return found.select("doc_id", *counts, sha256(listed(F.col("base"), BASE)).alias("base_sha256"), listed(every, KINDS).alias("spans"))
+    return found.select("doc_id", *counts, sha256(listed(F.col("base"), BASE)).alias("base_sha256"), listed(every, KINDS).alias("spans"), F.size(every).cast("long").alias("n_spans"))

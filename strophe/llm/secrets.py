@@ -14,7 +14,7 @@ ordinary ones slip through, thus need a higher value.
 
 Column expressions only; the thresholds are a few hundred counts.
 
-Defined cases: a null text is empty and has no span; rows with a null doc_id and repeated rows are
+Defined cases: a null text is empty and has no span; texts and runs of any length are tested whole; rows with a null doc_id and repeated rows are
 scanned like any other; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -114,7 +114,11 @@ def thresholds(counts: list, fdr: float = 0.05) -> dict[int, float]:
 
 
 def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
-    """(doc_id, base, added): the spans of every row of ``docs``."""
+    """(doc_id, base, added, runs): the spans of every row of ``docs``.
+
+    ``runs``: every tested run (start, end, p, random), also those that overlap a fixed form; ``random`` is
+    the battery's verdict, ``added`` are the random ones that no fixed form covers.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     assign = F.filter(find(F.col("text"), ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 6)
@@ -125,15 +129,19 @@ def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     found = materialize(runs.select("doc_id", plain.alias("base"), scored.alias("runs")), "secret-runs")
     one = found.select(F.explode("runs").alias("r")).select("r.class", F.floor(F.col("r.p") * BINS).cast("int").alias("bin"))
     least = thresholds(one.groupBy("class", "bin").agg(F.count("*").alias("n")).collect(), fdr)  # classes x bins rows at most
-    if least:
-        bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-        passed = F.filter("runs", lambda s: F.coalesce(s["p"] >= F.try_element_at(bound, s["class"]), F.lit(False)) & ~overlaps(F.col("base"), s))
-    else:
-        passed = F.filter("runs", lambda s: F.lit(False))
-    return found.select("doc_id", "base", passed.alias("added"))
+    bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair]) if least else None
+    random = lambda s: F.coalesce(s["p"] >= F.try_element_at(bound, s["class"]), F.lit(False)) if least else F.lit(False)
+    tested = F.transform("runs", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["p"].alias("p"), random(s).alias("random")))
+    tried = found.select("doc_id", "base", tested.alias("runs"))
+    return tried.select("doc_id", "base", F.filter("runs", lambda s: s["random"] & ~overlaps(F.col("base"), s)).alias("added"), "runs")
 
 
 def digest(found: DataFrame) -> DataFrame:
     every = F.concat("base", F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     counts = [count(F.col("base"), k).alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, sha256(listed(F.col("base"), BASE)).alias("base_sha256"), listed(every, KINDS).alias("spans"))
+    random = F.filter("runs", lambda s: s["random"])
+    shown = F.transform("runs", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), F.format_number(s["p"], 4), F.when(s["random"], "random").otherwise("plain")))
+    return found.select(
+        "doc_id", *counts, sha256(listed(F.col("base"), BASE)).alias("base_sha256"), listed(every, KINDS).alias("spans"),
+        F.size("runs").cast("long").alias("n_runs"), F.size(random).cast("long").alias("n_random"), F.array_join(shown, ",").alias("verdicts"),
+    )

@@ -205,5 +205,7 @@ def standing(docs: DataFrame, named: DataFrame) -> DataFrame:
     again = materialize(again.select("_id"), "repeated-ids")
     if not again.limit(1).count():
         return kept
-    once = kept.join(again, kept["doc_id"] == again["_id"], "left_semi").orderBy("text").dropDuplicates(["doc_id"])
+    some = kept.join(again, kept["doc_id"] == again["_id"], "left_semi")
+    order = F.struct(F.col("text").isNotNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))  # a null text first
+    once = some.groupBy("doc_id").agg(F.min_by(F.struct(*some.columns), order).alias("_row")).select("_row.*")
     return kept.join(again, kept["doc_id"] == again["_id"], "left_anti").unionByName(once)

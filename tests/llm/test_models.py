@@ -32,6 +32,23 @@ def test_held_out(tables, module, label, column, least):
     assert auc(got[held][column].to_numpy(), got[held]["mark"].to_numpy()) > least
 
 
+def test_grades_are_filled_and_predicted(tables):
+    """Each derived grade holds a like share of the toxic texts, each is predicted, and severity follows the density."""
+    docs, labels = tables
+    model = ordinal.train(docs, labels)
+    assert len(model.filled) == 4 and min(model.filled[1:]) > 0.2 * sum(model.filled[1:])
+    got = ordinal.score(docs, model).toPandas()
+    assert set(got["grade"]) == {0, 1, 2, 3} and ((got["grade"] > 0) == (got["toxic"] == 1)).all()
+    mean = got.groupby("grade")["expected_severity"].mean()
+    assert (np.diff(mean) > 0).all()
+
+
+def test_graded():
+    toxic, density = np.array([0, 1, 1, 1, 1, 1, 1], bool), np.array([9, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6])
+    assert ordinal.graded(toxic, density, 4).tolist() == [0, 1, 1, 2, 2, 3, 3]
+    assert ordinal.graded(toxic[:2], density[:2], 4).tolist() == [0, 1] and ordinal.graded(toxic[:0], density[:0], 4).tolist() == []
+
+
 def test_labels_of_the_held_out_fold_are_not_read(tables):
     docs, labels = tables
     from pyspark.sql import functions as F
@@ -82,6 +99,13 @@ def test_model_edges(spark, module, label):
         assert all(np.isfinite(r[first]) for r in out.collect())
 
 
+def test_repeated_rows_stay_bounded(spark):
+    """A labelled id on very many rows is one row of the fit."""
+    docs = spark.range(30_000).selectExpr("1L AS doc_id", "concat('text ', id) AS text").unionByName(spark.createDataFrame([(2, "other words")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sum(ordinal.train(docs, labels).filled) == 2
+
+
 def test_keep(spark, tables):
     docs, labels = tables
     model = boosting.train(docs, labels)

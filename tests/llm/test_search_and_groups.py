@@ -50,6 +50,25 @@ def test_ann_edges(spark):
     assert ann.search(df, df.limit(0), k=5).count() == 0
 
 
+def test_ann_repeated_rows(spark):
+    """Ids that repeat, as queries and as candidates, give twenty different neighbours with the best scores."""
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(400)]
+    many = rows + [rows[20]] * 2 + [rows[33]] * 150 + [(44, rng.normal(size=8).tolist())]
+    df = spark.createDataFrame(many, VECTORS).repartition(5)
+    got = ann.search(df, df.filter("vec_id % 20 = 0"), k=20, shard_rows=150, block_rows=8, share=1.0).toPandas()
+    for q, g in got.groupby("query_id"):
+        g = g.sort_values("rank")
+        own = np.array([v for i, v in many if i == q], np.float32).astype(float)
+        best = {}
+        for i, v in many:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), (own @ np.array(v, np.float32).astype(float)).max())
+        want = sorted((-s, i) for i, s in best.items())[:20]
+        assert g["rank"].tolist() == list(range(1, 21)) and g["vec_id"].tolist() == [i for _, i in want]
+    assert got["query_id"].nunique() == 20
+
+
 def fingerprint(text, words):
     parts = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]
     if not parts:

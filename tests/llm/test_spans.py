@@ -107,6 +107,31 @@ def test_random_strings_are_found(spark):
     assert sum("random" in got[k] for k in range(400, 600)) == 0
 
 
+@pytest.mark.parametrize("size", [20, 24, 28, 32, 48])
+def test_planted_keys_by_length(spark, size):
+    """Verdicts on random keys in prose, among words and paths of the same length: precision and recall."""
+    rng = random.Random(size)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(rng.choice(alnum) for _ in range(size))
+    word = lambda: "".join(rng.choice(("thi", "ser", "ver", "ung", "lich", "tion", "and", "ent")) for _ in range(size))[:size]
+    path = lambda: ("home/user/" + word())[:size]
+    rows = [(k, f"see {(key, word, path)[k % 3]()} in the text", k % 3 == 0) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, is_key boolean")
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(df)).collect()}
+    found = [k for k, _, is_key in rows if got[k]["n_random"]]
+    right = sum(rows[k][2] for k in found)
+    assert right >= 0.9 * len(found) and right >= 0.4 * 300, (right, len(found))
+    assert all(got[k]["n_runs"] == 1 and got[k]["verdicts"].startswith(f"4:{4 + size}:") for k in got)
+
+
+def test_verdicts_on_fixed_forms(spark):
+    """A run inside a fixed form keeps its verdict and is not added again."""
+    rng = random.Random(3)
+    rows = [(k, 'token = "' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"') for k in range(200)]
+    got = secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sum(r["n_random"] for r in got) > 100 and all("random" not in r["spans"] for r in got)
+
+
 def test_redact(spark):
     schema = "doc_id long, text string, lang string, n_chars long, spans int"
     rows = [(1, "write to a@b.cd or 1.2.3.4 now", "en", 30, 1), (2, "nothing here", "en", 12, 2), (3, None, None, None, None), (None, "+49 30 12345678", "de", 15, 4)]
