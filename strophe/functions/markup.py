@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,23 +50,39 @@ def _escaped(text: str) -> str:
     return text
 
 
-def html(nodes: list, depth: int = 0) -> str:
-    level = f" repeat-depth-{min(depth, 3)}" if depth else ""
-    mark = '<span class="repeat-marker">{}</span>'.format
-    return "".join(
-        _escaped(x) if isinstance(x, str) else f'{mark("/")}<span class="repeat{level}">{html(x, depth + 1)}</span>{mark(f"/{x.count}р.")}' for x in nodes
-    )
+def walk(nodes: list) -> Iterator[tuple[int, str | Repeat, bool]]:
+    """(depth, node, whether it ends here) in document order: texts once, repeats at both ends."""
+    open_: list[tuple[Repeat | None, Iterator]] = [(None, iter(nodes))]
+    while open_:
+        own, rest = open_[-1]
+        x = next(rest, None)
+        if isinstance(x, Repeat):
+            yield len(open_) - 1, x, False
+            open_.append((x, iter(x)))
+        elif x is not None:
+            yield len(open_) - 1, x, True
+        else:
+            open_.pop()
+            if own is not None:
+                yield len(open_) - 1, own, True
 
 
-def _flat(nodes: list, depth: int = 0) -> list[tuple]:
-    out: list[tuple] = []
-    for x in nodes:
+def html(nodes: list) -> str:
+    mark = '<span class="repeat-marker">{}</span>'.format
+    out = []
+    for depth, x, ends in walk(nodes):
         if isinstance(x, str):
-            out.append((depth, "text", x, None))
+            out.append(_escaped(x))
+        elif ends:
+            out += ["</span>", mark(f"/{x.count}р.")]
         else:
-            out.append((depth, "repeat", None, x.count))
-            out += _flat(x, depth + 1)
-    return out
+            level = f" repeat-depth-{min(depth, 3)}" if depth else ""
+            out += [mark("/"), f'<span class="repeat{level}">']
+    return "".join(out)
+
+
+def _flat(nodes: list) -> list[tuple]:
+    return [(depth, "text", x, None) if isinstance(x, str) else (depth, "repeat", None, x.count) for depth, x, ends in walk(nodes) if ends == isinstance(x, str)]
 
 
 @F.pandas_udf(NODE)

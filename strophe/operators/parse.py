@@ -125,12 +125,12 @@ def parse_songs(files: DataFrame) -> DataFrame:
     good = parse_header(files).filter("ok").select("file", "n", "title")
     chunks = split_variants(files.select("file", body_text(F.col("text")).alias("body")), ["file"])
     whole = nested(chunks, split_parts(chunks, ["file"]), ["file"])
-    return with_ordinal(good.join(whole, "file"), "file", "id").select("file", "id", "n", "title", "variants")
+    return with_ordinal(good.join(whole, "file"), "id", F.col("file")).select("file", "id", "n", "title", "variants")
 
 
 def assign_song_id(files: DataFrame) -> DataFrame:
     """(file, id): dense place among the files that have a header, in file order."""
-    return with_ordinal(parse_header(files).filter("ok").select("file"), "file", "id")
+    return with_ordinal(parse_header(files).filter("ok").select("file"), "id", F.col("file"))
 
 
 def song_to_text(songs: DataFrame) -> DataFrame:

@@ -6,31 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strophe.sources.workspace import materialize
 
-def _coarse(df: DataFrame, name: str) -> Column:
-    """A number that never falls while the column rises: strings by their first six bytes."""
-    if df.schema[name].dataType.simpleString() != "string":
-        return F.col(name).cast("double")
-    head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
 
+def ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` dealt over ranges of ``order``, with _range and _place, the place inside of it."""
+    salted = df.withColumn("_salt", F.monotonically_increasing_id())
+    dealt = salted.repartitionByRange(*order, "_salt").sortWithinPartitions(*order, "_salt")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return dealt.withColumns({"_range": F.spark_partition_id(), "_place": place}).drop("_salt")
 
-def with_ordinal(df: DataFrame, key: str, name: str, first: int = 0, splits: int = 64, descending: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` and its dense place by (``key``, ``ties``).
 
-    Rows are dealt over ranges of ``key`` between approximate percentiles and numbered inside their range;
-    the sizes of at most ``splits`` ranges give each range its offset. Every sort is one range's.
+def with_ordinal(df: DataFrame, name: str, *order: Column, first: int = 0) -> DataFrame:
+    """``df`` and its dense place by ``order``; rows that are equal in it get places in any order.
+
+    Rows are dealt over ranges of the whole order, with their own place in the table as the last key, so
+    that not even equal rows must share a range. The ranges are written, numbered inside, and the counts
+    of the ranges, a row for each partition, give each one its offset.
     """
-    coarse = -_coarse(df, key) if descending else _coarse(df, key)
-    cuts = df.agg(F.percentile_approx(coarse, [k / splits for k in range(1, splits)], 1000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < coarse)) if cuts else F.lit(0)
-    ranged = df.withColumn("_range", bucket)
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))  # at most ``splits`` rows
-    inside = W.partitionBy("_range").orderBy(F.desc(key) if descending else F.col(key), *ties)
-    placed = ranged.withColumn("_place", F.row_number().over(inside)).join(F.broadcast(offsets), "_range")
-    return placed.withColumn(name, (F.col("_before") + F.col("_place") - 1 + first).cast("long")).drop("_range", "_place", "_before")
+    placed = materialize(ranged(df, *order), "ordinals")
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    numbered = placed.join(F.broadcast(offsets), "_range")  # a row for each partition
+    return numbered.withColumn(name, (F.col("_before") + F.col("_place") + first).cast("long")).drop("_range", "_place", "_before")
 
 
 def top(df: DataFrame, k: int | None, *order: Column) -> DataFrame:

@@ -8,6 +8,7 @@ the distinct vocabulary, never with occurrences.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,9 @@ TITLE_BASE = 2.0
 HIT = "n string, variantIndex int, score double, title string, matchType string"
 K1, B = 1.2, 0.75
 
+#: Terms that go into a scan's filter.
+LISTED = 2000
+
 
 def prepare_song(songs: DataFrame) -> DataFrame:
     """(n, title, content): all variants in one."""
@@ -34,21 +38,23 @@ def prepare_song(songs: DataFrame) -> DataFrame:
 
 def prepare_variants(songs: DataFrame) -> DataFrame:
     """(ref, n, title, content, variantIndex): one row a variant; a song without variants has an empty one."""
+    return _variants(songs).drop("raw_title")
+
+
+def _variants(songs: DataFrame) -> DataFrame:
     empty = F.array_compact(F.array(F.lit(None).cast(songs.schema["variants"].dataType.elementType)))
     some = F.when(F.col("variants").isNull(), F.array(F.lit(None).cast(songs.schema["variants"].dataType.elementType))).otherwise(F.coalesce("variants", empty))
     rows = songs.select("number", "title", F.posexplode(some).alias("variantIndex", "v"))
     parts = F.transform(F.coalesce(F.col("v.body"), F.array_compact(F.array(F.lit(None).cast(rows.schema["v"].dataType["body"].dataType.elementType)))), lambda p: clean_text(p["content"]))
     return rows.select(
         F.concat(F.col("number").cast("string"), F.lit(":"), F.col("variantIndex").cast("string")).alias("ref"), F.col("number").alias("n"),
-        clean_text(F.col("title")).alias("title"), F.array_join(parts, " ").alias("content"), "variantIndex",
+        clean_text(F.col("title")).alias("title"), F.array_join(parts, " ").alias("content"), "variantIndex", F.col("title").alias("raw_title"),
     )
 
 
 def exact_index(songs: DataFrame) -> DataFrame:
     """(n, title, variantIndex, titleFlat, textFlat); the text starts with the title."""
-    rows = prepare_variants(songs).withColumnRenamed("title", "clean")
-    titles = songs.select(F.col("number").alias("n"), F.coalesce("title", F.lit("")).alias("title"))
-    return flat_index(rows.join(titles, "n"))
+    return flat_index(_variants(songs).select("n", F.coalesce("raw_title", F.lit("")).alias("title"), "variantIndex", F.col("title").alias("clean"), "content"))
 
 
 def flat_index(rows: DataFrame) -> DataFrame:
@@ -113,27 +119,38 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select(size("title").alias("t"), size("content").alias("c")).agg(F.count("*").alias("docs"), F.avg("t").alias("avg_title"), F.avg("c").alias("avg_content"))
 
 
-def matched_terms(index: DataFrame, terms: list[str], fuzzy: int, transposed: bool = False) -> DataFrame:
-    """(term, required) of the vocabulary: all query terms but the last as they are, words near the last.
+def vocabulary_of(index: DataFrame) -> DataFrame:
+    """(term, df): in how many variants each term stands."""
+    return index.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def matched_terms(vocabulary: DataFrame, terms: list[str], fuzzy: int, transposed: bool = False) -> DataFrame:
+    """(term, df, required) of the vocabulary: all query terms but the last as they are, words near the last.
 
     ``transposed`` counts two swapped letters as one edit.
     """
     *need, last = terms
-    vocabulary = index.select("term").distinct()
     near = F.length("term").between(len(last) - fuzzy, len(last) + fuzzy) & F.levenshtein("term", F.lit(last), fuzzy).between(0, fuzzy)
     if transposed:
         swaps = {last[:k] + last[k + 1] + last[k] + last[k + 2 :] for k in range(len(last) - 1)}
         for s in sorted(swaps):
             near = near | (F.length("term").between(len(s) - fuzzy + 1, len(s) + fuzzy - 1) & F.levenshtein("term", F.lit(s), fuzzy - 1).between(0, fuzzy - 1))
     required = F.col("term").isin(*need) if need else F.lit(False)
-    return vocabulary.filter(required | near).select("term", required.alias("required"))
+    return vocabulary.filter(required | near).select("term", "df", required.alias("required"))
 
 
 def bm25(index: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
-    """(ref, n, variantIndex, score, required_found): boosted BM25 of both fields over ``terms``."""
+    """(ref, n, variantIndex, score, required_found): boosted BM25 of both fields over ``terms``.
+
+    Up to ``LISTED`` terms become a filter of the scan and a small broadcast; more are joined by shuffle.
+    """
     total = stats.first()  # one row
-    hits = index.join(F.broadcast(terms), "term")  # near words of one term
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    some = terms.limit(LISTED + 1).collect()
+    if len(some) <= LISTED:
+        found = index.sparkSession.createDataFrame(some, terms.schema)
+        hits = index.filter(F.col("term").isin(*[r["term"] for r in some])).join(F.broadcast(found), "term")
+    else:
+        hits = index.join(terms, "term")
     idf = F.log(1 + (F.lit(total["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
     def part(tf: str, length: str, mean: float | None, boost: float) -> Column:
@@ -141,7 +158,7 @@ def bm25(index: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
         return boost * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * norm)
 
     weight = part("tf_title", "len_title", total["avg_title"], TITLE_BOOST) + part("tf_content", "len_content", total["avg_content"], CONTENT_BOOST)
-    scored = hits.join(F.broadcast(df), "term").withColumn("s", idf * weight)
+    scored = hits.withColumn("s", idf * weight)
     return scored.groupBy("ref", "n", "variantIndex").agg(F.sum("s").alias("score"), F.countDistinct(F.when(F.col("required"), F.col("term"))).alias("required_found"))
 
 
@@ -150,7 +167,9 @@ def search_lexical(index: DataFrame, stats: DataFrame, query: str | None, limit:
     return top(lexical_hits(index, stats, query, **kw), limit, *order_lexical())
 
 
-def lexical_hits(index: DataFrame, stats: DataFrame, query: str | None, stem: Callable[[Column], Column] | None = None, fuzzy: int = FUZZY, transposed: bool = False) -> DataFrame:
+def lexical_hits(
+    index: DataFrame, stats: DataFrame, query: str | None, stem: Callable[[Column], Column] | None = None, fuzzy: int = FUZZY, transposed: bool = False, vocabulary: DataFrame | None = None,
+) -> DataFrame:
     """Hits of the last term, with up to ``fuzzy`` edits, in variants that hold all other terms; where no
     variant holds them all, hits of any term. ``+ * ~ ^`` are letters like any other."""
     spark = index.sparkSession
@@ -160,7 +179,7 @@ def lexical_hits(index: DataFrame, stats: DataFrame, query: str | None, stem: Ca
     terms = q.split()
     if stem:
         terms = [r["t"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(terms)], "k int, t string").withColumn("t", stem(F.col("t"))).orderBy("k").collect()]
-    scored = bm25(index, stats, matched_terms(index, terms, fuzzy, transposed))
+    scored = bm25(index, stats, matched_terms(vocabulary_of(index) if vocabulary is None else vocabulary, terms, fuzzy, transposed))
     strict = scored.filter(F.col("required_found") == len(set(terms[:-1])))
     any_strict = strict.select(F.lit(1).alias("one")).limit(1)
     relaxed = scored.withColumn("one", F.lit(1)).join(F.broadcast(any_strict), "one", "left_anti").drop("one")
@@ -188,21 +207,41 @@ def search_number(songs: DataFrame, query: str) -> DataFrame:
 
 
 class SearchSession:
-    """Both indexes, written once under ``path`` and read by every query."""
-
-    def __init__(self, songs: DataFrame, path: str, stem: Callable[[Column], Column] | None = None) -> None:
-        spark = songs.sparkSession
-        exact_index(songs).write.mode("overwrite").parquet(f"{path}/exact")
-        docs = prepare_variants(songs)
-        # files sorted by term: a search for few terms skips the row groups without them
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        postings_of(docs, stem).repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        statistics(docs).write.mode("overwrite").parquet(f"{path}/statistics")
-        self.exact, self.index, self.stats = (spark.read.parquet(f"{path}/{x}") for x in ("exact", "postings", "statistics"))
-        self.stem = stem
-
-    def search(self, query: str | None, limit: int = 0) -> DataFrame:
-        return search_unified(self.exact, self.index, self.stats, query, limit, stem=self.stem)
+    """The indexes, each written once under ``path`` when it is first asked for, and read by every query."""
+
+    def __init__(self, songs: DataFrame, path: str, stem: Callable[[Column], Column] | None = None, stopwords: tuple[str, ...] = ()) -> None:
+        self.songs, self.path, self.stem, self.stopwords = songs, path, stem, stopwords
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    @cached_property
+    def exact(self) -> DataFrame:
+        return self._written(exact_index(self.songs), "exact")
+
+    @cached_property
+    def index(self) -> DataFrame:
+        """Files sorted by term: a search for few terms skips the row groups without them."""
+        rows = postings_of(prepare_variants(self.songs), self.stem, self.stopwords)
+        return self._written(rows.repartitionByRange("term", "ref").sortWithinPartitions("term", "ref"), "postings")
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        return self._written(vocabulary_of(self.index), "vocabulary")
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self._written(statistics(prepare_variants(self.songs)), "statistics")
+
+    def search_exact(self, query: str | None, limit: int = 0) -> DataFrame:
+        return search_exact(self.exact, query, limit)
+
+    def search_lexical(self, query: str | None, limit: int = 0, **kw) -> DataFrame:
+        return search_lexical(self.index, self.stats, query, limit, stem=self.stem, vocabulary=self.vocabulary, **kw)
+
+    def search(self, query: str | None, limit: int = 0, **kw) -> DataFrame:
+        return search_unified(self.exact, self.index, self.stats, query, limit, stem=self.stem, vocabulary=self.vocabulary, **kw)
 
 
 # Endings of the published Snowball stemmer for Russian.

@@ -136,7 +136,7 @@ def load_replace(incoming: DataFrame, ordinal: str) -> DataFrame:
 def create_collection(collections: DataFrame, names: DataFrame, now: Column) -> DataFrame:
     """``collections`` and a new row for each of ``names`` (name): repeated and empty names are allowed."""
     top = collections.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]  # one number
-    fresh = with_ordinal(names.select("name"), "name", "id", first=top + 1)
+    fresh = with_ordinal(names.select("name"), "id", F.col("name"), first=top + 1)
     return collections.unionByName(fresh.select("id", "name", now.alias("createdAt"), now.alias("updatedAt")), allowMissingColumns=True)
 
 
@@ -154,7 +154,7 @@ def add_link(links: DataFrame, wanted: DataFrame, strict: bool = False) -> DataF
     if strict and not fresh.limit(1).count():
         raise DuplicateError("the link is there already")
     top = links.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    return links.unionByName(with_ordinal(fresh, "collectionId", "id", first=top + 1, ties=("songNumber", "variantIndex")), allowMissingColumns=True)
+    return links.unionByName(with_ordinal(fresh, "id", *map(F.col, keys), first=top + 1), allowMissingColumns=True)
 
 
 def remove_link(links: DataFrame, collection: int, number: int, variant: int = 0) -> DataFrame:
@@ -223,13 +223,13 @@ def migrate_variant_index(links: DataFrame) -> DataFrame:
     return links.drop("variantLabel").withColumn("variantIndex", F.lit(0))
 
 
-def prev_next(songs: DataFrame, splits: int = 64) -> DataFrame:
+def prev_next(songs: DataFrame) -> DataFrame:
     """(number, prev, next) in number order.
 
     Numbers get their dense place first, and a self-join of neighbouring places follows: no window runs
     over all rows.
     """
-    placed = with_ordinal(songs.select("number").distinct(), "number", "at", splits=splits)
+    placed = with_ordinal(songs.select("number").distinct(), "at", F.col("number"))
     both = placed.select("number", F.explode(F.array(*[F.struct((F.col("at") + d).alias("at"), F.lit(d).alias("d")) for d in (-1, 0, 1)])).alias("x")).select("number", "x.at", "x.d")
     out = both.groupBy("at").agg(*[F.max(F.when(F.col("d") == d, F.col("number"))).alias(c) for d, c in ((0, "number"), (1, "prev"), (-1, "next"))])
     return out.filter(F.col("number").isNotNull()).select("number", "prev", "next")

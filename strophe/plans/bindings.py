@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from strophe.operators import search
 
 NL = "chr(10)"
+SONG_NUMBER = "CASE WHEN l_orderkey % 13 = 5 THEN l_partkey + 1000000000 ELSE l_partkey END"
 FILE = "concat(CASE WHEN conv_id % 31 = 9 THEN 'x' ELSE '' END, lpad(CAST(conv_id AS STRING), CAST(greatest(4, length(CAST(conv_id AS STRING))) AS INT), '0'), '.txt')"
 MARKED = "CASE conv_id % 4 WHEN 1 THEN concat('/', text, ' /2р.') WHEN 2 THEN concat('{Am}', text) WHEN 3 THEN concat('[тихо] ', text) ELSE text END"
 LABEL = f"CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN concat('(а)', {NL}) WHEN conv_id % 5 = 0 AND turn = 2 THEN concat('(б)', {NL}) ELSE '' END"
 PIECE = f"concat({LABEL}, CASE role WHEN 'user' THEN concat(CAST(turn + 1 AS STRING), '. ', {MARKED}) WHEN 'assistant' THEN concat('Припев:', {NL}, {MARKED}) ELSE {MARKED} END)"
-HEAD = f"concat(CASE WHEN conv_id % 19 = 7 THEN 'Song ' ELSE '#' END, CAST(CASE WHEN conv_id % 23 = 5 THEN conv_id + 1 ELSE conv_id END AS STRING), ' ', trim(substr(split_part(first, {NL}, 1), 1, 24)))"
+HEAD = f"concat(CASE WHEN conv_id % 19 = 7 THEN 'Song ' ELSE '#' END, CAST(CASE WHEN conv_id % 23 = 5 THEN conv_id + 1 ELSE conv_id END AS STRING), ' ', trim(split_part(first, {NL}, 1)))"
 
 
 def _block(*lines: str) -> str:
@@ -77,28 +78,22 @@ def document_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.prepare_variants(document_songs(spark, sf_dir))
 
 
-def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact index over documents, in one projection without a join for the title."""
-    songs = document_songs(spark, sf_dir)
-    return search.exact_index(songs)
-
-
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as collections; urgent ones of a day of the month 1 are favourites."""
+    """Orders as collections; every 5000th is a favourite one."""
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.expr("CASE WHEN o_orderkey % 5000 = 7 THEN 1 END").alias("isFavorite"), F.col("o_orderdate").alias("createdAt"), F.col("o_orderdate").alias("updatedAt"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as links; each ninth has no variant."""
+    """Line items as links; some have no variant, those of every thirteenth order lead to no song."""
     x = table(spark, sf_dir, "lineitem")
     variant = F.expr("CASE WHEN l_linenumber % 9 = 0 OR l_linenumber = 3 THEN NULL ELSE l_linenumber - 1 END").cast("int")
-    return x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("collectionId"), F.col("l_partkey").alias("songNumber"), variant.alias("variantIndex"))
+    return x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("collectionId"), F.expr(SONG_NUMBER).alias("songNumber"), variant.alias("variantIndex"))
 
 
 def part_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as songs; the small ones are left out, so that links dangle."""
-    return table(spark, sf_dir, "part").filter("p_size > 3").select(F.col("p_partkey").alias("number"), F.col("p_name").alias("title"))
+    """Parts as songs."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("number"), F.col("p_name").alias("title"))
 
 
 # The same in DuckDB SQL, as named parts of a WITH clause.
@@ -118,8 +113,8 @@ CTE = {
     "flat": r"""SELECT n::VARCHAR AS n, raw_title AS title, variantIndex, regexp_replace(lower(title), '\s+', '', 'g') AS titleFlat,
       regexp_replace(lower(title || ' ' || content), '\s+', '', 'g') AS textFlat FROM prepared""",
     "collections": "SELECT o_orderkey AS id, o_orderpriority AS name, CASE WHEN o_orderkey % 5000 = 7 THEN 1 END AS isFavorite, o_orderdate AS createdAt, o_orderdate AS updatedAt FROM orders",
-    "links": "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS collectionId, l_partkey AS songNumber, CAST(CASE WHEN l_linenumber % 9 = 0 OR l_linenumber = 3 THEN NULL ELSE l_linenumber - 1 END AS INT) AS variantIndex FROM lineitem",
-    "songs": "SELECT p_partkey AS number, p_name AS title FROM part WHERE p_size > 3",
+    "links": f"SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS collectionId, {SONG_NUMBER} AS songNumber, CAST(CASE WHEN l_linenumber % 9 = 0 OR l_linenumber = 3 THEN NULL ELSE l_linenumber - 1 END AS INT) AS variantIndex FROM lineitem",
+    "songs": "SELECT p_partkey AS number, p_name AS title FROM part",
 }
 FILES = ("turns", "whole", "keyed", "files")
 VERSIONS = ("turns", "whole", "keyed", "versions")

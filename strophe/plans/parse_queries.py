@@ -113,7 +113,7 @@ def file_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents under repeated numbers: the one with the largest id stays."""
     variants = F.transform("variants", lambda v: F.struct(v["label"].alias("label"), F.transform(v["body"], lambda p: F.struct(F.lit(0).alias("id"), F.lit(1).alias("n"), F.lit("verse").alias("type"), p["content"].alias("content"))).alias("body")))
-    rows = b.document_songs(spark, sf_dir).select((F.col("number") % 700).alias("n"), F.col("number").alias("ordinal"), "title", variants.alias("variants"))
+    rows = b.document_songs(spark, sf_dir).select(F.expr("number div 2").alias("n"), F.col("number").alias("ordinal"), "title", variants.alias("variants"))
     loaded = store.load_replace(rows, "ordinal")
     parts = F.flatten(F.transform("variants", lambda v: v["body"]))
     return loaded.select("number", "title", F.size(parts).alias("parts"), F.size(F.filter(parts, lambda p: p["content"].isNull())).alias("nulls"))
@@ -211,7 +211,7 @@ ORACLE_SQL = {
     "scan_git_versions": sql(VERSIONS, "SELECT file, old_text, new_text FROM versions WHERE old_text IS NOT NULL OR new_text IS NOT NULL"),
     "file_selector": sql(FILES, "SELECT file FROM files WHERE file IN (SELECT lpad(n::VARCHAR, 4, '0') || '.txt' FROM (SELECT unnest(generate_series(3, 20)) AS n UNION SELECT 7 UNION SELECT 42 UNION SELECT 50))"),
     "sink_json_bundle": steps(("fl", "heads"), "SELECT id, n, title FROM ids", ids=IDS),
-    "load_replace": "SELECT number, title, parts, nulls FROM (SELECT doc_id % 700 AS number, string_split(coalesce(text, ''), chr(10))[1] AS title, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INT) AS parts, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x = '')) AS INT) AS nulls, row_number() OVER (PARTITION BY doc_id % 700 ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1",
+    "load_replace": "SELECT number, title, parts, nulls FROM (SELECT doc_id // 2 AS number, string_split(coalesce(text, ''), chr(10))[1] AS title, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INT) AS parts, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x = '')) AS INT) AS nulls, row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1",
     "parse_header": steps(("fl", "heads"), "SELECT file, CASE WHEN ok THEN n::BIGINT END AS n, CASE WHEN ok THEN title END AS title, ok FROM heads"),
     "reject_headers": steps(("fl", "heads"), "SELECT file, 'bad header: \"' || l[1] || '\"' AS message FROM fl JOIN heads USING (file) WHERE NOT ok"),
     "extract_meta_fields": steps(

@@ -17,28 +17,31 @@ ONE = "thean"
 UI_LIMIT = 7
 
 
+_sessions: dict[tuple, search.SearchSession] = {}
+
+
+def session(spark: SparkSession, sf_dir: str, stem=None) -> search.SearchSession:
+    """The written indexes of a folder's documents: built by the first query that needs them, asked by all."""
+    key = (spark.sparkContext.applicationId, sf_dir, stem)
+    if key not in _sessions:
+        _sessions[key] = search.SearchSession(b.document_songs(spark, sf_dir), fresh_folder(spark, "search"), stem)
+    return _sessions[key]
+
+
 def _exact(spark: SparkSession, sf_dir: str, limit: int = 0) -> DataFrame:
-    return _shown(search.search_exact(b.document_index(spark, sf_dir), EXACT, limit))
+    return _shown(session(spark, sf_dir).search_exact(EXACT, limit))
 
 
 def _shown(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
 
-def _lexical(query: str, limit: int = 0, **kw):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = b.document_variants(spark, sf_dir)
-        return _shown(search.search_lexical(search.postings_of(docs, kw.get("stem")), search.statistics(docs), query, limit, **kw))
-
-    return run
+def _lexical(query: str, limit: int = 0, stem=None, **kw):
+    return lambda spark, sf_dir: _shown(session(spark, sf_dir, stem).search_lexical(query, limit, **kw))
 
 
 def _unified(query: str, limit: int = 0):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = b.document_variants(spark, sf_dir)
-        return _shown(search.search_unified(b.document_index(spark, sf_dir), search.postings_of(docs), search.statistics(docs), query, limit))
-
-    return run
+    return lambda spark, sf_dir: _shown(session(spark, sf_dir).search(query, limit))
 
 
 def lexical_not_in_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +50,12 @@ def lexical_not_in_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each hit: exact ones first, by score, then by number."""
-    hits = _unified(ONE)(spark, sf_dir).withColumn("key", (1 - F.col("tier")) * 1000 + F.col("score"))
-    return ranking.with_ordinal(hits.select("n", "key"), "key", "place", first=1, descending=True, ties=("n",)).select("n", "place")
+    hits = _unified(ONE)(spark, sf_dir).select("n", "tier", "score")
+    return ranking.with_ordinal(hits, "place", F.col("tier"), F.desc("score"), F.col("n"), first=1).select("n", "place")
 
 
 def dedupe_best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = b.document_index(spark, sf_dir)
+    index = session(spark, sf_dir).exact
     scored = index.select("n", F.col("variantIndex").cast("int").alias("variantIndex"), search.exact_score(F.lit("the")).alias("score"))
     return _shown(ranking.best_of(scored.select("*", F.explode(F.when(F.col("score").isNotNull(), F.array(F.lit(1))))).drop("col"), ["n"], F.desc("score"), F.col("variantIndex")))
 
@@ -63,9 +66,9 @@ def search_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both indexes written and read back, then two searches."""
-    session = search.SearchSession(b.document_songs(spark, sf_dir), fresh_folder(spark, "search"))
-    one = session.search(ONE).withColumn("query", F.lit(ONE))
-    return _shown(one.unionByName(session.search(FALLBACK).withColumn("query", F.lit(FALLBACK))))
+    own = search.SearchSession(b.document_songs(spark, sf_dir), fresh_folder(spark, "search"))
+    one = own.search(ONE).withColumn("query", F.lit(ONE))
+    return _shown(one.unionByName(own.search(FALLBACK).withColumn("query", F.lit(FALLBACK))))
 
 
 def prepare_song(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +83,10 @@ def hits_with_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "prepare_song": prepare_song,
     "prepare_variants": lambda s, d: b.document_variants(s, d),
-    "build_exact_index": lambda s, d: b.document_index(s, d),
+    "build_exact_index": lambda s, d: session(s, d).exact,
     "search_exact": _exact,
     "sort_exact": lambda s, d: _exact(s, d).select("n", "score"),
-    "build_lexical_index": lambda s, d: search.postings_of(b.document_variants(s, d)).select("ref", "term", "tf_title", "tf_content", "len_title", "len_content"),
+    "build_lexical_index": lambda s, d: session(s, d).index.select("ref", "term", "tf_title", "tf_content", "len_title", "len_content"),
     "search_lexical": _lexical(LEXICAL),
     "search_lexical_fallback": _lexical(FALLBACK),
     "search_fuzzy": _lexical(ONE),

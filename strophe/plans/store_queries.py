@@ -32,7 +32,7 @@ def is_in_favorite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hit_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = b.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("n")).distinct()
+    hits = b.links(spark, sf_dir).select(F.col("songNumber").cast("string").alias("n")).distinct()
     return store.hit_titles(hits, b.part_songs(spark, sf_dir), "unknown")
 
 
@@ -131,8 +131,9 @@ def perform_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links that lead nowhere once the songs are replaced by the larger parts."""
-    incoming = b.table(spark, sf_dir, "part").filter("p_size > 10").select(F.col("p_partkey").alias("number"), F.col("p_name").alias("title"))
+    """Links that lead nowhere once the songs are replaced by ones of which the smaller have other numbers."""
+    number = F.expr("CASE WHEN p_size > 10 THEN p_partkey ELSE p_partkey + 2000000000 END")
+    incoming = b.table(spark, sf_dir, "part").select(number.alias("number"), F.col("p_name").alias("title"))
     return changes.apply_update(b.part_songs(spark, sf_dir), incoming, b.links(spark, sf_dir))[2].select("id", "songNumber")
 
 
@@ -143,7 +144,7 @@ def limit_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return ranking.with_ordinal(rows, "o_totalprice", "place", first=1, descending=True, ties=("o_orderkey",)).select("o_orderkey", "place")
+    return ranking.with_ordinal(rows, "place", F.desc("o_totalprice"), F.col("o_orderkey"), first=1).select("o_orderkey", "place")
 
 
 QUERIES = {
@@ -200,7 +201,7 @@ ORACLE_SQL = {
     "available_collections": sql(LC, _AVAILABLE.format(PART, 1), counts=COUNTS),
     "available_except": sql(LC, f"SELECT id FROM ({_AVAILABLE.format(PART, 0)})", counts=COUNTS),
     "is_in_favorite": sql(LC, "SELECT DISTINCT songNumber, variantIndex FROM links a WHERE EXISTS (SELECT 1 FROM links x, fav WHERE x.collectionId = fid AND x.songNumber = a.songNumber AND x.variantIndex = a.variantIndex)", fav=FAV),
-    "hit_title_lookup": sql(("songs",), "SELECT DISTINCT l_partkey::VARCHAR AS n, coalesce(title, 'unknown') AS title FROM lineitem LEFT JOIN songs ON number = l_partkey"),
+    "hit_title_lookup": sql(LS, "SELECT DISTINCT songNumber::VARCHAR AS n, coalesce(title, 'unknown') AS title FROM links LEFT JOIN songs ON number = songNumber"),
     "collections_with_counts": sql(LC, "SELECT id, coalesce(songsCount, 0) AS songsCount FROM collections LEFT JOIN counts ON collectionId = id", counts=COUNTS),
     "count_songs": sql(("songs",), "SELECT count(*) AS songs FROM songs"),
     "count_in_collection": sql(("links",), f"SELECT count(*) AS songs FROM links WHERE collectionId = {ORDER}"),
@@ -234,7 +235,7 @@ ORACLE_SQL = {
       (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS stored, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 3 = 0 THEN 'click' ELSE 'view' END AS new, event_id % 11 = 0 OR event_id % 13 = 0 AS bad FROM events)""",
     "perform_check": """SELECT event_id, due, CASE WHEN due THEN 3000000 ELSE last_ms END AS last_ms FROM
       (SELECT event_id, event_id % 4 * 1000000 AS last_ms, event_id % 6 > 0 AND event_id % 5 > 0 AND (event_id % 4 = 0 OR 3000000 - event_id % 4 * 1000000 >= 1800000) AS due FROM events)""",
-    "apply_update": sql(("links",), "SELECT id, songNumber FROM links WHERE songNumber NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)"),
+    "apply_update": sql(("links",), "SELECT id, songNumber FROM links WHERE songNumber NOT IN (SELECT CASE WHEN p_size > 10 THEN p_partkey ELSE p_partkey + 2000000000 END FROM part)"),
     "limit_topk": "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 7",
     "ordinal": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders",
 }

@@ -47,8 +47,8 @@ def has_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first characters as a query: what is left of it, and whether it is long enough."""
-    q = F.lower(text.clean_text(F.substring("text", 1, 5)))
+    """Each document as a query: what is left of it, and whether it is long enough."""
+    q = F.lower(text.clean_text(F.col("text")))
     return b.table(spark, sf_dir, "documents").select("doc_id", q.alias("query"), (F.length(q) >= search.MIN_QUERY).alias("passes"))
 
 
@@ -59,7 +59,7 @@ def parse_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def is_number_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.expr("CASE doc_id % 3 WHEN 0 THEN concat(' ', doc_id, ' ') WHEN 1 THEN concat(doc_id, 'a') ELSE substr(text, 1, 3) END")
+    q = F.expr("CASE doc_id % 3 WHEN 0 THEN concat(' ', doc_id, ' ') WHEN 1 THEN concat(doc_id, 'a') ELSE text END")
     return b.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(text.is_number_query(q), F.lit(False)).alias("is_number"))
 
 
@@ -137,9 +137,9 @@ ORACLE_SQL = {
     "strip_meta": sql(FILES, r"SELECT file, regexp_replace(text, '@meta\n[\s\S]*?\n@end\n?', '') AS stripped FROM files"),
     "strip_meta_lines": sql(FILES, f"SELECT file, array_to_string({LINES_KEPT}, chr(10)) AS stripped FROM cut", cut=CUT.format("text", "files")),
     "has_chords": sql(FILES, "SELECT file, contains(text, '{') AS shown, false AS hidden FROM files"),
-    "query_gate": f"SELECT doc_id, query, length(query) >= 3 AS passes FROM (SELECT doc_id, lower({CLEAN.format('substr(text, 1, 5)')}) AS query FROM documents)",
+    "query_gate": f"SELECT doc_id, query, length(query) >= 3 AS passes FROM (SELECT doc_id, lower({CLEAN.format('text')}) AS query FROM documents)",
     "parse_ref": "SELECT o_orderkey AS order_id, CASE o_orderkey % 5 WHEN 0 THEN ':' || o_orderkey::VARCHAR ELSE o_orderkey::VARCHAR END AS n, CAST(CASE WHEN o_orderkey % 5 IN (3, 4) THEN o_orderkey % 7 ELSE 0 END AS INT) AS variantIndex FROM orders",
-    "is_number_query": r"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE coalesce(regexp_matches(trim(substr(text, 1, 3)), '^[0-9]+$'), false) END AS is_number FROM documents",
+    "is_number_query": r"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE coalesce(regexp_matches(trim(text), '^[0-9]+$'), false) END AS is_number FROM documents",
     "variant_tab_label": "SELECT doc_id AS number, v::INT AS variantIndex, CASE WHEN v = 1 THEN 'б' ELSE 'а' END AS label FROM documents, (VALUES (0), (1)) t(v)",
     "variant_label_lookup": "SELECT doc_id AS number, k::INT AS place, CASE WHEN k = 1 AND contains(coalesce(text, ''), chr(10)) THEN 'б' ELSE '' END AS label FROM documents, (VALUES (0), (1), (2)) t(k)",
     "pluralize_ru": f"SELECT o_orderkey, CASE WHEN n = 0 THEN '' ELSE {PLURAL} END AS shown, {PLURAL} AS linted FROM (SELECT o_orderkey, o_orderkey % 130 AS n FROM orders)",

@@ -193,9 +193,53 @@ def test_ordinals(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abж") for _ in range(rng.randint(0, 9))) for _ in range(500)]
     df = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "w string, k long").repartition(5)
-    got = [r["k"] for r in ranking.with_ordinal(df, "w", "at", ties=("k",)).orderBy("at").collect()]
+    got = [r["k"] for r in ranking.with_ordinal(df, "at", F.col("w"), F.col("k")).orderBy("at").collect()]
     assert got == [k for _, k in sorted((w.encode(), k) for k, w in enumerate(words))]
-    assert ranking.with_ordinal(df.limit(0), "w", "at").count() == 0
+    assert ranking.with_ordinal(df.limit(0), "at", F.col("w")).count() == 0
+    down = [r["k"] for r in ranking.with_ordinal(df, "at", F.desc("w"), F.col("k"), first=7).orderBy("at").collect()]
+    order = sorted(range(500), key=lambda k: k)
+    order.sort(key=lambda k: words[k].encode(), reverse=True)
+    assert down == order
+
+
+@pytest.mark.parametrize("key", ["concat('a common prefix of names ', id)", "'one name'"])
+def test_ordinals_of_one_prefix_and_of_one_name(spark, key):
+    """Neither puts most rows into one range."""
+    df = spark.range(20_000).select(F.expr(key).alias("w"), "id")
+    got = ranking.with_ordinal(df, "at", F.col("w"))
+    assert got.agg(F.min("at"), F.max("at"), F.countDistinct("at")).first() == (0, 19_999, 20_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # ranges are as many as the data needs
+    try:
+        sizes = [r["n"] for r in ranking.ranged(df.repartition(3), F.col("w")).groupBy("_range").agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 8_000
+
+
+def test_deep_marks():
+    deep = 100_000
+    nested = "/" * 1 + " / " * (deep - 1) + "x" + " /2р." * deep
+    nodes = markup.tree(nested)
+    flat = list(markup.walk(nodes))
+    assert max(d for d, _, _ in flat) == deep and markup.html(nodes).count("<span class=\"repeat") == 3 * deep
+    assert markup.html(markup.tree("/ " * deep)).count("/") == deep
+
+
+def test_exact_index_of_a_repeated_number(spark):
+    rows = [(1, "one", [("", [("a",)])]), (1, "uno", [("", [("b",)])])]
+    songs = spark.createDataFrame(rows, "number long, title string, variants array<struct<label:string,body:array<struct<content:string>>>>")
+    assert sorted((r["title"], r["textFlat"]) for r in search.exact_index(songs).collect()) == [("one", "onea"), ("uno", "unob")]
+
+
+def test_stop_words_and_transpositions(spark, tmp_path):
+    rows = [(1, "alpha", [("", [("the river runs",)])]), (2, "beta", [("", [("the hills",)])])]
+    songs = spark.createDataFrame(rows, "number long, title string, variants array<struct<label:string,body:array<struct<content:string>>>>")
+    own = search.SearchSession(songs, str(tmp_path / "i"), stopwords=("the",))
+    assert own.search_lexical("the", fuzzy=0).count() == 0 and [r["n"] for r in own.search_lexical("river", fuzzy=0).collect()] == ["1"]
+    assert own.search_lexical("rievr", fuzzy=1).count() == 0
+    assert [r["n"] for r in own.search_lexical("rievr", fuzzy=1, transposed=True).collect()] == ["1"]
+    far = search.lexical_hits(own.index, own.stats, "river", fuzzy=0)
+    assert [r["n"] for r in far.collect()] == ["1"]
 
 
 def test_sinks_and_sources(spark, tmp_path):
