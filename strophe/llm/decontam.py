@@ -45,52 +45,50 @@ NUMBER_WORDS = ("two", "three", "four", "five", "six", "seven", "eight", "nine",
 def with_tokens(rows: DataFrame, ids: list[str], leading: bool = True) -> DataFrame:
     """``ids``, t, v: template tokens of ``text`` and, for placeholders, the values in the slots.
 
-    ``leading``: capitalised words at the start of a sentence are names too. The raw tokens are a column of their own, so that a text is cut once and not for each token.
+    ``leading``: capitalised words at the start of a sentence are names too. The raw tokens with their lower
+    case are a column of their own, so that a text is cut once and not for each token.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cut = rows.select(*ids, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("raw"))
+    cut = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.struct(x.alias("x"), F.lower(x).alias("low")))
     raw = F.col("raw")
     is_number = lambda x: (x >= "0") & (x < ":")  # noqa: E731  by its first character
     is_stop = lambda x: x < "0"
+    nothing = F.lit(None).cast("string")
 
-    def typed(x: Column, i: Column) -> Column:
-        before, low = F.get(raw, i - 1), F.lower(x)
+    def typed(s: Column, i: Column) -> Column:
+        x, low, before = s["x"], s["low"], F.get(raw, i - 1)["x"]
         slot = lambda kind: F.struct(F.lit(kind).alias("t"), low.alias("v"))
+        name = (low != x) & (F.upper(x) != x)
         return (
-            F.when(is_stop(x), F.struct(F.lit(None).cast("string").alias("t"), F.lit(None).cast("string").alias("v")))
+            F.when(is_stop(x), F.struct(nothing.alias("t"), nothing.alias("v")))
             .when(is_number(x), slot(NUMBER))
-            .when((low != x) & (F.upper(x) != x) if leading else (low != x) & (F.upper(x) != x) & before.isNotNull() & ~is_stop(before), slot(NAME))
+            .when(name if leading else name & before.isNotNull() & ~is_stop(before), slot(NAME))
             .when(low.isin(*NUMBER_WORDS), slot(NUMBER))
             .when(low.isin(*UNITS) & before.isNotNull() & is_number(before), slot(UNIT))
-            .otherwise(F.struct(low.alias("t"), F.lit(None).cast("string").alias("v")))
+            .otherwise(F.struct(low.alias("t"), nothing.alias("v")))
         )
 
-    both = cut.select(*ids, F.filter(F.transform(raw, typed), lambda s: s["t"].isNotNull()).alias("tokens"))
+    both = rows.select(*ids, cut.alias("raw")).select(*ids, F.filter(F.transform(raw, typed), lambda s: s["t"].isNotNull()).alias("tokens"))
     return both.select(*ids, F.col("tokens.t").alias("t"), F.col("tokens.v").alias("v"))
 
 
 def windows(rows: DataFrame, ids: list[str], sizes: list[int], leading: bool = True) -> DataFrame:
-    """``ids``, size, at, key: every window of ``text`` by its lower-cased words, usable ones by template too.
+    """``ids``, size, at, key, v: every window of ``text`` by its lower-cased words and by its template.
 
-    A template without a placeholder is the lower-cased window, so it has one key.
+    A template without a placeholder is the lower-cased window, so it has one key. ``v``: all values of
+    the text.
     """
     low = F.zip_with("v", "t", lambda v, t: F.xxhash64(F.coalesce(v, t)))
     hashed = with_tokens(rows, ids, leading).select(*ids, F.transform("t", lambda x: F.xxhash64(x)).alias("h"), low.alias("p"), "v")
+    part = lambda name, i, size: F.xxhash64(F.slice(name, i + 1, size))
 
     def one(size: int) -> Column:
-        def plain(i: Column) -> Column:
-            return F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice("p", i + 1, size)).alias("key"))
-
-        def template(i: Column) -> Column:
-            slots = F.size(F.array_compact(F.slice("v", i + 1, size)))
-            key = F.when(slots.between(1, size // 2), F.xxhash64(F.slice("h", i + 1, size)))
-            return F.struct(F.lit(size).alias("size"), i.alias("at"), key.alias("key"))
-
         whole = F.when(F.size("h") >= size, F.sequence(F.lit(0), F.size("h") - size)).otherwise(F.array().cast("array<int>"))
-        return F.concat(F.transform(whole, plain), F.transform(whole, template))
+        return F.transform(whole, lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), part("p", i, size).alias("p"), part("h", i, size).alias("h")))
 
-    each = F.explode(F.concat(*[one(n) for n in sizes]) if len(sizes) > 1 else one(sizes[0])).alias("w")
-    return hashed.select(*ids, each).select(*ids, "w.size", "w.at", "w.key").filter("key is not null")
+    each = hashed.select(*ids, "v", F.explode(F.concat(*[one(n) for n in sizes]) if len(sizes) > 1 else one(sizes[0])).alias("w"))
+    keys = F.when(F.col("w.p") == F.col("w.h"), F.array("w.p")).otherwise(F.array("w.p", "w.h"))
+    return each.select(*ids, "v", "w.size", "w.at", F.posexplode(keys).alias("templated", "key"))
 
 
 def _aligned(lines: DataFrame) -> DataFrame:
@@ -130,7 +128,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int
     if not sizes:
         return docs.sparkSession.createDataFrame([], f"doc_id long, tkey long, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_windows long, item_windows long")
     both = [windows(counted.select("ikey", "own", "text"), ["ikey", "own"], sizes, leading) for leading in (True, False)]
-    ours = both[0].union(both[1]).filter("size = own")
+    slots = F.size(F.array_compact(F.slice("v", F.col("at") + 1, F.col("size"))))
+    ours = both[0].union(both[1]).filter("size = own").filter((F.col("templated") == 0) | (slots <= F.col("size") / 2))
     ours = materialize(ours.select("ikey", "key", F.col("at").alias("item_at")).distinct(), "item-windows")
 
     def small(df: DataFrame, chars: str = "0") -> DataFrame:
