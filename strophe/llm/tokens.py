@@ -57,7 +57,7 @@ class Encoder:
     for a lower-casing one that drops white space. ``limit`` bounds the caches in bytes.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 64 << 20) -> None:
+    def __init__(self, path: str, kind: str, limit: int = 48 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -98,7 +98,7 @@ class Encoder:
         """The ids of each text."""
         return [ids for part in self.slices(texts) for ids in part]
 
-    def slices(self, texts: list[str], chars: int = 1 << 21) -> Iterator[list[np.ndarray]]:
+    def slices(self, texts: list[str], chars: int = 1 << 20) -> Iterator[list[np.ndarray]]:
         """The ids of each text, in slices of whole texts of about ``chars`` characters."""
         part, held = [], 0
         for text in texts:
