@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.functions.text import title_fallback
@@ -50,6 +50,12 @@ def _songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_songs(b.song_files(spark, sf_dir))
 
 
+def _shown(variants: Column) -> Column:
+    """Labels and parts of all variants, a line each (contents may have more)."""
+    part = lambda p: F.concat_ws(":", p["type"], p["id"].cast("string"), p["n"].cast("string"), p["content"])
+    return F.array_join(F.flatten(F.transform(variants, lambda v: F.concat(F.array(F.concat(F.lit("("), v["label"], F.lit(")"))), F.transform(v["body"], part)))), "\n")
+
+
 def scan_text_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Song texts written as files and read back."""
     path = fresh_folder(spark, "texts")
@@ -131,7 +137,7 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = b.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.col("n_name").alias("name"))
-    return parse.parse_book(books(spark, sf_dir), names).select("book", "section", "n", "title", F.size("variants").alias("n_variants"), F.size(F.flatten(F.col("variants.body"))).alias("n_parts"))
+    return parse.parse_book(books(spark, sf_dir), names).select("book", "section", "n", "title", _shown(F.col("variants")).alias("shown"))
 
 
 def names_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +174,7 @@ QUERIES = {
     "any_exists": lambda s, d: b.song_files(s, d).select("file", F.exists(F.split("text", "\n"), lambda x: F.trim(x).rlike(r"^[0-9]+\.\s")).alias("has_verse"), F.exists(F.split("text", "\n"), lambda x: F.trim(x).rlike(r"(?iu)^Припев[:.]")).alias("has_chorus")),
     "last_non_empty": lambda s, d: b.song_files(s, d).select("file", F.coalesce(F.array_max(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.trim(x) != "", i))), F.lit(0)).alias("last")),
     "assign_song_id": lambda s, d: parse.assign_song_id(b.song_files(s, d)),
-    "parse_songs": lambda s, d: _songs(s, d).select("file", "id", "n", "title", F.size("variants").alias("n_variants"), F.size(F.flatten(F.col("variants.body"))).alias("n_parts")),
+    "parse_songs": lambda s, d: _songs(s, d).select("file", "id", "n", "title", _shown(F.col("variants")).alias("shown")),
     "song_to_text": lambda s, d: parse.song_to_text(_songs(s, d)),
     "check_contiguous": check_contiguous,
     "move_meta_to_end": lambda s, d: parse.move_meta_to_end(b.song_files(s, d)),
@@ -201,6 +207,7 @@ BOOKS = {
     "sg": "SELECT book, id, song, max(CASE WHEN start THEN line END) AS head, string_agg(line, chr(10) ORDER BY pos) AS text FROM si WHERE song > 0 GROUP BY book, id, song",
     "songs_in": rf"SELECT book, id, song, CAST(regexp_extract(head, '^(\d+)', 1) AS BIGINT) AS n, regexp_extract(head, '(?i)^(\d+)\.\s*(?:\([^)\n]*\))?[ \t]+(\d+\.|Припев[:.]?)\s*([^\n]+)', 3) AS first_line, {TRIM.format(r"regexp_replace(" + TRIM.format("text") + r", '^\d+\.\s*', '')")} AS text FROM sg",
 }
+SHOWN = "SELECT file, string_agg(x, chr(10) ORDER BY variant, part) AS shown FROM (SELECT file, variant, 0 AS part, '(' || label || ')' AS x FROM chunks UNION ALL SELECT file, variant, part, concat_ws(':', type, id::VARCHAR, n::VARCHAR, content) FROM parts) GROUP BY file"
 PART_TEXT = "CASE WHEN type = 'verse' THEN n::VARCHAR || '. ' || content ELSE 'Припев:' || chr(10) || content END"
 ORACLE_SQL = {
     "scan_text_dir": sql(FILES, "SELECT file, text || chr(10) AS text FROM files"),
@@ -228,7 +235,12 @@ ORACLE_SQL = {
     "any_exists": steps(("fl",), r"SELECT file, len(list_filter(l, lambda x: regexp_matches(trim(x), '^\d+\.\s'))) > 0 AS has_verse, len(list_filter(l, lambda x: regexp_matches(trim(x), '(?i)^Припев[:.]'))) > 0 AS has_chorus FROM fl"),
     "last_non_empty": steps(("fl",), "SELECT file, CAST(coalesce(list_max(list_transform(l, lambda x, i: CASE WHEN trim(x) <> '' THEN i - 1 END)), 0) AS INT) AS last FROM fl"),
     "assign_song_id": steps(("fl", "heads"), "SELECT file, id FROM ids", ids=IDS),
-    "parse_songs": steps(PARTS, "SELECT file, id, n, title, CAST(v AS INT) AS n_variants, CAST(coalesce(p, 0) AS INT) AS n_parts FROM ids JOIN (SELECT file, count(*) AS v FROM chunks GROUP BY file) USING (file) LEFT JOIN (SELECT file, count(*) AS p FROM parts GROUP BY file) USING (file)", ids=IDS),
+    "parse_songs": steps(PARTS, "SELECT file, id, n, title, shown FROM ids JOIN shown USING (file)", ids=IDS, shown=SHOWN),
+    "parse_book": sql(
+        (), "SELECT book, id AS section, n, CASE WHEN n_name IS NOT NULL THEN n_name WHEN length(first_line) > 50 THEN substr(first_line, 1, 50) || '...' ELSE first_line END AS title, shown FROM keyed JOIN shown USING (file) LEFT JOIN nation ON n_nationkey = n",
+        **BOOKS, keyed="SELECT *, book::VARCHAR || ':' || id::VARCHAR || ':' || song::VARCHAR AS file FROM songs_in", bodies="SELECT file, text AS body FROM keyed",
+        **{k: STEPS[k] for k in PARTS if k not in ("fl", "heads", "bodies")}, shown=SHOWN,
+    ),
     "song_to_text": steps(
         PARTS, r"SELECT n, regexp_replace('#' || n::VARCHAR || ' ' || title || chr(10) || chr(10) || string_agg(vt, '' ORDER BY variant), '\n+$', '') || chr(10) AS text FROM ids JOIN vt USING (file) GROUP BY file, n, title",
         ids=IDS, pt=f"SELECT file, variant, string_agg({PART_TEXT}, chr(10) || chr(10) ORDER BY part) AS body FROM parts GROUP BY file, variant",

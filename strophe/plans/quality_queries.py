@@ -172,6 +172,35 @@ F_REPEATS = _COUNTS.format("repeat", "reps") + " UNION ALL SELECT file, severity
 F_CHORDS = _COUNTS.format("chord", "chords") + " UNION ALL SELECT file, 'error', 'chord', 'chord changed: \"' || a || '\" → \"' || z || '\"' FROM (SELECT om.file, unnest(list_slice(om.chords, 1, least(len(om.chords), len(nm.chords)))) AS a, unnest(list_slice(nm.chords, 1, least(len(om.chords), len(nm.chords)))) AS z FROM om JOIN nm USING (file)) WHERE a <> z"
 F_HEADER = r"""SELECT file, 'error' AS severity, 'header' AS "check", 'header number: #' || a || ' → #' || z AS message FROM (SELECT file, regexp_extract(old_text, '^#(\d+)', 1) AS a, regexp_extract(new_text, '^#(\d+)', 1) AS z FROM bothv) WHERE a <> '' AND z <> '' AND a <> z"""
 F_META = "SELECT file, CASE WHEN ms = 0 AND me = 0 THEN 'warning' ELSE 'error' END AS severity, CASE WHEN ms = 0 AND me = 0 THEN 'meta_absent' WHEN me = 0 THEN 'meta_unclosed' ELSE 'meta_unopened' END AS \"check\", CASE WHEN ms = 0 AND me = 0 THEN 'no meta block' WHEN me = 0 THEN '@meta without @end' ELSE '@end without @meta' END AS message FROM nc WHERE ms = 0 OR me = 0"
+_KIND = "CASE rung WHEN 'case' THEN 'case changed' WHEN 'punctuation' THEN 'space before punctuation removed' ELSE 'space before punctuation removed and case changed' END"
+_MILD = "rung IN ('case', 'punctuation', 'punctuation_case')"
+_WORDS = """list_filter(list_transform(range(0, greatest(len(a), len(z))), lambda i: CASE WHEN a[i + 1] IS DISTINCT FROM z[i + 1] THEN '[' || i::VARCHAR || ']: "' || coalesce(nullif(a[i + 1], ''), '∅') || '" → "' || coalesce(nullif(z[i + 1], ''), '∅') || '"' END), lambda x: x IS NOT NULL)"""
+#: Differences of the parts of files whose texts differ, and all findings of the diff.
+T = {
+    "pairs": f"SELECT file, part, type || ' ' || n::VARCHAR AS place, old_parts, new_parts, {NORM.format('old_content')} AS o, {NORM.format('new_content')} AS n FROM zip WHERE file IN (SELECT file FROM rungs WHERE rung = 'text')",
+    "even": f"SELECT file, place, o, n, {RUNG} AS rung FROM pairs WHERE old_parts = new_parts",
+    "words": f"SELECT file, {_WORDS} AS d FROM (SELECT file, string_split(o, ' ') AS a, string_split(n, ' ') AS z FROM even WHERE rung = 'text')",
+    "totals": "SELECT file, max(old_parts) AS op, max(new_parts) AS np, coalesce(string_agg(o, ' ' ORDER BY part), '') AS o, coalesce(string_agg(n, ' ' ORDER BY part), '') AS n FROM pairs WHERE old_parts <> new_parts GROUP BY file",
+    "uneven": f"SELECT file, op, np, {RUNG} AS rung FROM totals",
+}
+F_WORDS = "SELECT file, 'error' AS severity, 'words' AS \"check\", CASE WHEN len(d) <= 5 THEN array_to_string(d, ', ') ELSE len(d)::VARCHAR || ' differences, first: ' || d[1] END AS message FROM words"
+F_TEXT = f"""SELECT file, 'warning' AS severity, rung AS "check", {_KIND} AS message FROM rungs WHERE {_MILD}
+  UNION ALL SELECT file, 'warning', rung, {_KIND} || ' in ' || place FROM even WHERE {_MILD}
+  UNION ALL SELECT file, 'error', 'text', 'text changed in ' || place FROM even WHERE rung = 'text' UNION ALL {F_WORDS}
+  UNION ALL SELECT file, 'error', 'part_count', 'parts: ' || op::VARCHAR || ' before, ' || np::VARCHAR || ' now' FROM uneven
+  UNION ALL SELECT file, CASE rung WHEN 'text' THEN 'error' ELSE 'warning' END, CASE rung WHEN 'text' THEN 'whole_text' WHEN 'case' THEN 'case' ELSE 'punctuation' END,
+    CASE rung WHEN 'text' THEN 'whole text differs: lost or distorted' WHEN 'case' THEN 'case changed in the whole text' ELSE 'space before punctuation removed in the whole text' END FROM uneven WHERE rung <> 'same'"""
+ALL = {**PV, **T, **M, "findings": " UNION ALL ".join((F_TEXT, F_REPEATS, F_CHORDS, F_HEADER, F_META))}
+JUDGED = ALL | {
+    "kinds": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c}')" for k, v in verify.SUPPRESSES.items() for c in v) + ') t("by", "check")',
+    "wanted": """SELECT DISTINCT lpad(conv_id::VARCHAR, CAST(greatest(4, length(conv_id::VARCHAR)) AS INT), '0') || '.txt' AS file, kinds."check" FROM conversations JOIN kinds
+      ON "by" = CASE conv_id % 4 WHEN 0 THEN 'repeat' WHEN 1 THEN 'case' WHEN 2 THEN 'text' ELSE 'punctuation' END""",
+    "judged": 'SELECT f.*, w.file IS NOT NULL AS suppressed FROM findings f LEFT JOIN wanted w ON w.file = f.file AND w."check" = f."check"',
+}
+TOTALS = """SELECT CAST(sum(whole::INT) AS BIGINT) AS checked, CAST(sum((NOT whole)::INT) AS BIGINT) AS skipped, CAST(sum(s) AS BIGINT) AS suppressed, CAST(sum(e) AS BIGINT) AS errors, CAST(sum((e > 0)::INT) AS BIGINT) AS files_with_errors,
+  CAST(sum(CASE WHEN e = 0 THEN w ELSE 0 END) AS BIGINT) AS warnings, CAST(sum((e = 0 AND w > 0)::INT) AS BIGINT) AS files_with_warnings FROM
+  (SELECT v.file, old_text IS NOT NULL AND new_text IS NOT NULL AS whole, coalesce(e, 0) AS e, coalesce(w, 0) AS w, coalesce(s, 0) AS s FROM versions v LEFT JOIN
+  (SELECT file, count(*) FILTER (WHERE NOT suppressed AND severity = 'error') AS e, count(*) FILTER (WHERE NOT suppressed AND severity = 'warning') AS w, count(*) FILTER (WHERE suppressed) AS s FROM judged GROUP BY file) j ON j.file = v.file)"""
 ORACLE_SQL = {
     **{r: sql(b.FILES, f"SELECT file, CAST(line AS INT) AS line, '{r}' AS rule FROM ({q})", **FACTS) for r, q in RULES.items()},
     "lint_verse_sequence": sql(b.FILES, SEQUENCE, **VERSES),
@@ -191,5 +220,10 @@ ORACLE_SQL = {
     "verify_chords": sql(VERSIONS, F_CHORDS, **M),
     "verify_header": sql(VERSIONS, F_HEADER, bothv=V["bothv"]),
     "verify_meta": sql(VERSIONS, F_META, bothv=V["bothv"], nc=V["nc"]),
+    "verify_word_diff": sql(VERSIONS, F_WORDS, **PV, **T),
+    "verify_all": sql(VERSIONS, 'SELECT file, severity, "check", message FROM findings', **ALL),
+    "verify_suppress": sql(VERSIONS, 'SELECT file, severity, "check", message, suppressed FROM judged', **JUDGED),
+    "verify_suppression": sql(VERSIONS, 'SELECT file, severity, "check", message FROM judged WHERE suppressed', **JUDGED),
+    "verify_summary": sql(VERSIONS, TOTALS, **JUDGED),
     "verify_skip": sql(VERSIONS, "SELECT file, CASE WHEN new_text IS NULL THEN 'file not found' ELSE 'no old version' END AS reason FROM versions WHERE new_text IS NULL OR old_text IS NULL"),
 }
