@@ -6,8 +6,9 @@ under *every* constraint, ``rule`` "norm" picks the one whose weighted residual
 the smallest norm, "dot" the one whose residual has the largest weighted dot product with the piece's
 own demands. Only when no sequence can take it, a new one is opened.
 
-Pieces are dealt round-robin over shards of a fixed size, each packed in one task; a shard's last
-sequences are what sharding costs, a small fraction of one in a thousand.
+Pieces are dealt round-robin over shards, each packed in one task. A shard has ``shard_pieces`` of them, or
+up to eight times as many where they are so short that those would fill fewer than 512 sequences; its
+last sequence is what sharding costs, about one in a thousand.
 
 Defined cases: a null text is empty and packs as the end id alone; null doc_ids and repeated rows are
 packed like any other row; extra columns are ignored; an empty table gives no sequences.
@@ -85,7 +86,9 @@ def pack(
     sequences to the tokens alone; smaller ones hold too, at the price of more sequences.
     """
     cut = materialize(cut, "pieces")
-    shards = max(1, -(-cut.count() // shard_pieces))
+    n, tokens = cut.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    # enough pieces for some hundred sequences, however short they are, up to eight times as many
+    shards = max(1, -(-n // (8 * shard_pieces)), min(-(-n // shard_pieces), -(-tokens // (512 * size))))
     capacity = np.array([size, max_documents, float(size) ** 2 if max_attention is None else max_attention])
     worth = np.array(weights)
 
