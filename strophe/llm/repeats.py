@@ -225,7 +225,7 @@ def _sorted_out(units: DataFrame, short: int, length: int, group: int, refine: t
         kept = kept.filter(F.col("kinds") <= group)
     volume = kept.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     # small shards while that gives every task some, full ones beyond
-    shards = max(1, -(-volume // shard_bytes), min(4 * parts, -(-volume // max(1, shard_bytes // 64))))
+    shards = max(1, -(-volume // shard_bytes), min(4 * parts, -(-volume // max(1, shard_bytes // 16))))
     dealt = kept.select("uid", "many", "starts", "content", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     marks = dealt.groupBy("shard").applyInPandas(_marks(short, length), f"uid binary, runs {RUNS}").filter(F.size("runs") > 0)
     return marks if out is None else marks.unionByName(out)
@@ -285,7 +285,7 @@ def _whole_words(raw: bytes, a: int, z: int) -> int:
 
 
 def stripped(
-    docs: DataFrame, length: int = 400, passage: int = 256, words: int = 50, group: int = 512, refine: tuple[int, ...] = (16, 1), shard_bytes: int = 1 << 22,
+    docs: DataFrame, length: int = 400, passage: int = 288, words: int = 50, group: int = 512, refine: tuple[int, ...] = (16, 1), shard_bytes: int = 1 << 22,
 ) -> DataFrame:
     """(tkey, n_removed, n_spans, n_passages, kept) of each different text (md5) that holds a repeat; written."""
     held, runs = _found(docs, min(passage, length), length, group, refine, shard_bytes)

@@ -22,7 +22,7 @@ def _deal(sa: np.ndarray, at: np.ndarray, items: np.ndarray, t: np.ndarray, step
     """Put ``items``, in their order, at the open end of their buckets; ``at`` moves on by ``step``."""
     if not len(items):
         return
-    order = np.argsort(t[items], kind="stable")
+    order = _sorted_by(t[items], len(at) + 1)
     items = items[order]
     c = t[items]
     first = np.r_[0, np.flatnonzero(c[1:] != c[:-1]) + 1]
@@ -36,7 +36,7 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, starts: np.ndar
     """The suffix array that follows from leftmost-smaller suffixes given in sorted order."""
     n, k = len(t), len(starts) - 1
     sa = np.full(n, -1, np.int64)
-    by = np.argsort(t[seeds], kind="stable")
+    by = _sorted_by(t[seeds], k)
     seeds = seeds[by]
     cut = np.searchsorted(t[seeds], np.arange(k + 1))
     head = starts[:-1].copy()
@@ -62,20 +62,36 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, starts: np.ndar
     return sa
 
 
+def _sorted_by(values: np.ndarray, bound: int) -> np.ndarray:
+    """Stable order of values below ``bound``; sixteen bits are sorted by radix."""
+    return np.argsort(values.astype(np.uint16) if bound <= 1 << 16 else values, kind="stable")
+
+
 def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling ranks: ends the recursion where the alphabet is large."""
+    """Suffix array by doubling ranks: ends the recursion where the alphabet is large.
+
+    A rank is the first place of its group; suffixes that are alone in theirs are not sorted again.
+    """
     n, width = len(t), 1
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[:-width] = rank[width:] + 1
-        key = rank * (n + 1) + nxt
-        sa = np.argsort(key, kind="stable")
-        fresh = np.r_[0, np.cumsum(np.diff(key[sa]) != 0)]
-        rank[sa] = fresh
+    order = _sorted_by(t, int(t.max()) + 1)
+    rank, at = np.empty(n, np.int64), np.arange(n)
+
+    def regroup(places: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Ranks by ``key`` of the suffixes at ``places``; the places of those that are not alone yet."""
+        first = np.r_[True, key[1:] != key[:-1]]
+        rank[order[places]] = np.maximum.accumulate(np.where(first, places, 0))
+        return places[~(first & np.r_[first[1:], True])]
+
+    alive = regroup(at, t[order])
+    while len(alive):
+        items = order[alive]
+        further = items + width
+        key = rank[items] * (n + 1) + np.where(further < n, rank[np.minimum(further, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        order[alive] = items[by]
+        alive = regroup(alive, key[by])
         width *= 2
-        if fresh[-1] == n - 1 or width >= n:
-            return sa
+    return order
 
 
 def suffix_array(t: np.ndarray, alphabet: int, direct: int = 1024) -> np.ndarray:
