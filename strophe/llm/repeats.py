@@ -1,12 +1,8 @@
 """Removal of long byte strings that occur more than once in a corpus, by suffix arrays over shards.
 
-Strings are judged at two lengths in one pass: those of ``length`` bytes are removed, those of ``passage``
-bytes (at most ``length``) tell which passages of more than ``words`` words stand elsewhere too.
-
-A string of ``passage`` bytes has an *anchor*: the place of its smallest hashed 16-byte gram, leftmost on
+A string of ``length`` bytes has an *anchor*: the place of its smallest hashed 16-byte gram, leftmost on
 ties. Equal strings have equal anchors, so strings that could be equal meet if text is dealt out by
-anchor. Runs of starts with one anchor form a segment: the starts, and the bytes that strings of
-``length`` bytes from there cover.
+anchor. Runs of starts with one anchor form a segment (the starts, and the bytes their strings cover).
 
 1. A string reaches at least half of its other bytes to one side of its anchor, so a segment that shares
    neither the half before its anchor nor the half behind it cannot hold a repeat. A task counts the
@@ -19,12 +15,16 @@ anchor. Runs of starts with one anchor form a segment: the starts, and the bytes
    hold, in as many surroundings), they are cut into blocks of ``refine`` starts and dealt by the bytes
    that all strings of a block share; blocks that are still too many together are cut into single
    strings, which can only meet their equals.
-4. Shards of segments are sorted by induced sorting; permuted common prefixes of ``passage`` and of
-   ``length`` bytes or more mark the starts that repeat.
+4. Shards of segments are sorted by induced sorting; permuted common prefixes of ``length`` or more
+   mark the starts that repeat.
 5. Marks go back to every different text by segment, and its bytes are dropped under the union of the
    marked strings; rows take the result of their text.
 
-Hashes deal text out; only equality of whole segments and of whole texts rests on them (128 bits).
+Shorter passages are told, not removed: every string of ``passage`` bytes holds one of some blocks of
+``block`` bytes at steps from its anchor, and blocks whose hash stands twice are counted for their text.
+
+Hashes deal text out; only equality of whole segments and of whole texts rests on them (128 bits), and the
+count of blocks (64 bits).
 
 Defined cases: null texts are empty; texts shorter than ``length`` keep all their bytes; texts of any
 length go in overlapping chunks of ``CHUNK`` bytes; repeated rows are copies of each other and lose what
@@ -51,7 +51,7 @@ CHUNK = 1 << 20
 PLACE = np.uint64((1 << 21) - 1)  # enough bits for a place in a chunk
 FLUSH = 1 << 20
 UNIT = "key long, uid binary, many long, starts int, align int, content binary"
-RUNS = "array<struct<begin:int,end:int,whole:boolean>>"
+RUNS = "array<struct<begin:int,end:int>>"
 
 
 @cache
@@ -67,11 +67,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _anchors(raw: bytes, length: int) -> np.ndarray:
+def _anchors(raw: bytes, length: int, block: int = 0) -> np.ndarray:
     """One column a segment of one chunk: anchor hash, anchor place, first start, last start, left, right.
 
     ``left`` and ``right`` hash the anchor with the half of a string before and behind it; 0 where no
-    string has that much.
+    string has that much. With ``block``: hashes and places of the blocks of so many bytes, at steps of
+    ``length - block`` bytes before the anchors, that lie in the strings of the segments.
     """
     words = np.ndarray((len(raw) - 7,), "<u8", buffer=raw, strides=(1,))
     span, half = length - GRAM + 1, (length - GRAM) // 2
@@ -95,15 +96,23 @@ def _anchors(raw: bytes, length: int) -> np.ndarray:
             end = np.minimum(begin + half + 1, n)
             return np.where(there, _mixed((sums[end] - sums[begin]) * inverse[begin] ^ np.uint64(salt)), np.uint64(0))
 
+        if block:
+            step = length - block
+            first, last = (place - high) // step, (place - low) // step
+            many = last - first + 1
+            q = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            begin = np.repeat(place, many) - q * step
+            return np.stack([_mixed((sums[begin + block - GRAM + 1] - sums[begin]) * inverse[begin]).view(np.int64), begin])
+
         left, right = side(place - half, low <= place - half, 1), side(place, high + length >= place + GRAM + half, 2)
     return np.stack([grams[place].view(np.int64), place, low, high, left.view(np.int64), right.view(np.int64)])
 
 
-def _segments(text: bytes, length: int) -> np.ndarray:
+def _segments(text: bytes, length: int, block: int = 0) -> np.ndarray:
     """``_anchors`` of one text, with places in the text; a long one goes in overlapping chunks."""
-    out = [np.zeros((6, 0), np.int64)]
+    out = [np.zeros((2 if block else 6, 0), np.int64)]
     for at in range(0, len(text) - length + 1, CHUNK):
-        part = _anchors(text[at : at + CHUNK + length - 1], length)
+        part = _anchors(text[at : at + CHUNK + length - 1], length, block)
         part[1:4] += at
         out.append(part)
     return np.concatenate(out, axis=1)
@@ -121,13 +130,18 @@ def _counted(halves: list[np.ndarray], rows: list[np.ndarray]) -> pd.DataFrame:
     return pd.concat([pd.DataFrame({"half": half[first], "row": row[first], "n": size}), more], ignore_index=True)
 
 
-def _halves(length: int):
+def _hashes(length: int, block: int = 0):
+    """(half, row, n): what ``_counted`` makes of the halves of the segments, or of the blocks."""
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         halves, rows, held = [], [], 0
         for b in batches:
             for raw, row in zip(b["raw"], b["row"], strict=True):
-                own = _segments(raw, length)[4:].ravel()
-                own = own[own != 0]
+                own = _segments(raw, length, block)
+                if block:  # two anchors may name one place
+                    own = own[0, np.unique(own[1], return_index=True)[1]]
+                else:
+                    own = own[4:][own[4:] != 0]
                 halves.append(own)
                 rows.append(np.full(len(own), row))
                 held += len(own)
@@ -140,13 +154,22 @@ def _halves(length: int):
     return each
 
 
+def _met(texts: DataFrame, length: int, block: int, name: str) -> DataFrame:
+    """(row, half): the hashes of each text that are counted twice or more in all."""
+    scanned = texts.filter(F.octet_length("raw") >= length).select("raw", "row").mapInPandas(_hashes(length, block), "half long, row long, n long")
+    scanned = materialize(scanned, name)
+    # at most a row of each flush for a half, however common it is
+    met = scanned.filter("n > 0").withColumn("n", F.sum("n").over(W.partitionBy("half"))).filter("n > 1").select("row", "half")
+    return met.union(scanned.filter("n = 0").select("row", "half"))
+
+
 def _uid(key: int, align: int, starts: int, content: bytes) -> bytes:
     import xxhash
 
     return xxhash.xxh3_128_digest(content, seed=(key ^ align ^ (starts << 40)) & (2**64 - 1))
 
 
-def _units(short: int, length: int):
+def _units(length: int):
     """The segments of a text whose left or right half is asked for."""
     import xxhash
 
@@ -154,18 +177,17 @@ def _units(short: int, length: int):
         for b in batches:
             out = []
             for raw, tkey, many, halves in zip(b["raw"], b["tkey"], b["many"], b["halves"], strict=True):
-                s = _segments(raw, short)
+                s = _segments(raw, length)
                 for key, place, low, high in s[:4, np.isin(s[4:], np.asarray(halves, np.int64)).any(axis=0)].T.tolist():
                     content, starts, align = raw[low : high + length], high - low + 1, low - place + length
-                    whole = max(0, min(high, len(raw) - length) - low + 1)
                     where = xxhash.xxh3_64_intdigest(tkey, seed=low)
-                    out.append((key, _uid(key, align, starts, content), many, starts, align, content, tkey, low, whole, where - (where >> 63 << 64)))
-            yield pd.DataFrame(out, columns=["key", "uid", "many", "starts", "align", "content", "tkey", "low", "whole", "place"])
+                    out.append((key, _uid(key, align, starts, content), many, starts, align, content, tkey, low, where - (where >> 63 << 64)))
+            yield pd.DataFrame(out, columns=["key", "uid", "many", "starts", "align", "content", "tkey", "low", "place"])
 
     return each
 
 
-def _children(short: int, length: int, width: int):
+def _children(length: int, width: int):
     """Units of ``width`` starts, keyed by the bytes their strings share, with their parent."""
     import xxhash
 
@@ -176,7 +198,7 @@ def _children(short: int, length: int, width: int):
                 first = -(align % width)  # blocks lie on a grid that hangs on the anchor
                 for at in range(first, starts, width):
                     a, z = max(at, 0), min(at + width, starts)
-                    core = content[at + width - 1 : at + short]  # lies in every string of the block, cut or not
+                    core = content[at + width - 1 : at + length]  # lies in every string of the block, cut or not
                     child = xxhash.xxh3_64_intdigest(core, seed=(key + (align + at)) & (2**64 - 1))
                     child -= (child >> 63) << 64
                     own = content[a : z + length - 1]
@@ -186,15 +208,12 @@ def _children(short: int, length: int, width: int):
     return each
 
 
-def _marks(short: int, length: int):
+def _marks(length: int):
     def shard(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("uid", ignore_index=True)
-        found = repeated_starts(b["content"].tolist(), b["starts"].to_numpy(), (short, length))
-        out = []
-        for content, starts, many, marked in zip(b["content"], b["starts"], b["many"], zip(*found, strict=True), strict=True):
-            if many > 1:  # every string of the segment has another start
-                marked = [np.arange(starts) + size <= len(content) for size in (short, length)]
-            out.append([(a, z, whole) for whole, m in zip((False, True), marked, strict=True) for a, z in _runs(m)])
+        (found,) = repeated_starts(b["content"].tolist(), b["starts"].to_numpy(), (length,))
+        # of a segment that is there twice every string has another start
+        out = [[(0, n)] if many > 1 else _runs(f) for f, n, many in zip(found, b["starts"], b["many"], strict=True)]
         return pd.DataFrame({"uid": b["uid"], "runs": out})
 
     return shard
@@ -205,7 +224,7 @@ def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def _sorted_out(units: DataFrame, short: int, length: int, group: int, refine: tuple[int, ...], shard_bytes: int) -> DataFrame:
+def _sorted_out(units: DataFrame, length: int, group: int, refine: tuple[int, ...], shard_bytes: int) -> DataFrame:
     """(uid, runs): the runs of marked starts of each unit that has any; ``units`` is written."""
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stats = units.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("many").alias("total")).filter("total > 1")
@@ -215,19 +234,20 @@ def _sorted_out(units: DataFrame, short: int, length: int, group: int, refine: t
     if refine and stats.filter(F.col("kinds") > group).limit(1).count():
         hot = materialize(kept.filter(F.col("kinds") > group).select(*units.columns), "hot-units")
         schema = f"{UNIT}, parent binary, at int"
-        cut = materialize(hot.repartition(parts).mapInPandas(_children(short, length, refine[0]), schema), "cut-units")
+        cut = materialize(hot.repartition(parts).mapInPandas(_children(length, refine[0]), schema), "cut-units")
         links = cut.select("uid", "parent", "at")
         same = [F.first(c).alias(c) for c in ("key", "starts", "align", "content")]
         below = materialize(cut.groupBy("uid").agg(F.sum("many").alias("many"), *same).select(*units.columns), "units")
-        found = materialize(_sorted_out(below, short, length, group, refine[1:], shard_bytes), "child-marks")
-        moved = F.transform("runs", lambda r: F.struct((r["begin"] + F.col("at")).alias("begin"), (r["end"] + F.col("at")).alias("end"), r["whole"].alias("whole")))
+        found = materialize(_sorted_out(below, length, group, refine[1:], shard_bytes), "child-marks")
+        moved = F.transform("runs", lambda r: F.struct((r["begin"] + F.col("at")).alias("begin"), (r["end"] + F.col("at")).alias("end")))
         out = links.join(found, "uid").select(F.col("parent").alias("uid"), moved.alias("runs")).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
         kept = kept.filter(F.col("kinds") <= group)
     volume = kept.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     # small shards while that gives every task some, full ones beyond
     shards = max(1, -(-volume // shard_bytes), min(4 * parts, -(-volume // max(1, shard_bytes // 16))))
     dealt = kept.select("uid", "many", "starts", "content", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
-    marks = dealt.groupBy("shard").applyInPandas(_marks(short, length), f"uid binary, runs {RUNS}").filter(F.size("runs") > 0)
+    # sorting takes long for its bytes: small partitions are not to be put together
+    marks = dealt.repartition(min(shards, 4 * parts), "shard").groupBy("shard").applyInPandas(_marks(length), f"uid binary, runs {RUNS}").filter(F.size("runs") > 0)
     return marks if out is None else marks.unionByName(out)
 
 
@@ -237,31 +257,24 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("tkey", F.unhex(F.md5("raw"))).withColumn("row", F.xxhash64("raw")).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
 
 
-def _found(docs: DataFrame, short: int, length: int, group: int, refine: tuple[int, ...], shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _found(texts: DataFrame, length: int, group: int, refine: tuple[int, ...], shard_bytes: int) -> tuple[DataFrame, DataFrame]:
     """The different texts that could hold a repeat, (tkey, raw), and the runs of bytes, (tkey, runs)."""
-    texts = _texts(docs)
-    scanned = texts.filter(F.octet_length("raw") >= short).select("raw", "row").mapInPandas(_halves(short), "half long, row long, n long")
-    scanned = materialize(scanned, "halves")
-    # at most a row of each flush for a half, however common it is
-    met = scanned.filter("n > 0").withColumn("n", F.sum("n").over(W.partitionBy("half"))).filter("n > 1").select("row", "half")
-    hits = met.union(scanned.filter("n = 0").select("row", "half")).groupBy("row").agg(F.collect_set("half").alias("halves"))
+    hits = _met(texts, length, 0, "halves").groupBy("row").agg(F.collect_set("half").alias("halves"))
     each = texts.groupBy("row", "tkey").agg(F.count("*").alias("many"), F.min("doc").alias("doc"))
     asked = materialize(each.join(hits, "row").select("tkey", "doc", "many", "halves"), "asked")  # a list is bounded by its text
     held = materialize(texts.select("tkey", "doc", "raw").join(asked, ["tkey", "doc"]).drop("doc"), "held-texts")
     # a row that repeats gives its units again; their number is above 1 then without it
-    units = materialize(held.mapInPandas(_units(short, length), f"{UNIT}, tkey binary, low int, whole int, place long"), "units")
-    kinds = units.groupBy("key", "uid").agg(F.sum("many").alias("many"), F.min("place").alias("place"), F.min("starts").alias("starts"), F.min("whole").alias("whole"))
+    units = materialize(held.mapInPandas(_units(length), f"{UNIT}, tkey binary, low int, place long"), "units")
+    kinds = units.groupBy("key", "uid").agg(F.sum("many").alias("many"), F.min("place").alias("place"), F.min("starts").alias("starts"))
     kinds = materialize(kinds, "segment-kinds")
     mixed = kinds.groupBy("key").agg((F.count("*") > 1).alias("mixed"))
     kinds = materialize(kinds.join(mixed, "key"), "kinds")
-    all_of = lambda n, whole: F.struct(F.lit(0).alias("begin"), F.col(n).alias("end"), F.lit(whole).alias("whole"))
-    sure = kinds.filter("NOT mixed AND many > 1").select("uid", F.filter(F.array(all_of("starts", False), all_of("whole", True)), lambda r: r["end"] > 0).alias("runs"))
+    sure = kinds.filter("NOT mixed AND many > 1").select("uid", F.array(F.struct(F.lit(0).alias("begin"), F.col("starts").alias("end"))).alias("runs"))
     reps = units.drop("many").join(kinds.filter("mixed").select("uid", "place", "many"), ["uid", "place"]).select("key", "uid", "many", "starts", "align", "content")
     reps = materialize(reps.dropDuplicates(["uid"]), "representatives")
-    marks = materialize(_sorted_out(reps, short, length, group, refine, shard_bytes).unionByName(sure), "marks")
+    marks = materialize(_sorted_out(reps, length, group, refine, shard_bytes).unionByName(sure), "marks")
     spans = units.select("uid", "tkey", "low").join(marks, "uid")
-    reach = lambda r: r["end"] + F.col("low") - 1 + F.when(r["whole"], length).otherwise(short)
-    runs = F.transform("runs", lambda r: F.struct((r["begin"] + F.col("low")).alias("begin"), reach(r).alias("end"), r["whole"].alias("whole")))
+    runs = F.transform("runs", lambda r: F.struct((r["begin"] + F.col("low")).alias("begin"), (r["end"] + F.col("low") + (length - 1)).alias("end")))
     return held.select("tkey", "raw"), spans.select("tkey", runs.alias("runs")).groupBy("tkey").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
@@ -275,52 +288,47 @@ def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _whole_words(raw: bytes, a: int, z: int) -> int:
-    """The words of ``raw`` that lie in a..z with both their ends."""
-    part = raw[a:z]
-    words = len(part.split())
-    cut_left = a > 0 and not raw[a - 1 : a].isspace() and not part[:1].isspace()
-    cut_right = z < len(raw) and not raw[z : z + 1].isspace() and not part[-1:].isspace()
-    return words - cut_left - cut_right
-
-
-def stripped(
-    docs: DataFrame, length: int = 400, passage: int = 288, words: int = 50, group: int = 512, refine: tuple[int, ...] = (16, 1), shard_bytes: int = 1 << 22,
-) -> DataFrame:
-    """(tkey, n_removed, n_spans, n_passages, kept) of each different text (md5) that holds a repeat; written."""
-    held, runs = _found(docs, min(passage, length), length, group, refine, shard_bytes)
+def stripped(docs: DataFrame, length: int = 400, group: int = 512, refine: tuple[int, ...] = (16, 1), shard_bytes: int = 1 << 22) -> DataFrame:
+    """(tkey, n_removed, n_spans, kept) of each different text (md5) that holds a repeat; written."""
+    held, runs = _found(_texts(docs), length, group, refine, shard_bytes)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for tkey, raw, own in zip(b["tkey"], b["raw"], b["runs"], strict=True):
-                gone = _union([(r["begin"], r["end"]) for r in own if r["whole"]])
-                seen = _union([(r["begin"], r["end"]) for r in own])
+                gone = _union([(r["begin"], r["end"]) for r in own])
                 kept = b"".join(raw[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(raw)], strict=True))
-                out.append((tkey, len(raw) - len(kept), len(gone), sum(_whole_words(raw, a, z) > words for a, z in seen), kept))
-            yield pd.DataFrame(out, columns=["tkey", "n_removed", "n_spans", "n_passages", "kept"])
+                out.append((tkey, len(raw) - len(kept), len(gone), kept))
+            yield pd.DataFrame(out, columns=["tkey", "n_removed", "n_spans", "kept"])
 
     once = held.join(runs, "tkey").dropDuplicates(["tkey"])
-    return materialize(once.mapInPandas(each, "tkey binary, n_removed long, n_spans long, n_passages long, kept binary"), "stripped")
+    return materialize(once.mapInPandas(each, "tkey binary, n_removed long, n_spans long, kept binary"), "stripped")
+
+
+def passages(docs: DataFrame, passage: int = 296, block: int = 216) -> DataFrame:
+    """(row, n_blocks): for each text (by its 64-bit hash), its blocks that stand elsewhere or again."""
+    return _met(_texts(docs), passage, block, "blocks").groupBy("row").agg(F.countDistinct("half").alias("n_blocks"))
 
 
 def _each_row(rows: DataFrame, own: DataFrame, kept: str) -> DataFrame:
     """``rows`` with what their texts lose; texts that ``own`` does not have lose nothing."""
-    counts = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_removed", "n_spans", "n_passages")]
-    out = rows.join(own, "tkey", "left").select("doc_id", "n_bytes", *counts, F.coalesce("own", kept).alias(kept))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", kept, "n_passages")
+    counts = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_removed", "n_spans")]
+    return rows.join(own, "tkey", "left").select("doc_id", "row", "n_bytes", *counts, F.coalesce("own", kept).alias(kept))
 
 
 def strip(docs: DataFrame, length: int = 400, **kw) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, n_passages): every row of ``docs`` with the bytes that remain.
+    """(doc_id, n_bytes, n_removed, n_spans, kept): every row of ``docs`` with the bytes that remain."""
+    rows = _texts(docs).select("doc_id", "row", "tkey", F.octet_length("raw").cast("long").alias("n_bytes"), F.col("raw").alias("kept"))
+    return _each_row(rows, stripped(docs, length, **kw).withColumnRenamed("kept", "own"), "kept").drop("row")
 
-    ``n_passages``: passages of more than ``words`` words that stand elsewhere too, removed or not.
-    """
-    rows = _texts(docs).select("doc_id", "tkey", F.octet_length("raw").cast("long").alias("n_bytes"), F.col("raw").alias("kept"))
-    return _each_row(rows, stripped(docs, length, **kw).withColumnRenamed("kept", "own"), "kept")
 
+def digest(docs: DataFrame, length: int = 400, passage: int = 296, block: int = 216, **kw) -> DataFrame:
+    """``strip`` with the SHA-256 of the bytes that remain, and ``n_blocks``: no text is shuffled for it.
 
-def digest(docs: DataFrame, length: int = 400, **kw) -> DataFrame:
-    """``strip`` with the SHA-256 of the bytes that remain: no text is shuffled for it."""
-    rows = _texts(docs).select("doc_id", "tkey", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("kept_sha256"))
-    return _each_row(rows, stripped(docs, length, **kw).withColumn("own", F.sha2("kept", 256)).drop("kept"), "kept_sha256")
+    ``n_blocks`` is above 0 where a passage of ``passage`` bytes (about fifty words) stands elsewhere too,
+    removed or not.
+    """
+    rows = _texts(docs).select("doc_id", "row", "tkey", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("kept_sha256"))
+    out = _each_row(rows, stripped(docs, length, **kw).withColumn("own", F.sha2("kept", 256)).drop("kept"), "kept_sha256")
+    blocks = passages(docs, passage, block)
+    return out.join(blocks, "row", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_blocks", F.lit(0).cast("long")).alias("n_blocks"))

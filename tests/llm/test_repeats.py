@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import re
 
 import numpy as np
 import pytest
@@ -34,14 +33,12 @@ def spans(marks):
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def brute(texts, length, passage=None, words=50):
-    """(n_bytes, n_removed, n_spans, kept, n_passages) of each text."""
+def brute(texts, length):
+    """(n_bytes, n_removed, n_spans, kept) of each text."""
     raws = [(t or "").encode() for t in texts]
     out = []
-    for r, gone, seen in zip(raws, covered(raws, length), covered(raws, min(length, passage or length)), strict=True):
-        at = [(m.start(), m.end()) for m in re.finditer(rb"\S+", r)]
-        many = sum(sum(a <= x and y <= z for x, y in at) > words for a, z in spans(seen))
-        out.append((len(r), int(gone.sum()), len(spans(gone)), bytes(b for b, g in zip(r, gone, strict=True) if not g), many))
+    for r, gone in zip(raws, covered(raws, length), strict=True):
+        out.append((len(r), int(gone.sum()), len(spans(gone)), bytes(b for b, g in zip(r, gone, strict=True) if not g)))
     return out
 
 
@@ -76,11 +73,15 @@ def test_strip_is_brute_force(spark, group, seed):
     texts = [text(rng.randint(0, 30)) + rng.choice(shared)[rng.randint(0, 20) :] + text(rng.randint(0, 20)) for _ in range(30)]
     texts += [texts[0]] * 3 + [texts[1] + texts[1], texts[2][:90], texts[2][5:95], None, "", "ab" * 120, text(6)]
     rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
-    for passage in (40, 26):
-        found = repeats.strip(rows, length=40, passage=passage, words=4, group=group, refine=(8, 1), shard_bytes=2000).collect()
-        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["n_passages"]) for r in found}
-        for k, want in enumerate(brute(texts, 40, passage, 4)):
-            assert got[k] == want, (k, passage, texts[k])
+    found = repeats.strip(rows, length=40, group=group, refine=(8, 1), shard_bytes=2000).collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found}
+    for k, want in enumerate(brute(texts, 40)):
+        assert got[k] == want, (k, texts[k])
+    # where a string of 40 bytes repeats a block does, and where a block does a string of 24 bytes
+    told = {r["doc_id"]: r["n_blocks"] for r in repeats.digest(rows, length=40, passage=40, block=24, shard_bytes=2000).collect()}
+    raws = [(t or "").encode() for t in texts]
+    for k, (long, short) in enumerate(zip(covered(raws, 40), covered(raws, 24), strict=True)):
+        assert (told[k] > 0) >= long.any() and (told[k] > 0) <= short.any(), (k, texts[k])
 
 
 def test_long_texts_and_one_hot_passage(spark):
@@ -103,13 +104,13 @@ def test_passages_below_the_length(spark):
     words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 6))) for _ in range(n))
     passage = words(55)
     texts = [f"{words(40)} {passage} {words(30)}" for _ in range(4)] + [words(120) for _ in range(4)]
-    got = {r["doc_id"]: (r["n_passages"], r["n_removed"]) for r in repeats.digest(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
-    assert [got[k] for k in range(8)] == [(1, 0)] * 4 + [(0, 0)] * 4
+    got = {r["doc_id"]: (r["n_blocks"] > 0, r["n_removed"]) for r in repeats.digest(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert [got[k] for k in range(8)] == [(True, 0)] * 4 + [(False, 0)] * 4
 
 
 def test_edges(spark):
     empty = repeats.digest(spark.createDataFrame([], SCHEMA))
-    assert empty.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"] and empty.count() == 0
+    assert empty.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_blocks"] and empty.count() == 0
     rows = spark.createDataFrame([(None, "x" * 30, 1), (1, None, 2), (1, "x" * 30, 3)], "doc_id long, text string, runs int")
     got = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.strip(rows, length=20).collect()}
     assert got == {(None, 30, 30), (1, 0, 0), (1, 30, 30)}
