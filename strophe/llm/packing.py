@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.llm.common import materialize
-from strophe.llm.tokens import encoder
+from strophe.llm.tokens import encoder, release
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -46,6 +46,7 @@ def pieces(docs: DataFrame, path: str, kind: str, end_id: int, size: int = 4096)
                         own = ids[at : at + 4 * size]
                         out.append((None if pd.isna(doc_id) else int(doc_id), k, at // 4, len(own) // 4, zlib.crc32(own)))
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInPandas(each, PIECES)

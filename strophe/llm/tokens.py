@@ -9,6 +9,7 @@ whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from array import array
@@ -139,6 +140,14 @@ class Encoder:
         return [every[a:z] for a, z in zip(done[ends[:-1]].tolist(), done[ends[1:]].tolist(), strict=True)]
 
 
+def release() -> None:
+    """Give freed memory back to the system: an idle worker would hold it beside the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 

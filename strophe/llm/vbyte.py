@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.llm.common import fresh_path, materialize
-from strophe.llm.tokens import encoder
+from strophe.llm.tokens import encoder, release
 
 #: For each control byte, the number of data bytes of its four values.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
@@ -82,6 +82,7 @@ def tokenize(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
                 ids = [np.concatenate([x.astype(wide), end]).tobytes() for x in part]
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at : at + len(part)], "width": int(wide[-1]), "ids": ids, "counts": None})
                 at += len(part)
+        release()
         yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "width": int(wide[-1]), "ids": [None], "counts": [total.tobytes()]})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
