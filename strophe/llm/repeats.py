@@ -295,13 +295,14 @@ def stripped(docs: DataFrame, length: int = 400, group: int = 512, refine: tuple
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for tkey, raw, own in zip(b["tkey"], b["raw"], b["runs"], strict=True):
-                gone = _union([(r["begin"], r["end"]) for r in own])
+            for tkey, raw, begin, end in zip(b["tkey"], b["raw"], b["begin"], b["end"], strict=True):
+                gone = _union(list(zip(begin.tolist(), end.tolist(), strict=True)))
                 kept = b"".join(raw[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(raw)], strict=True))
                 out.append((tkey, len(raw) - len(kept), len(gone), kept))
             yield pd.DataFrame(out, columns=["tkey", "n_removed", "n_spans", "kept"])
 
-    once = held.join(runs, "tkey").dropDuplicates(["tkey"])
+    ends = runs.select("tkey", F.col("runs.begin").alias("begin"), F.col("runs.end").alias("end"))
+    once = held.join(ends, "tkey").dropDuplicates(["tkey"])
     return materialize(once.mapInPandas(each, "tkey binary, n_removed long, n_spans long, kept binary"), "stripped")
 
 
