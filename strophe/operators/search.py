@@ -1,8 +1,9 @@
 """Substring, fuzzy full-text and unified search over songs (number, title, variants).
 
 The index is a table: ``exact_index`` one row a variant, ``postings`` one row a (variant, term) with term
-counts of both fields. A search reads the postings of its terms alone. The fuzzy term is compared with
-the distinct vocabulary, never with occurrences.
+counts of both fields. ``SearchSession`` writes these with a substring index (``grams``) and a fuzzy one
+(``edits``) and asks them, one query or a table of queries at a time (``ask``). The functions that take an
+index and a query scan instead: the plain form of the same results, without anything written before.
 """
 
 from __future__ import annotations
@@ -16,18 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strophe.functions.text import clean_text, flatten_text
+from strophe.operators import ask, edits, grams
+from strophe.operators.ask import FUZZY, LISTED, MIN_QUERY, exact_score
 from strophe.operators.ranking import best_of, top
+from strophe.sources.workspace import materialize
 
 # Fixed values.
-MIN_QUERY = 3
-TITLE_BOOST, CONTENT_BOOST = 10.0, 1.0
-FUZZY = 2
-TITLE_BASE = 2.0
 HIT = "n string, variantIndex int, score double, title string, matchType string"
-K1, B = 1.2, 0.75
-
-#: Terms that go into a scan's filter.
-LISTED = 2000
+#: Bytes of an index's row group: small, so that a scan for few keys reads little.
+ROW_GROUP = 4 << 20
 
 
 def prepare_song(songs: DataFrame) -> DataFrame:
@@ -73,12 +71,6 @@ def no_hits(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], HIT)
 
 
-def exact_score(needle: Column) -> Column:
-    """Above 2 for a hit in the title, at most 1 in the text, null without one; earlier is higher."""
-    in_title, in_text = F.instr("titleFlat", needle), F.instr("textFlat", needle)
-    return F.when(in_title > 0, TITLE_BASE + 1 / in_title).when(in_text > 0, 1 / in_text)
-
-
 def search_exact(index: DataFrame, query: str | None, limit: int = 0) -> DataFrame:
     """Hits of ``query`` without its blanks, the best variant of each song, in order."""
     return top(_exact_hits(index, query), limit, *order_exact())
@@ -151,14 +143,7 @@ def bm25(index: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
         hits = index.filter(F.col("term").isin(*[r["term"] for r in some])).join(F.broadcast(found), "term")
     else:
         hits = index.join(terms, "term")
-    idf = F.log(1 + (F.lit(total["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-
-    def part(tf: str, length: str, mean: float | None, boost: float) -> Column:
-        norm = (1 - B) + B * F.col(length) / F.lit(float(mean or 1.0) or 1.0)
-        return boost * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * norm)
-
-    weight = part("tf_title", "len_title", total["avg_title"], TITLE_BOOST) + part("tf_content", "len_content", total["avg_content"], CONTENT_BOOST)
-    scored = hits.withColumn("s", idf * weight)
+    scored = hits.withColumn("s", ask.weight(total, F.col("df")))
     return scored.groupBy("ref", "n", "variantIndex").agg(F.sum("s").alias("score"), F.countDistinct(F.when(F.col("required"), F.col("term"))).alias("required_found"))
 
 
@@ -179,7 +164,7 @@ def lexical_hits(
     terms = q.split()
     if stem:
         terms = [r["t"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(terms)], "k int, t string").withColumn("t", stem(F.col("t"))).orderBy("k").collect()]
-    scored = bm25(index, stats, matched_terms(vocabulary_of(index) if vocabulary is None else vocabulary, terms, fuzzy, transposed))
+    scored = materialize(bm25(index, stats, matched_terms(vocabulary_of(index) if vocabulary is None else vocabulary, terms, fuzzy, transposed)), "scored")
     strict = scored.filter(F.col("required_found") == len(set(terms[:-1])))
     any_strict = strict.select(F.lit(1).alias("one")).limit(1)
     relaxed = scored.withColumn("one", F.lit(1)).join(F.broadcast(any_strict), "one", "left_anti").drop("one")
@@ -209,39 +194,77 @@ def search_number(songs: DataFrame, query: str) -> DataFrame:
 class SearchSession:
     """The indexes, each written once under ``path`` when it is first asked for, and read by every query."""
 
-    def __init__(self, songs: DataFrame, path: str, stem: Callable[[Column], Column] | None = None, stopwords: tuple[str, ...] = ()) -> None:
-        self.songs, self.path, self.stem, self.stopwords = songs, path, stem, stopwords
+    def __init__(self, songs: DataFrame, path: str, stem: Callable[[Column], Column] | None = None, stopwords: tuple[str, ...] = (), edits: int = FUZZY) -> None:
+        self.songs, self.path, self.stem, self.stopwords, self.edits = songs, path, stem, stopwords, edits
 
-    def _written(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def _written(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """``df`` as a table; sorted by ``by`` over ranges, so that a search for few keys skips row groups."""
+        if by:
+            df = materialize(df, name).repartitionByRange(*by).sortWithinPartitions(*by)
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     @cached_property
     def exact(self) -> DataFrame:
-        return self._written(exact_index(self.songs), "exact")
+        """``exact_index`` and a number for each of its rows."""
+        return self._written(exact_index(self.songs).withColumn("row", F.monotonically_increasing_id()), "exact")
+
+    @cached_property
+    def grams(self) -> DataFrame:
+        return self._written(grams.postings(self.exact.select("row", F.col("textFlat").alias("text"))), "grams", "gram", "block")
+
+    @cached_property
+    def dictionary(self) -> DataFrame:
+        return self._written(grams.counts(self.grams), "gram-counts")
 
     @cached_property
     def index(self) -> DataFrame:
-        """Files sorted by term: a search for few terms skips the row groups without them."""
-        rows = postings_of(prepare_variants(self.songs), self.stem, self.stopwords)
-        return self._written(rows.repartitionByRange("term", "ref").sortWithinPartitions("term", "ref"), "postings")
+        rows = postings_of(prepare_variants(self.songs).repartition("ref"), self.stem, self.stopwords)
+        return self._written(rows, "postings", "term", "ref")
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return self._written(vocabulary_of(self.index), "vocabulary")
+        return self._written(vocabulary_of(self.index), "vocabulary", "term")
+
+    @cached_property
+    def neighbourhoods(self) -> DataFrame:
+        return self._written(edits.neighbourhoods(self.vocabulary, self.edits), "neighbourhoods", "key", "term")
 
     @cached_property
     def stats(self) -> DataFrame:
         return self._written(statistics(prepare_variants(self.songs)), "statistics")
 
+    @property
+    def exact_indexes(self) -> ask.Indexes:
+        return ask.Indexes(self.exact, self.grams, self.dictionary, None, None, None, None)
+
+    @property
+    def indexes(self) -> ask.Indexes:
+        return ask.Indexes(self.exact, self.grams, self.dictionary, self.index, self.vocabulary, self.neighbourhoods, self.stats)
+
+    def _one(self, query: str | None) -> DataFrame:
+        return ask.prepared(self.songs.sparkSession.createDataFrame([(0, query)], "query_id int, query string"))
+
     def search_exact(self, query: str | None, limit: int = 0) -> DataFrame:
-        return search_exact(self.exact, query, limit)
+        return top(ask.exact(self._one(query), self.exact_indexes).drop("query_id"), limit, *order_exact())
 
     def search_lexical(self, query: str | None, limit: int = 0, **kw) -> DataFrame:
-        return search_lexical(self.index, self.stats, query, limit, stem=self.stem, vocabulary=self.vocabulary, **kw)
+        return top(ask.lexical(self._one(query), self.indexes, stem=self.stem, **kw).drop("query_id"), limit, *order_lexical())
 
     def search(self, query: str | None, limit: int = 0, **kw) -> DataFrame:
-        return search_unified(self.exact, self.index, self.stats, query, limit, stem=self.stem, vocabulary=self.vocabulary, **kw)
+        hits = ask.unified(self._one(query), self.indexes, stem=self.stem, **kw).drop("query_id")
+        return top(hits, limit, *ask.order(hits))
+
+    def search_all(self, queries: DataFrame, limit: int = 0, **kw) -> DataFrame:
+        """The hits of every row of ``queries``, (query_id, query), as ``search`` finds them; with a ``limit``
+        the first ones of each query and their rank."""
+        hits = ask.unified(materialize(ask.prepared(queries), "queries"), self.indexes, stem=self.stem, **kw)
+        return ask.first(hits, limit) if limit > 0 else hits
+
+    def search_all_exact(self, queries: DataFrame, limit: int = 0) -> DataFrame:
+        """As ``search_all``, exact hits alone."""
+        hits = ask.exact(materialize(ask.prepared(queries), "queries"), self.exact_indexes)
+        return ask.first(hits, limit) if limit > 0 else hits
 
 
 # Endings of the published Snowball stemmer for Russian.

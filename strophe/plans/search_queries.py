@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.operators import ranking, search, store
+from strophe.operators import ask, edits, ranking, search, store
 from strophe.plans import bindings as b
 from strophe.plans.bindings import DOCS, sql
+from strophe.sources.readers import fingerprint
 from strophe.sources.workspace import fresh_folder
 
 EXACT = "Of the"
@@ -17,15 +18,19 @@ ONE = "thean"
 UI_LIMIT = 7
 
 
-_sessions: dict[tuple, search.SearchSession] = {}
+_sessions: dict[tuple, tuple[tuple, search.SearchSession]] = {}
 
 
 def session(spark: SparkSession, sf_dir: str, stem=None) -> search.SearchSession:
-    """The written indexes of a folder's documents: built by the first query that needs them, asked by all."""
+    """The written indexes of a folder's documents: built by the first query that needs them, asked by all.
+
+    They are built again once the files are others than those they were built from.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, stem)
-    if key not in _sessions:
-        _sessions[key] = search.SearchSession(b.document_songs(spark, sf_dir), fresh_folder(spark, "search"), stem)
-    return _sessions[key]
+    files = fingerprint(b.table(spark, sf_dir, "documents"))
+    if key not in _sessions or _sessions[key][0] != files:
+        _sessions[key] = files, search.SearchSession(b.document_songs(spark, sf_dir), fresh_folder(spark, "search"), stem)
+    return _sessions[key][1]
 
 
 def _exact(spark: SparkSession, sf_dir: str, limit: int = 0) -> DataFrame:
@@ -65,10 +70,36 @@ def search_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both indexes written and read back, then two searches."""
-    own = search.SearchSession(b.document_songs(spark, sf_dir), fresh_folder(spark, "search"))
-    one = own.search(ONE).withColumn("query", F.lit(ONE))
-    return _shown(one.unionByName(own.search(FALLBACK).withColumn("query", F.lit(FALLBACK))))
+    """Two searches of one session, asked at once."""
+    asked = spark.createDataFrame([(q, q) for q in (ONE, FALLBACK)], "query_id string, query string")
+    return _shown(session(spark, sf_dir).search_all(asked)).withColumnRenamed("query_id", "query")
+
+
+def part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query): the names of parts, each once."""
+    return b.table(spark, sf_dir, "part").select(F.col("p_name").alias("query_id"), F.col("p_name").alias("query")).distinct()
+
+
+def item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query): the benchmark's whole texts."""
+    return b.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def search_all(spark: SparkSession, sf_dir: str, limit: int = 0) -> DataFrame:
+    """Every part name searched at once."""
+    return _shown(session(spark, sf_dir).search_all(part_queries(spark, sf_dir), limit))
+
+
+def search_all_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which benchmark text, blanks and marks aside: all of them asked at once."""
+    return _shown(session(spark, sf_dir).search_all_exact(item_queries(spark, sf_dir)))
+
+
+def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, term, df): the terms of the documents at most two edits from the last word of a part's name."""
+    own = session(spark, sf_dir)
+    words = ask.query_terms(ask.prepared(part_queries(spark, sf_dir))).filter("last").select(F.col("term").alias("word")).distinct()
+    return edits.near_terms(own.neighbourhoods, edits.keys_of(words, own.edits), own.edits)
 
 
 def prepare_song(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +114,7 @@ def hits_with_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "prepare_song": prepare_song,
     "prepare_variants": lambda s, d: b.document_variants(s, d),
-    "build_exact_index": lambda s, d: session(s, d).exact,
+    "build_exact_index": lambda s, d: session(s, d).exact.drop("row"),
     "search_exact": _exact,
     "sort_exact": lambda s, d: _exact(s, d).select("n", "score"),
     "build_lexical_index": lambda s, d: session(s, d).index.select("ref", "term", "tf_title", "tf_content", "len_title", "len_content"),
@@ -102,6 +133,11 @@ QUERIES = {
     "search_number": search_number,
     "search_session": search_session,
     "search_hit_titles": hits_with_titles,
+    "build_substring_index": lambda s, d: session(s, d).dictionary,
+    "fuzzy_terms": fuzzy_terms,
+    "search_all": search_all,
+    "search_all_exact": search_all_exact,
+    "search_all_top": lambda s, d: search_all(s, d, UI_LIMIT).select("query_id", "rank", "tier", "score"),
 }
 #: Letters beyond ASCII become single unused ASCII characters, since this engine's distance counts bytes.
 LETTERS = "translate({0}, 'àáâäçèéêëíîïñóôöùúûüß¿¡«»“”…–—’', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456')"
@@ -135,6 +171,34 @@ def _exact_sql(query: str) -> dict[str, str]:
     }
 
 
+def _all_sql() -> dict[str, str]:
+    """Lexical and exact hits of all part names, as for one query."""
+    return {
+        "asked": "SELECT DISTINCT p_name AS query_id, string_split(lower(p_name), ' ') AS words FROM part WHERE length(p_name) >= 3",
+        "need": "SELECT DISTINCT query_id, unnest(words[:-2]) AS term FROM asked",
+        "needs": "SELECT query_id, len(list_distinct(words[:-2])) AS need FROM asked",
+        "vocab": f"SELECT term, {LETTERS.format('term')} AS plain, count(*) AS df FROM post GROUP BY ALL",
+        "lasts": "SELECT DISTINCT words[-1] AS word FROM asked",
+        "fuzzy": "SELECT word, term, df FROM lasts JOIN vocab ON abs(length(term) - length(word)) <= 2 AND levenshtein(plain, word) <= 2",
+        "terms": "SELECT query_id, term, df, bool_or(req) AS req FROM (SELECT query_id, term, df, true AS req FROM need JOIN vocab USING (term) UNION ALL SELECT query_id, term, df, false FROM asked JOIN fuzzy ON word = words[-1]) GROUP BY ALL",
+        "bm": """SELECT query_id, ref, n, variantIndex, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (10.0::DOUBLE * tft * 2.2 / (tft + 1.2 * (0.25 + 0.75 * lt / avt)) + tfc * 2.2::DOUBLE / (tfc + 1.2 * (0.25 + 0.75 * lc / avc)))) AS score,
+          count(*) FILTER (WHERE req) AS found FROM post JOIN terms USING (term), st GROUP BY ALL""",
+        "allowed": "SELECT bm.* FROM bm JOIN needs USING (query_id) JOIN (SELECT query_id, max(found) AS most FROM bm GROUP BY 1) USING (query_id) WHERE most < need OR found = need",
+        "lex": "SELECT query_id, n, CAST(variantIndex AS INT) AS variantIndex, round(score, 6) AS score FROM allowed QUALIFY row_number() OVER (PARTITION BY query_id, n ORDER BY round(score, 6) DESC, variantIndex) = 1",
+        **_all_exact_sql("asked_flat"), "asked_flat": "SELECT query_id, array_to_string(words, '') AS needle FROM asked",
+        "uni": "SELECT query_id, n, variantIndex, score, title, 'exact' AS matchType, 0 AS tier FROM ex UNION ALL SELECT query_id, n, variantIndex, score, '', 'lexical', 1 FROM lex WHERE (query_id, n) NOT IN (SELECT (query_id, n) FROM ex)",
+    }
+
+
+def _all_exact_sql(asked: str) -> dict[str, str]:
+    return {
+        "es": f"SELECT query_id, n, CAST(variantIndex AS INT) AS variantIndex, title, CASE WHEN instr(titleFlat, needle) > 0 THEN 2 + 1.0::DOUBLE / instr(titleFlat, needle) ELSE 1.0::DOUBLE / instr(textFlat, needle) END AS score FROM {asked} JOIN flat ON instr(textFlat, needle) > 0",
+        "ex": "SELECT query_id, n, variantIndex, title, round(score, 6) AS score FROM es QUALIFY row_number() OVER (PARTITION BY query_id, n ORDER BY score DESC, variantIndex) = 1",
+    }
+
+
+ITEMS = r"""SELECT item_id AS query_id, replace(lower(trim(regexp_replace(regexp_replace(text, '[/\[\]()!?.,;:"''-]', ' ', 'g'), '\s+', ' ', 'g'))), ' ', '') AS needle FROM benchmark
+  WHERE length(trim(regexp_replace(regexp_replace(text, '[/\[\]()!?.,;:"''-]', ' ', 'g'), '\s+', ' ', 'g'))) >= 3"""
 FLAT = (*DOCS, "flat")
 LEX = "SELECT n, variantIndex, score, '' AS title, 'lexical' AS matchType FROM lex"
 UNI = "SELECT n, variantIndex, score, title, 'exact' AS matchType, 0 AS tier FROM ex UNION ALL SELECT n, variantIndex, score, '', 'lexical', 1 FROM lex WHERE n NOT IN (SELECT n FROM ex)"
@@ -160,3 +224,13 @@ ORACLE_SQL = {
     "search_hit_titles": sql(DOCS, "SELECT lex.n, string_split(coalesce(text, ''), chr(10))[1] AS title FROM lex JOIN documents ON doc_id = lex.n::BIGINT", **INDEX, **_search_sql(ONE)),
 }
 ORACLE_SQL["lexical_not_in_exact"] = ORACLE_SQL["except_exact"]
+ALL = {k: v for k, v in (INDEX | _all_sql()).items() if k not in ("asked_flat", "es", "ex", "uni")} | {k: _all_sql()[k] for k in ("asked_flat", "es", "ex", "uni")}
+SHOWN = "SELECT n, variantIndex, score, title, matchType, tier, '{0}' AS query FROM ({1})"
+ORACLE_SQL |= {
+    "build_substring_index": sql(FLAT, "SELECT gram, count(*) AS df FROM (SELECT DISTINCT n, variantIndex, unnest(list_transform(range(1, length(textFlat) + 1), lambda i: substr(textFlat || '  ', i, 3))) AS gram FROM flat) GROUP BY 1"),
+    "fuzzy_terms": sql(DOCS, "SELECT word, term, df FROM fuzzy", **INDEX, **{k: ALL[k] for k in ("asked", "vocab", "lasts", "fuzzy")}),
+    "search_all": sql(FLAT, "SELECT * FROM uni", **ALL),
+    "search_all_exact": sql(FLAT, "SELECT query_id, n, variantIndex, title, score, 'exact' AS matchType FROM ex", items=ITEMS, **_all_exact_sql("items")),
+    "search_all_top": sql(FLAT, "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC)::INT AS rank, tier, score FROM uni QUALIFY rank <= 7", **ALL),
+    "search_session": " UNION ALL ".join("SELECT * FROM (" + SHOWN.format(q, sql(FLAT, "SELECT * FROM uni", **INDEX, **_search_sql(q), **_exact_sql(q), uni=UNI)) + ")" for q in (ONE, FALLBACK)),
+}
