@@ -87,8 +87,7 @@ def title_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.table(spark, sf_dir, "pages").select("page_id", markup.parse_repeats(F.col("html")).alias("tree"))
-    return rows.select("page_id", F.posexplode("tree").alias("at", "node")).select("page_id", "at", "node.*")
+    return markup.parse_repeats(b.table(spark, sf_dir, "pages"), "page_id", "html")
 
 
 QUERIES = {
@@ -113,9 +112,32 @@ QUERIES = {
     "pluralize_ru": pluralize_ru,
     "title_fallback": title_fallback,
     "parse_repeats": parse_repeats,
-    "render_repeats": _column("pages", "page_id", "html", markup.render_repeats, "html"),
-    "render_content": _of_files("html", markup.render_content),
+    "render_repeats": lambda s, d: markup.render_repeats(b.table(s, d, "pages"), "page_id", "html"),
+    "render_content": lambda s, d: markup.render_content(b.song_files(s, d), "file", "text"),
 }
+
+
+def _marks_sql(source: str, key: str, column: str) -> dict[str, str]:
+    """Every mark with its partner: running depths, and the next mark of the same depth."""
+    return {
+        "cut": f"SELECT {key} AS k, {TOKENS.format(f'coalesce({column}, {chr(39) * 2})')} AS parts FROM {source}",
+        "single": "SELECT k, flatten(list_transform(parts, lambda x: CASE WHEN x = '//' THEN ['/', '/'] ELSE [x] END)) AS parts FROM cut",
+        "tokens": r"SELECT k, generate_subscripts(parts, 1) AS pos, unnest(parts) AS x FROM single",
+        "typed": r"SELECT *, CASE WHEN x = '/' THEN 1 WHEN regexp_full_match(x, '/\s*\d+\s*р\s*\.?') THEN -1 ELSE 0 END AS step, regexp_extract(x, '\d+') AS num FROM tokens",
+        "summed": "SELECT *, sum(step) OVER (PARTITION BY k ORDER BY pos)::BIGINT AS s FROM typed",
+        "floored": "SELECT *, least(0, min(s) OVER (PARTITION BY k ORDER BY pos)) AS low FROM summed",
+        "deep": "SELECT *, s - low AS d, step = -1 AND low < coalesce(lag(low) OVER (PARTITION BY k ORDER BY pos), 0) AS lost FROM floored",
+        "told": "SELECT *, lost OR (step = 1 AND min(d) OVER (PARTITION BY k ORDER BY pos DESC) = d) AS lone, CASE WHEN step = 1 THEN d - 1 ELSE d END AS lv FROM deep",
+        "marks": """SELECT *, CASE WHEN lone THEN 0 ELSE lv - sum(CASE WHEN lone AND step = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos) END::INT AS depth,
+          CASE WHEN NOT lone AND step <> 0 THEN lead(num) OVER (PARTITION BY k, step <> 0 AND NOT lone, lv ORDER BY pos) END AS times,
+          CASE WHEN step = 0 THEN x WHEN lone AND step = 1 THEN '/' WHEN lone THEN '/' || num || 'р.' END AS value FROM told""",
+        "html": """SELECT k, string_agg(CASE WHEN value IS NOT NULL THEN replace(replace(replace(replace(value, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')
+          WHEN step = 1 THEN '<span class="repeat-marker">/</span><span class="repeat' || CASE WHEN depth > 0 THEN ' repeat-depth-' || least(depth, 3)::VARCHAR ELSE '' END || '">'
+          ELSE '</span><span class="repeat-marker">/' || num || 'р.</span>' END, '' ORDER BY pos) AS html FROM marks GROUP BY k""",
+    }
+
+
+RENDERED = r"""replace(regexp_replace(replace(replace(replace(coalesce(html, ''), '{_', '<span class=''chord''>'), '{', '<span class=''chord chord-up''>'), '}', '</span>'), '\[([^\]]*)\]', '<span class=''stage-direction''>\1</span>', 'g'), chr(10), '<br/>')"""
 PLURAL = "CASE WHEN n % 100 > 10 AND n % 100 < 20 THEN 'песен' WHEN n % 10 IN (2, 3, 4) THEN 'песни' WHEN n % 10 = 1 THEN 'песня' ELSE 'песен' END"
 ORACLE_SQL = {
     "clean_text": f"SELECT doc_id, {CLEAN.format('text')} AS cleaned FROM documents",
@@ -144,4 +166,7 @@ ORACLE_SQL = {
     "variant_label_lookup": "SELECT doc_id AS number, k::INT AS place, CASE WHEN k = 1 AND contains(coalesce(text, ''), chr(10)) THEN 'б' ELSE '' END AS label FROM documents, (VALUES (0), (1), (2)) t(k)",
     "pluralize_ru": f"SELECT o_orderkey, CASE WHEN n = 0 THEN '' ELSE {PLURAL} END AS shown, {PLURAL} AS linted FROM (SELECT o_orderkey, o_orderkey % 130 AS n FROM orders)",
     "title_fallback": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'name ' || doc_id::VARCHAR WHEN length(f) > 50 THEN substr(f, 1, 50) || '...' ELSE f END AS title FROM (SELECT doc_id, string_split(text, chr(10))[1] AS f FROM documents)",
+    "parse_repeats": sql((), "SELECT k AS page_id, (row_number() OVER (PARTITION BY k ORDER BY pos) - 1)::INT AS at, depth, CASE WHEN step = 1 AND NOT lone THEN 'repeat' ELSE 'text' END AS type, value, CASE WHEN step = 1 THEN times END AS count FROM marks WHERE lone OR step >= 0", **_marks_sql("pages", "page_id", "html")),
+    "render_repeats": sql((), "SELECT page_id, coalesce(h.html, '') AS html FROM pages LEFT JOIN html h ON k = page_id", **_marks_sql("pages", "page_id", "html")),
+    "render_content": sql(FILES, f"SELECT file, {RENDERED} AS html FROM files LEFT JOIN html ON k = file", **_marks_sql("files", "file", "text")),
 }

@@ -1,6 +1,7 @@
 """Cases that the driver's tables do not hold: markup, labels, edits, mutations, ranking rules."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -34,24 +35,68 @@ def test_clean_is_idempotent(spark):
     assert df.filter(text.clean_text(F.col("a")) != F.col("a")).count() == 0
 
 
+def table_of(spark, contents, f, *more):
+    """What ``f`` gives for each of the contents."""
+    rows = f(spark.createDataFrame(list(enumerate(contents)), "k long, x string"), "k", "x", *more).orderBy("k").collect()
+    return {contents[r["k"]]: r["html"] for r in rows}
+
+
 def test_repeats(spark):
     cases = {
         "plain": "plain", "/one /2р. rest": '<span class="repeat-marker">/</span><span class="repeat">one </span><span class="repeat-marker">/2р.</span> rest', "lost /3р": "lost /3р.", "open / end": "open / end",
-        "a<b & \"c\"": "a&lt;b &amp; &quot;c&quot;", "": "",
+        "a<b & \"c\"": "a&lt;b &amp; &quot;c&quot;", "": "", None: "",
     }
-    for raw, want in cases.items():
-        assert one(spark, raw, markup.render_repeats) == want
-    nested = one(spark, "//x /2р. y /3 р.", markup.render_repeats)
+    assert table_of(spark, list(cases), markup.render_repeats) == cases
+    (nested,) = table_of(spark, ["//x /2р. y /3 р."], markup.render_repeats).values()
     assert nested.count("repeat-depth-1") == 1 and nested.endswith("/3р.</span>")
-    tree = one(spark, "//x /2р. y /3р.", markup.parse_repeats)
+    tree = markup.parse_repeats(spark.createDataFrame([(1, "//x /2р. y /3р.")], "k long, x string"), "k", "x").orderBy("at").collect()
     assert [(n["depth"], n["type"], n["count"] or n["value"]) for n in tree] == [(0, "repeat", "3"), (1, "repeat", "2"), (2, "text", "x "), (1, "text", " y ")]
     assert one(spark, "/one two /2р. x", text.strip_repeats) == "one two x"
 
 
+def _stack(content):
+    """(depth, type, value, count) in document order, by a plain stack."""
+    levels = [[]]
+    for m in re.finditer(r"//|/\s*([0-9]+)\s*р\s*\.?|/|[^/]+", content):
+        if m[1] and len(levels) == 1:
+            levels[0].append(f"/{m[1]}р.")
+        elif m[1]:
+            inside = levels.pop()
+            levels[-1].append((m[1], inside))
+        elif m[0] in ("/", "//"):
+            levels += [[] for _ in m[0]]
+        else:
+            levels[-1].append(m[0])
+    top = levels[0] + [x for inside in levels[1:] for x in ["/", *inside]]
+    out, todo = [], [(0, x) for x in reversed(top)]
+    while todo:
+        depth, x = todo.pop()
+        if isinstance(x, str):
+            out.append((depth, "text", x, None))
+        else:
+            out.append((depth, "repeat", None, x[0]))
+            todo += [(depth + 1, y) for y in reversed(x[1])]
+    return out
+
+
+def test_repeat_tree_against_a_stack(spark):
+    rng = random.Random(4)
+    contents = ["".join(rng.choice(["/", "/", "//", "/2р.", "/3 р", "a", "b ", "<", "\n", "р."]) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    deep = 100_000
+    contents += ["/" * deep + "x" + "/2р." * deep, "/2р." * 5000, "/" * 5000]
+    rows = markup.parse_repeats(spark.createDataFrame(list(enumerate(contents)), "k long, x string"), "k", "x").orderBy("k", "at").collect()
+    got = {k: [] for k in range(len(contents))}
+    for r in rows:
+        assert r["at"] == len(got[r["k"]])
+        got[r["k"]].append((r["depth"], r["type"], r["value"], r["count"]))
+    for k, content in enumerate(contents):
+        assert got[k] == _stack(content), content[:60]
+
+
 def test_render_content(spark):
-    shown = one(spark, "{Am}la {_G}[softly]\nx", lambda x: markup.render_content(x))
+    (shown,) = table_of(spark, ["{Am}la {_G}[softly]\nx"], markup.render_content).values()
     assert shown == "<span class='chord chord-up'>Am</span>la <span class='chord'>G</span><span class='stage-direction'>softly</span><br/>x"
-    assert one(spark, "{Am}la", lambda x: markup.render_content(x, False)) == "la"
+    assert table_of(spark, ["{Am}la"], markup.render_content, False) == {"{Am}la": "la"}
 
 
 def test_parse_song(spark):
