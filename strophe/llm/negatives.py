@@ -13,7 +13,8 @@ these are merged by rank. Pivots are chosen from a bounded sample of ``sample``
 those before; they bear on the work alone, never on results. Every row stands in the table.
 
 Scores are exact integers: whole components are summed in double precision where no sum can reach 2^53 and
-as Python integers beyond, where a score that no long can hold is given as the nearest long.
+as Python integers beyond, where a score that no long can hold is given as the nearest long and one of more
+than 38 digits is taken for the largest of 38.
 
 Defined cases: rows with a null id, label or vector, an empty vector, null or non-finite components, or
 another length than the most common one take no part; of rows that repeat an id one takes part, the smallest
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from strophe.llm.common import materialize
 
-#: Rows checked exactly at a time.
-STEP = 64
+#: Rows checked first, for a bound on what the others must reach.
+FIRST = 128
 
 
 def whole(embedding: Column, scale: int = 256) -> Column:
@@ -95,39 +96,37 @@ class _Scores:
         self.ids, self.labels = d["vec_id"].to_numpy(np.int64), d["label"].to_numpy(np.int64)
         self.x = np.array(d["vector"].to_list(), float).reshape(-1, dim)
         self.apart = np.array(d["apart"].to_list(), float).reshape(-1, chosen)
-        self.longest, self.exact = longest, longest**2 < 2**53
+        self.longest, self.exact, self.checked = longest, longest**2 < 2**53, 0
         if not self.exact:
             self.big = np.array([[int(c) for c in row] for row in self.x.tolist()], object).reshape(self.x.shape)
 
     def ask(self, vector: np.ndarray, apart: np.ndarray) -> None:
-        length = float(vector @ vector)
-        both = length + self.longest**2
+        both = float(vector @ vector) + self.longest**2
         low = np.abs(self.apart - apart).max(1)
         high = (self.apart + apart).min(1)
         slack = 1 + 1e-6 * both  # above what rounding can do to a bracket
         self.upper, self.lower = (both - low**2) / 2 + slack, (both - high**2) / 2 - slack
         self.vector = vector if self.exact else np.array([int(c) for c in vector.tolist()], object)
-        self.known: dict[int, int] = {}
-
-    def of(self, rows: np.ndarray) -> None:
-        """Exact scores of ``rows``, worked out once."""
-        new = np.array([r for r in rows.tolist() if r not in self.known], np.int64)
-        if len(new):
-            scores = (self.x if self.exact else self.big)[new] @ self.vector
-            self.known.update(zip(new.tolist(), map(int, scores.tolist()), strict=True))
-
-    def best(self, rows: np.ndarray, k: int, fits=lambda s: True) -> list[tuple[int, int]]:
-        """The first ``k`` (score, id) of ``rows`` by score, then id, among those whose score fits."""
-        rows = rows[np.argsort(-self.upper[rows], kind="stable")]
-        top: list[tuple[int, int]] = []
-        for a in range(0, len(rows), STEP):
-            if len(top) == k and -top[-1][0] > self.upper[rows[a]]:
-                break
-            part = rows[a : a + STEP]
-            self.of(part)
-            top += [(-self.known[r], int(self.ids[r])) for r in part.tolist() if fits(self.known[r])]
-            top = sorted(top)[:k]
-        return [(-s, i) for s, i in top]
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """Exact scores of ``rows``."""
+        self.checked += len(rows)
+        return (self.x if self.exact else self.big)[rows] @ self.vector
+
+    def best(self, rows: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The first ``k`` (score, id) of ``rows`` by score, then id."""
+        if len(rows) > 2 * FIRST >= 2 * k:
+            head = rows[np.argpartition(-self.upper[rows], FIRST)[:FIRST]]
+            reach = np.sort(self.of(head))[-k]
+            rows = rows[self.upper[rows] >= float(reach) - 1]
+        return self.top(rows, self.of(rows), k)
+
+    def top(self, rows: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
+        if len(rows) > k:
+            able = scores >= (np.partition(scores, len(rows) - k) if self.exact else np.sort(scores))[len(rows) - k]
+            rows, scores = rows[able], scores[able]
+        order = sorted(zip((-scores).tolist(), self.ids[rows].tolist(), strict=True))[:k]
+        return [(-int(s), i) for s, i in order]
 
 
 def _long(score: int) -> int:
@@ -186,12 +185,13 @@ def mine(
         out, s = [], _Scores(d, dim, longest, len(chosen))
         for vec_id, label, v, apart, these in zip(a["vec_id"].tolist(), a["label"].tolist(), a["vector"], a["apart"], a["wanted"], strict=True):
             s.ask(np.asarray(v, float), np.asarray(apart))
-            other = (s.labels != label) & (s.ids != vec_id)
-            for w in these:
-                p = int(w["score"])
-                able = np.flatnonzero(other & (s.upper * 100 >= low * p) & (s.lower * 100 <= high * p))
-                got = s.best(able, k, lambda x, p=p: low * p <= 100 * x <= high * p)
-                out += [(vec_id, w["positive_id"], i, _long(p), _text(x)) for x, i in got]
+            scored = [int(w["score"]) for w in these]
+            # what no bracket rules out for any of the positives is checked once
+            able = np.flatnonzero((s.labels != label) & (s.ids != vec_id) & (s.upper * 100 >= low * min(scored)) & (s.lower * 100 <= high * max(scored)))
+            scores = s.of(able)
+            for w, p in zip(these, scored, strict=True):
+                fits = (100 * scores >= low * p) & (100 * scores <= high * p)
+                out += [(vec_id, w["positive_id"], i, _long(p), _text(x)) for x, i in s.top(able[fits], scores[fits], k)]
         return pd.DataFrame(out, columns=["anchor_id", "positive_id", "negative_id", "positive_score", "score"])
 
     hard = left.cogroup(spread(wanted)).applyInPandas(negative, "anchor_id long, positive_id long, negative_id long, positive_score long, score string").withColumn("score", F.col("score").cast("decimal(38,0)"))
