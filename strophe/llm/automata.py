@@ -85,7 +85,7 @@ class Automaton:
     def near(self, codes: np.ndarray, lengths: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query row, word number) of the words one edit away from a query whose first ``exact`` symbols
         stand unchanged: the symbols are followed as they are, the rest with one error. No pair comes twice."""
-        query = np.arange(len(codes))
+        query, padded = np.arange(len(codes)), np.c_[codes, np.zeros(len(codes), codes.dtype)]
         state, number = np.full(len(codes), self.start), np.zeros(len(codes), np.int64)
         for i in range(int(exact.max(initial=0))):
             on = exact[query] > i
@@ -95,28 +95,33 @@ class Automaton:
             query, state, number = query[alive], state[alive], number[alive]
         place = exact[query]
         found_q, found_n = [], []
-        padded = np.c_[codes, np.zeros(len(codes), codes.dtype)]
-        while len(query):
+        # words with an error behind them, in step with those without: equal ways are one
+        q = s = n = p = np.zeros(0, np.int64)
+        while len(query) or len(q):
+            done = p == lengths[q]
+            hit = done & self.final[s]
+            found_q.append(q[hit])
+            found_n.append(n[hit])
+            q, s, n, p = q[~done], s[~done], n[~done], p[~done]
+            s, passed = self.step(s, codes[q, p])
+            alive = s > 0
+            q, s, n, p = q[alive], s[alive], (n + passed)[alive], p[alive] + 1
             # one error here: a symbol more, another one, or one less
             out = self.first[state + 1] - self.first[state]
             row = np.repeat(np.arange(len(query)), out)
             edge = self.first[state][row] + np.arange(len(row)) - np.repeat(np.cumsum(out) - out, out)
             left = place < lengths[query]
             other = left[row] & (self.label[edge] != padded[query[row], place[row]])
-            q = np.concatenate([query[row], query[row][other], query[left]])
-            s = np.concatenate([self.target[edge], self.target[edge][other], state[left]])
-            n = number[row] + self.passed[edge]
-            n = np.concatenate([n, n[other], number[left]])
-            p = np.concatenate([place[row], place[row][other] + 1, place[left] + 1])
-            while len(q):
-                done = p == lengths[q]
-                hit = done & self.final[s]
-                found_q.append(q[hit])
-                found_n.append(n[hit])
-                q, s, n, p = q[~done], s[~done], n[~done], p[~done]
-                s, passed = self.step(s, codes[q, p])
-                alive = s > 0
-                q, s, n, p = q[alive], s[alive], (n + passed)[alive], p[alive] + 1
+            more = number[row] + self.passed[edge]
+            q = np.concatenate([q, query[row], query[row][other], query[left]])
+            s = np.concatenate([s, self.target[edge], self.target[edge][other], state[left]])
+            n = np.concatenate([n, more, more[other], number[left]])
+            p = np.concatenate([p, place[row], place[row][other] + 1, place[left] + 1])
+            order = np.lexsort((p, s, n, q))
+            q, s, n, p = q[order], s[order], n[order], p[order]
+            new = np.ones(len(q), bool)
+            new[1:] = (q[1:] != q[:-1]) | (n[1:] != n[:-1]) | (s[1:] != s[:-1]) | (p[1:] != p[:-1])
+            q, s, n, p = q[new], s[new], n[new], p[new]
             # no error here
             query, state, number, place = query[left], state[left], number[left], place[left]
             state, passed = self.step(state, codes[query, place])

@@ -30,6 +30,8 @@ from strophe.llm.automata import Automaton
 from strophe.llm.common import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Halves, with the digits of their length before them, that have groups of their own.
+LONG = 20
 #: Queries that go through an automaton at once.
 BLOCK = 4096
 
@@ -75,8 +77,8 @@ def _dealt(entries: DataFrame, groups: int, group: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("word"), F.col("_parts")).cast("int")
     to = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array(mine))
     each = many.withColumn("_mine", mine).withColumn("_to", F.explode(to))
-    # a half of its own groups lies beyond the shared ones
-    part = F.when(F.col("_parts") > 1, F.xxhash64("half", "_to").bitwiseOR(F.lit(1 << 62))).otherwise(F.pmod(F.xxhash64("half"), F.lit(groups)))
+    # a half of its own groups lies beyond the shared ones; long halves too, so that a group's words are of like length
+    part = F.when((F.col("_parts") > 1) | (F.length("half") > LONG), F.xxhash64("half", "_to").bitwiseOR(F.lit(1 << 62))).otherwise(F.pmod(F.xxhash64("half"), F.lit(groups)))
     return each.select("back", part.alias("part"), "word", "n", "asks", (F.col("_to") == F.col("_mine")).alias("listed"))
 
 
