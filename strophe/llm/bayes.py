@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 
 from strophe.llm.common import materialize
 from strophe.llm.graph import components
-from strophe.llm.near import PART, _mixed, shingles
+from strophe.llm.near import _mixed, shingles
 
 BATCH = 32
 CHUNK = 512
+#: Shingles that are hashed at once, so that they stay in the processor's cache.
+PART = 512
 #: Shingles of a chunk, so that very long texts come in smaller chunks.
 WEIGHT = 1 << 21
 
@@ -88,28 +90,33 @@ def described(docs: DataFrame, words: int, bands: int, rows: int, checks: int) -
 
         rng = np.random.default_rng(7)
         total = bands * rows + checks
-        flips, factors = (rng.integers(0, 2**64, total, np.uint64) for _ in range(2))
-        factors |= np.uint64(1)
+        flips, factors = (rng.integers(0, 2**32, (total, 1), np.uint32) for _ in range(2))
+        factors |= np.uint32(1)
         for b in batches:
-            out = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            names, sizes, keys, signatures = [], [], [], []
+            for text in b["text"]:
                 if not isinstance(text, str) or not text.strip(" \t\n\v\f\r"):
-                    out.append((doc, None, 0, None, None))
+                    for column, none in ((names, None), (sizes, 0), (keys, None), (signatures, None)):
+                        column.append(none)
                     continue
                 own = shingles(text, words)
-                least = np.full(total, 2**64 - 1, np.uint64)
+                half, least = (own >> np.uint64(32)).astype(np.uint32), np.full(total, 2**32 - 1, np.uint32)
                 for a in range(0, len(own), PART):
-                    least = np.minimum(least, ((own[a : a + PART][None] ^ flips[:, None]) * factors[:, None]).min(1))
+                    least = np.minimum(least, ((half[a : a + PART] ^ flips) * factors).min(1))
                 key = np.arange(1, bands + 1, dtype=np.uint64)
                 for column in least[: bands * rows].reshape(bands, -1).T:
                     key = _mixed(key + column)
-                signature = (least[bands * rows :] >> np.uint64(7)).astype("<u2").tobytes()
-                name = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 7)).view(np.int64))
-                out.append((doc, name, len(own), key.view(np.int64), signature))
-            made = pd.DataFrame(out, columns=["doc_id", "own", "n", "keys", "signature"])
-            yield made.astype({"doc_id": "Int64", "own": "Int64", "n": "int64"})
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(each, "doc_id long, own long, n long, keys array<long>, signature binary")
+                signature = least[bands * rows :].astype("<u2").tobytes()
+                names.append(int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 7)).view(np.int64)))
+                sizes.append(len(own))
+                keys.append(key.view(np.int64))
+                signatures.append(signature)
+            # nullable integers: a float would lose digits beside a null
+            yield pd.DataFrame({"id": b["id"], "known": b["known"], "own": pd.array(names, "Int64"), "n": np.array(sizes, np.int64), "keys": keys, "signature": signatures})
+
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").cast("long").isNotNull().alias("known"), F.col("text").cast("string"))
+    made = texts.mapInPandas(each, "id long, known boolean, own long, n long, keys array<long>, signature binary")
+    return made.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "own", "n", "keys", "signature")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
