@@ -42,7 +42,7 @@ class Indexes:
     dictionary: DataFrame  # gram, df
     postings: DataFrame  # ref, n, variantIndex, term, tf_title, tf_content, len_title, len_content
     vocabulary: DataFrame  # term, df
-    neighbourhoods: DataFrame  # key, term, df
+    neighbourhoods: DataFrame  # key, term
     statistics: DataFrame  # docs, avg_title, avg_content
 
 
@@ -102,14 +102,14 @@ def matched(terms: DataFrame, ix: Indexes, fuzzy: int = FUZZY, transposed: bool
 
     All words but the last as they are, which are required, and the words near the last one.
     """
-    need = terms.filter("not last").select("query_id", "term").distinct()
+    need = terms.filter("not last").select("query_id", "term", F.lit(True).alias("required"))
     lasts = terms.filter("last").select("query_id", F.col("term").alias("word"))
     keys = materialize(edits.keys_of(lasts.select("word").distinct(), fuzzy, transposed), "remainders")
     some = [r[0] for r in keys.select("key").distinct().limit(LISTED + 1).collect()]
     index = ix.neighbourhoods.filter(F.col("key").isin(some)) if len(some) <= LISTED else ix.neighbourhoods
-    near = lasts.join(edits.near_terms(index, keys, fuzzy, transposed), "word").select("query_id", "term", "df", F.lit(False).alias("required"))
-    exact = ix.vocabulary.join(need, "term").select("query_id", "term", "df", F.lit(True).alias("required"))
-    return exact.unionByName(near).groupBy("query_id", "term").agg(F.max("df").alias("df"), F.max("required").alias("required"))
+    near = lasts.join(edits.near_terms(index, keys, fuzzy, transposed), "word").select("query_id", "term", F.lit(False).alias("required"))
+    wanted = need.unionByName(near).groupBy("query_id", "term").agg(F.max("required").alias("required"))
+    return met(ix.vocabulary, materialize(wanted, "wanted-terms"), "term")
 
 
 def weight(total, df: Column) -> Column:
@@ -149,9 +149,17 @@ def lexical(asked: DataFrame, ix: Indexes, **kw) -> DataFrame:
     return lexical_hits(asked, ix, **kw).withColumns({"title": F.lit(""), "matchType": F.lit("lexical")})
 
 
-def unified(asked: DataFrame, ix: Indexes, **kw) -> DataFrame:
-    """Exact hits, then lexical hits of songs that have no exact one for the query; ``tier`` tells them apart."""
+def unified(asked: DataFrame, ix: Indexes, limit: int = 0, **kw) -> DataFrame:
+    """Exact hits, then lexical hits of songs that have no exact one for the query; ``tier`` tells them apart.
+
+    With a ``limit`` queries with as many exact hits need no lexical ones, and their postings are not read.
+    """
     first = materialize(exact(asked, ix), "exact-hits")
+    if limit > 0:
+        full = first.groupBy("query_id").agg(F.count("*").alias("hits")).filter(F.col("hits") >= limit)
+        asked = materialize(asked.join(full, "query_id", "left_anti"), "unfilled")
+        if not asked.limit(1).count():
+            return first.withColumn("tier", F.lit(0))
     second = lexical(asked, ix, **kw).join(first.select("query_id", "n"), ["query_id", "n"], "left_anti")
     return first.withColumn("tier", F.lit(0)).unionByName(second.withColumn("tier", F.lit(1)))
 

@@ -31,8 +31,8 @@ def remainders(term: Column, edits: int) -> Column:
 
 
 def neighbourhoods(vocabulary: DataFrame, edits: int = 2) -> DataFrame:
-    """(key, term, df) of (term, df)."""
-    return vocabulary.select(F.explode(remainders(F.col("term"), edits)).alias("key"), "term", "df")
+    """(key, term) of the (term) rows."""
+    return vocabulary.select(F.explode(remainders(F.col("term"), edits)).alias("key"), "term")
 
 
 def within(term: Column, word: Column, edits: int, transposed: bool = False) -> Column:
@@ -58,6 +58,6 @@ def keys_of(words: DataFrame, edits: int, transposed: bool = False) -> DataFrame
 
 
 def near_terms(index: DataFrame, keys: DataFrame, edits: int, transposed: bool = False) -> DataFrame:
-    """(word, term, df): the terms of the index at most ``edits`` from each word of ``keys``."""
-    met = index.join(keys, "key").select("word", "term", "df")
+    """(word, term): the terms of the index at most ``edits`` from each word of ``keys``."""
+    met = index.join(keys, "key").select("word", "term")
     return met.filter(within(F.col("term"), F.col("word"), edits, transposed)).distinct()

@@ -191,6 +191,11 @@ def search_number(songs: DataFrame, query: str) -> DataFrame:
     return songs.filter((F.col("number") == wanted) & F.lit(wanted != 0))
 
 
+def asked_once(spark: SparkSession, query: str | None) -> DataFrame:
+    """One query as a table of queries."""
+    return ask.prepared(spark.createDataFrame([(0, query)], "query_id int, query string"))
+
+
 class SearchSession:
     """The indexes, each written once under ``path`` when it is first asked for, and read by every query."""
 
@@ -242,23 +247,21 @@ class SearchSession:
     def indexes(self) -> ask.Indexes:
         return ask.Indexes(self.exact, self.grams, self.dictionary, self.index, self.vocabulary, self.neighbourhoods, self.stats)
 
-    def _one(self, query: str | None) -> DataFrame:
-        return ask.prepared(self.songs.sparkSession.createDataFrame([(0, query)], "query_id int, query string"))
 
     def search_exact(self, query: str | None, limit: int = 0) -> DataFrame:
-        return top(ask.exact(self._one(query), self.exact_indexes).drop("query_id"), limit, *order_exact())
+        return top(ask.exact(asked_once(self.songs.sparkSession, query), self.exact_indexes).drop("query_id"), limit, *order_exact())
 
     def search_lexical(self, query: str | None, limit: int = 0, **kw) -> DataFrame:
-        return top(ask.lexical(self._one(query), self.indexes, stem=self.stem, **kw).drop("query_id"), limit, *order_lexical())
+        return top(ask.lexical(asked_once(self.songs.sparkSession, query), self.indexes, stem=self.stem, **kw).drop("query_id"), limit, *order_lexical())
 
     def search(self, query: str | None, limit: int = 0, **kw) -> DataFrame:
-        hits = ask.unified(self._one(query), self.indexes, stem=self.stem, **kw).drop("query_id")
+        hits = ask.unified(asked_once(self.songs.sparkSession, query), self.indexes, limit, stem=self.stem, **kw).drop("query_id")
         return top(hits, limit, *ask.order(hits))
 
     def search_all(self, queries: DataFrame, limit: int = 0, **kw) -> DataFrame:
         """The hits of every row of ``queries``, (query_id, query), as ``search`` finds them; with a ``limit``
         the first ones of each query and their rank."""
-        hits = ask.unified(materialize(ask.prepared(queries), "queries"), self.indexes, stem=self.stem, **kw)
+        hits = ask.unified(materialize(ask.prepared(queries), "queries"), self.indexes, limit, stem=self.stem, **kw)
         return ask.first(hits, limit) if limit > 0 else hits
 
     def search_all_exact(self, queries: DataFrame, limit: int = 0) -> DataFrame:

@@ -66,11 +66,16 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as songs."""
+    return songs_of(table(spark, sf_dir, "documents"))
+
+
+def songs_of(docs: DataFrame) -> DataFrame:
     """(number, title, variants): a document's first line is the title, its lines go to two variants."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     part = lambda x: F.struct(x.alias("content"))
     variant = lambda r: F.struct(F.lit("" if r == 0 else "б").alias("label"), F.transform(F.filter("l", lambda x, i: i % 2 == r), part).alias("body"))
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("number"), lines.alias("l"))
+    rows = docs.select(F.col("doc_id").alias("number"), lines.alias("l"))
     return rows.select("number", F.get("l", F.lit(0)).alias("title"), F.array(variant(0), variant(1)).alias("variants"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.operators import ask, edits, ranking, search, store
+from strophe.operators import ask, edits, ranking, search, segments, store
 from strophe.plans import bindings as b
 from strophe.plans.bindings import DOCS, sql
 from strophe.sources.readers import fingerprint
@@ -18,7 +18,7 @@ ONE = "thean"
 UI_LIMIT = 7
 
 
-_sessions: dict[tuple, tuple[tuple, search.SearchSession]] = {}
+_sessions: dict[tuple, tuple[tuple, search.SearchSession | segments.LiveIndex]] = {}
 
 
 def session(spark: SparkSession, sf_dir: str, stem=None) -> search.SearchSession:
@@ -99,7 +99,34 @@ def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, term, df): the terms of the documents at most two edits from the last word of a part's name."""
     own = session(spark, sf_dir)
     words = ask.query_terms(ask.prepared(part_queries(spark, sf_dir))).filter("last").select(F.col("term").alias("word")).distinct()
-    return edits.near_terms(own.neighbourhoods, edits.keys_of(words, own.edits), own.edits)
+    return edits.near_terms(own.neighbourhoods, edits.keys_of(words, own.edits), own.edits).join(own.vocabulary, "term")
+
+
+#: Documents as they were before the update: some were not there, some had other letters or an end more.
+BEFORE = "CASE WHEN doc_id % 7 = 2 THEN lower(text) WHEN doc_id % 11 = 4 THEN concat(coalesce(text, ''), chr(10), 'old ending thean') ELSE text END"
+
+
+def live_index(spark: SparkSession, sf_dir: str) -> segments.LiveIndex:
+    """An index of the documents as they were, brought up to date: the difference is one more segment."""
+    docs = b.table(spark, sf_dir, "documents")
+    key, files = (spark.sparkContext.applicationId, sf_dir, "live"), fingerprint(docs)
+    if key not in _sessions or _sessions[key][0] != files:
+        old = docs.filter("doc_id % 13 != 5").withColumn("text", F.expr(BEFORE))
+        gone = docs.select((-1 - F.col("doc_id")).alias("doc_id"), F.lit("gone thean").alias("text")).filter("doc_id % 17 = -3")
+        made = segments.LiveIndex.create(b.songs_of(old.select("doc_id", "text").unionByName(gone)), fresh_folder(spark, "live"))
+        made.sync(b.document_songs(spark, sf_dir))
+        _sessions[key] = files, made
+    return _sessions[key][1]
+
+
+def update_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of an index that was updated: those of one that is built anew."""
+    return _shown(live_index(spark, sf_dir).search(ONE))
+
+
+def update_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary and its counts after the update."""
+    return live_index(spark, sf_dir).indexes.vocabulary
 
 
 def prepare_song(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +165,8 @@ QUERIES = {
     "search_all": search_all,
     "search_all_exact": search_all_exact,
     "search_all_top": lambda s, d: search_all(s, d, UI_LIMIT).select("query_id", "rank", "tier", "score"),
+    "update_index": update_index,
+    "update_index_terms": update_index_terms,
 }
 #: Letters beyond ASCII become single unused ASCII characters, since this engine's distance counts bytes.
 LETTERS = "translate({0}, 'àáâäçèéêëíîïñóôöùúûüß¿¡«»“”…–—’', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456')"
@@ -227,6 +256,8 @@ ORACLE_SQL["lexical_not_in_exact"] = ORACLE_SQL["except_exact"]
 ALL = {k: v for k, v in (INDEX | _all_sql()).items() if k not in ("asked_flat", "es", "ex", "uni")} | {k: _all_sql()[k] for k in ("asked_flat", "es", "ex", "uni")}
 SHOWN = "SELECT n, variantIndex, score, title, matchType, tier, '{0}' AS query FROM ({1})"
 ORACLE_SQL |= {
+    "update_index": ORACLE_SQL["search_unified"],
+    "update_index_terms": sql(DOCS, "SELECT term, count(*) AS df FROM post GROUP BY term", **INDEX),
     "build_substring_index": sql(FLAT, "SELECT gram, count(*) AS df FROM (SELECT DISTINCT n, variantIndex, unnest(list_transform(range(1, length(textFlat) + 1), lambda i: substr(textFlat || '  ', i, 3))) AS gram FROM flat) GROUP BY 1"),
     "fuzzy_terms": sql(DOCS, "SELECT word, term, df FROM fuzzy", **INDEX, **{k: ALL[k] for k in ("asked", "vocab", "lasts", "fuzzy")}),
     "search_all": sql(FLAT, "SELECT * FROM uni", **ALL),
