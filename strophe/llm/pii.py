@@ -22,8 +22,7 @@ proposals the one with the largest excess over its threshold is taken first, and
 fixed form; fixed forms that pass their check always stay.
 
 Column expressions only on the executors; what comes to the driver is at most ``train_rows`` distinct
-feature vectors, the most frequent, for the fit alone, ``ENDINGS`` endings, and the counts by margin in
-steps of 1 / ``STEPS``.
+feature vectors, the most frequent, for the fit alone, and the counts by margin in steps of 1 / ``STEPS``.
 
 Defined cases: a null text is empty and has no span; texts of any length are scanned whole; rows with a
 null doc_id and repeated rows are scanned like any other; extra columns are ignored (``redact`` keeps
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 
 from strophe.llm.boosting import Forest, fit
 from strophe.llm.common import materialize
-from strophe.llm.spans import SPAN, count, find, listed, overlaps, sha256
+from strophe.llm.spans import SPAN, count, covers, find, let, listed, meets, overlaps, sha256
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("phone_local", "email_disguised", "account")
@@ -62,7 +61,6 @@ HINTS = {
 }
 CALLED, NUMBERED = r"(?i)(?:tel|phone|call|mobile|fax)\W*\z", r"(?i)(?:\bv|version|release|order|\bid|\bno|\bnr|isbn|#)\W*\z"
 DATE = r"^(?:(?:19|20)[0-9]{2}[\x20.-](?:0[1-9]|1[0-2])[\x20.-](?:[0-2][0-9]|3[01])|(?:[0-2][0-9]|3[01])[\x20.-](?:[0-2][0-9]|3[01])[\x20.-](?:(?:19|20)[0-9]{2}|[0-9]{2}))$"
-ENDINGS = 1000
 
 #: Steps of a margin of 1, for thresholds. Powers of two, so that a step is an exact margin.
 STEPS = 256
@@ -100,8 +98,11 @@ def _checked_account(match: Column) -> Column:
 
 
 def evidence(s: Column, base: Column) -> Column:
-    """1 or 0 where something but the features tells what a candidate is, else null; endings come later."""
-    part_of = lambda *kinds: F.exists(base, lambda o: o["kind"].isin(*kinds) & (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    """1 or 0 where something but the features tells what a candidate is, else null; endings come later.
+
+    ``base``: the valid fixed forms as ``covers`` gives them.
+    """
+    part_of = lambda *kinds: meets(base, s, lambda o: o["kind"].isin(*kinds))
     local = F.when(part_of("phone"), 1).when(part_of("ip", "card"), 0).when(s["match"].rlike(DATE), 0).when(s["before"].rlike(CALLED), 1).when(s["before"].rlike(NUMBERED), 0)
     return F.when(s["kind"] == "phone_local", local).when(s["kind"] == "account", _checked_account(s["match"]).cast("int")).when(s["kind"].isin("ip", "card", "phone"), passes(s).cast("int"))
 
@@ -152,12 +153,16 @@ def _labelled(found: DataFrame) -> DataFrame:
     ``n_held`` counts those in the half of the texts that the fit does not see.
     """
     one = found.filter(F.size("spans") > 0).dropDuplicates(["tkey"]).select("tkey", F.explode("spans").alias("s"))
-    common = one.filter("s.kind = 'email'").groupBy("s.ending").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ending").limit(ENDINGS)
-    endings = [r["ending"] for r in common.collect()]
-    y = F.when(F.col("s.kind") == "email_disguised", F.col("s.ending").isin(*endings).cast("int") if endings else F.lit(None).cast("int")).otherwise(F.col("s.y"))
     held = F.pmod(F.xxhash64("tkey"), F.lit(2)) == 1
-    seen = one.select("s.kind", "s.features", y.alias("y"), held.alias("held")).filter("y IS NOT NULL")
-    return seen.groupBy("kind", "features", "y").agg(F.count("*").alias("n"), F.count(F.when(F.col("held"), 1)).alias("n_held"))
+    some = one.select("s.kind", "s.features", "s.y", "s.ending", held.alias("held"))
+    plain = some.filter("kind != 'email_disguised'").select("kind", "features", "y", "held")
+    # disguised addresses by ending; valid addresses first tell each ending once, so the join adds no rows
+    known = materialize(some.filter("kind = 'email'").select(F.col("ending").alias("_ending"), F.lit(1).alias("_known")).distinct(), "endings")
+    guessed = some.filter("kind = 'email_disguised'").groupBy("kind", "features", "ending", "held").agg(F.count("*").alias("n"))
+    told = guessed.join(known, guessed["ending"] == known["_ending"], "left").filter(F.lit(known.limit(1).count() > 0))
+    told = told.select("kind", "features", F.coalesce("_known", F.lit(0)).alias("y"), "held", "n")
+    counted = plain.filter("y IS NOT NULL").groupBy("kind", "features", "y", "held").agg(F.count("*").alias("n")).unionByName(told)
+    return counted.groupBy("kind", "features", "y").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)).alias("n_held"))
 
 
 def train(found: DataFrame, train_rows: int = 20_000, precision: float = 0.95, least_seen: int = 5, trees: int = 12, depth: int = 3) -> tuple[Forest, dict[str, float]]:
@@ -196,13 +201,12 @@ def _bare(s: Column) -> Column:
 def judged(text: Column) -> Column:
     """The candidates of a text: the verdict of the form's own check, features, evidence and ending."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  worked out once
     ending = lambda s: F.when(s["kind"].startswith("email"), F.lower(F.regexp_extract(s["match"], r"([A-Za-z0-9-]+)\z", 1)))
 
     def one(s: Column, base: Column) -> Column:
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), passes(s).alias("valid"), described(s).alias("features"), evidence(s, base).alias("y"), ending(s).alias("ending"))
 
-    return let(candidates(text), lambda every: let(F.filter(every, passes), lambda base: F.transform(every, lambda s: one(s, base))))
+    return let(candidates(text), lambda every: let(covers(F.filter(every, passes)), lambda base: F.transform(every, lambda s: one(s, base))))
 
 
 def chosen(spans: Column, forest: Forest, least: dict[str, float]) -> tuple[Column, Column]:
@@ -213,10 +217,18 @@ def chosen(spans: Column, forest: Forest, least: dict[str, float]) -> tuple[Colu
         return base, none
     bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
     over = lambda s: F.when(s["kind"].isin(*least), margin(s["features"], forest) - bound[s["kind"]])
-    good = F.filter(spans, lambda s: F.when(s["kind"].isin(*least), (over(s) >= 0) & ~overlaps(base, s)).otherwise(False))
-    ranked = F.array_sort(F.transform(good, lambda s: F.struct((-over(s)).alias("excess"), *[s[c].alias(c) for c in ("start", "end", "kind")])))
-    take = lambda kept, s: F.when(overlaps(kept, s), kept).otherwise(F.concat(kept, F.array(_bare(s))))
-    return base, F.aggregate(ranked, none, take)
+    good = let(covers(base), lambda held: F.filter(spans, lambda s: F.when(s["kind"].isin(*least), (over(s) >= 0) & ~meets(held, s)).otherwise(False)))
+
+    def taken(good: Column) -> Column:
+        """Proposals that meet no other one, and of the others those with the largest excess first."""
+        same = lambda s, o: (s["start"] == o["start"]) & (s["end"] == o["end"]) & (s["kind"] == o["kind"])
+        torn = let(covers(good), lambda held: F.filter(good, lambda s: meets(held, s, lambda o: ~same(s, o))))
+        alone = let(covers(good), lambda held: F.filter(good, lambda s: ~meets(held, s, lambda o: ~same(s, o))))
+        ranked = F.array_sort(F.transform(torn, lambda s: F.struct((-over(s)).alias("excess"), *[s[c].alias(c) for c in ("start", "end", "kind")])))
+        take = lambda kept, s: F.when(overlaps(kept, s), kept).otherwise(F.concat(kept, F.array(_bare(s))))
+        return F.concat(F.transform(alone, _bare), F.aggregate(ranked, none, take))
+
+    return base, F.when(F.size(spans) > 0, let(good, lambda g: F.when(F.size(g) > 0, taken(g)).otherwise(none))).otherwise(none)
 
 
 def scan(docs: DataFrame, train_rows: int = 20_000, precision: float = 0.95) -> DataFrame:

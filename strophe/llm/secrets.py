@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strophe.llm.common import materialize
-from strophe.llm.spans import count, find, listed, overlaps, sha256
+from strophe.llm.spans import count, covers, find, let, listed, meets, sha256
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
@@ -133,7 +133,7 @@ def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     random = lambda s: F.coalesce(s["p"] >= F.try_element_at(bound, s["class"]), F.lit(False)) if least else F.lit(False)
     tested = F.transform("runs", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["p"].alias("p"), random(s).alias("random")))
     tried = found.select("doc_id", "base", tested.alias("runs"))
-    return tried.select("doc_id", "base", F.filter("runs", lambda s: s["random"] & ~overlaps(F.col("base"), s)).alias("added"), "runs")
+    return tried.select("doc_id", "base", let(covers(F.col("base")), lambda held: F.filter("runs", lambda s: s["random"] & ~meets(held, s))).alias("added"), "runs")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -149,3 +149,25 @@ def test_native(spark):
     for out in (pii.digest(pii.scan(df)), secrets.digest(secrets.scan(df)), pii.redact(df)):
         plan = out._jdf.queryExecution().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_many_matches_in_one_text(spark):
+    """Places over many chunks of matches; what overlaps what, by chunks and by all pairs."""
+    import random
+    import re as plain
+
+    from pyspark.sql import functions as F
+
+    from strophe.llm import pii, spans
+
+    rng = random.Random(1)
+    text = "".join(rng.choice(["a@b.cd ", "x", "я ", "q.r@s.t-u.v", "\n", "𝛼"]) for _ in range(60_000))
+    got = spark.createDataFrame([(text,)], "x string").select(spans.find(F.col("x"), pii.PATTERNS["email"], "email", context=3).alias("s")).first()["s"]
+    want = [(m.start(), m.end(), m[0]) for m in plain.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert len(want) > 5000 and [(s["start"], s["end"], s["match"]) for s in got] == want
+    held = [(a, a + rng.randint(1, 40)) for a in sorted(rng.sample(range(100_000), 1500))]
+    asked = [(a, a + rng.randint(1, 9)) for a in rng.sample(range(100_000), 300)]
+    kind = "array<struct<start:int,end:int,kind:string>>"
+    df = spark.createDataFrame([([(a, z, "k") for a, z in held], [(a, z, "k") for a, z in asked])], f"held {kind}, asked {kind}")
+    met = df.select(F.filter("asked", lambda s: spans.meets(spans.covers(F.col("held")), s)).alias("m")).first()["m"]
+    assert {(s["start"], s["end"]) for s in met} == {(a, z) for a, z in asked if any(x < z and a < y for x, y in held)}
