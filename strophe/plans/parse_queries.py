@@ -9,7 +9,7 @@ from strophe.functions.text import title_fallback
 from strophe.operators import parse, store
 from strophe.plans import bindings as b
 from strophe.plans.bindings import FILES, VERSIONS, sql
-from strophe.sources import readers, writers
+from strophe.sources import readers, song_folder, writers
 from strophe.sources.workspace import fresh_folder
 
 SELECTED = ["0003-0020", "7", "42", "0050.txt", "9000-0001"]
@@ -69,6 +69,13 @@ def sink_song_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("n", "text")
 
 
+def sink_song_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file for each song, replaced as a whole, and read back."""
+    path = fresh_folder(spark, "song-folder")
+    song_folder.write(song_folder.song_rows(_songs(spark, sf_dir)), path)
+    return song_folder.read(spark, path)
+
+
 def scan_json_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundles of fifty songs each, a line a bundle."""
     path = fresh_folder(spark, "bundles")
@@ -160,6 +167,7 @@ QUERIES = {
     "file_selector": file_selector,
     "sink_json_bundle": sink_json_bundle,
     "sink_song_txt": sink_song_txt,
+    "sink_song_folder": sink_song_folder,
     "load_replace": load_replace,
     "parse_header": lambda s, d: parse.parse_header(b.song_files(s, d)),
     "reject_headers": lambda s, d: parse.rejected(b.song_files(s, d)),
@@ -258,3 +266,6 @@ ORACLE_SQL = {
     "names_left_join": sql((), "SELECT book, n, CASE WHEN n_name IS NOT NULL THEN n_name WHEN length(first_line) > 50 THEN substr(first_line, 1, 50) || '...' ELSE first_line END AS title FROM songs_in LEFT JOIN nation ON n_nationkey = n", **BOOKS),
 }
 ORACLE_SQL["sink_song_txt"] = ORACLE_SQL["song_to_text"]
+#: Of songs with the same number the last one stands.
+LAST = ORACLE_SQL["song_to_text"].replace(IDS, IDS + " QUALIFY row_number() OVER (PARTITION BY CAST(n AS BIGINT) ORDER BY file DESC) = 1")
+ORACLE_SQL["sink_song_folder"] = f"SELECT lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0') || '.txt' AS file, text FROM ({LAST})"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strophe.operators import changes, ranking, store
 from strophe.plans import bindings as b
 from strophe.plans.bindings import sql
+from strophe.streaming import checks
 
 ORDER, PART = 7, 11
 NOW = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -147,6 +148,19 @@ def ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.with_ordinal(rows, "place", F.desc("o_totalprice"), F.col("o_orderkey"), first=1).select("o_orderkey", "place")
 
 
+#: An event as what a source answered: the time, whether it was reached, what it held, its tag and status.
+ANSWER = {
+    "source": "CAST(user_id AS STRING)", "at_ms": "{ms}", "online": "event_id % 9 <> 4", "songs": "CAST(event_id % 6 AS INT)", "tag": "concat('v', CAST(CAST(floor(event_id / 400) AS INT) AS STRING))",
+    "status": "CASE WHEN event_id % 13 = 0 THEN 500 ELSE 200 END", "failed": "event_id % 17 = 0",
+}
+
+
+def watch_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's events as answers of a source that is asked at most once in half an hour."""
+    events = b.table(spark, sf_dir, "events")
+    return checks.watched(events.select(*[F.expr(x.format(ms="unix_millis(CAST(ts AS TIMESTAMP))")).alias(k) for k, x in ANSWER.items()]))
+
+
 QUERIES = {
     "scan_songs": scan_songs,
     "scan_keys": lambda s, d: store.scan_keys(b.part_songs(s, d)),
@@ -182,6 +196,7 @@ QUERIES = {
     "should_check": should_check,
     "etag_changed": etag_changed,
     "perform_check": perform_check,
+    "watch_checks": watch_checks,
     "apply_update": apply_update,
     "limit_topk": limit_topk,
     "ordinal": ordinal,
@@ -239,3 +254,10 @@ ORACLE_SQL = {
     "limit_topk": "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 7",
     "ordinal": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders",
 }
+#: The same by recursion: a source's rows one after another, with its last check and its tag.
+ORACLE_SQL["watch_checks"] = f"""WITH RECURSIVE a AS (SELECT {', '.join(f"{x.format(ms='epoch_us(ts) // 1000')} AS {k}" for k, x in ANSWER.items())} FROM events),
+r AS (SELECT source, at_ms, online AND songs > 0 AS able, tag, status = 200 AND NOT failed AS ok, row_number() OVER (PARTITION BY source ORDER BY at_ms, tag, status) AS k FROM a),
+f AS (SELECT source, k, at_ms, able AS due, false AS changed, CASE WHEN able AND ok THEN tag ELSE '' END AS tag, CASE WHEN able THEN at_ms END AS last FROM r WHERE k = 1
+  UNION ALL SELECT source, k, at_ms, due, due AND ok AND f_tag <> '' AND tag <> f_tag, CASE WHEN due AND ok THEN tag ELSE f_tag END, CASE WHEN due THEN at_ms ELSE last END
+  FROM (SELECT r.*, f.tag AS f_tag, f.last, r.able AND (f.last IS NULL OR r.at_ms - f.last >= 1800000) AS due FROM f JOIN r ON r.source = f.source AND r.k = f.k + 1))
+SELECT source, at_ms, due, changed, tag FROM f"""
