@@ -5,6 +5,8 @@ Texts are exploded into lines once; all line rules read that one frame, whose wi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,7 +50,12 @@ def _is_part(x: Column) -> Column:
     return x.rlike(VERSE) | x.rlike(CHORUS)
 
 
-def _file_rules(files: DataFrame) -> DataFrame:
+#: Rules by what they look at.
+FILE_RULES = tuple(r for r in MESSAGES if r in ("lint_filename", "lint_empty", "lint_header", "lint_number_match", "lint_blank_after_header", "lint_no_parts") or r.startswith("lint_meta_") and r.rsplit("_", 1)[1] in ("unclosed", "unopened", "order", "empty", "position"))
+META_RULES = tuple(r for r in MESSAGES if r.startswith("lint_meta_") and r not in FILE_RULES)
+
+
+def _file_rules(files: DataFrame, rules: tuple[str, ...] = FILE_RULES) -> DataFrame:
     """Rules that look at a file as a whole: an array of (line, rule), exploded; no shuffle."""
     rows = files.select("file", "text", lines(F.col("text")).alias("l")).withColumns({"start": F.array_position("l", "@meta").cast("int"), "end": F.array_position("l", "@end").cast("int")})
     rows = rows.withColumn("t", F.transform("l", strip_space))
@@ -64,7 +71,7 @@ def _file_rules(files: DataFrame) -> DataFrame:
 
     def hit(rule: str, line: Column | int, when: Column) -> Column:
         one = F.struct((line if isinstance(line, Column) else F.lit(line)).cast("int").alias("line"), F.lit(rule).alias("rule"))
-        return F.when(F.coalesce(when, F.lit(False)), one)
+        return F.when(F.coalesce(when, F.lit(False)) if rule in rules else F.lit(False), one)
 
     rest = [
         hit("lint_header", 1, ~headed),
@@ -110,8 +117,8 @@ def _meta_rules(every: DataFrame) -> DataFrame:
 
 
 def _label_rules(every: DataFrame) -> DataFrame:
-    after = W.partitionBy("file").orderBy("line").rowsBetween(1, W.unboundedFollowing)
-    following = F.first(F.when(F.col("t") != "", F.col("t")), ignorenulls=True).over(after)
+    after = W.partitionBy("file").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1)  # from the end: one pass
+    following = F.last(F.when(F.col("t") != "", F.col("t")), ignorenulls=True).over(after)
     rows = every.select("file", "line", "t", following.alias("following")).filter(F.col("t").rlike(r"^\([^)]+\)\z"))
     return rows.filter(F.col("following").isNotNull() & ~_is_part(F.col("following"))).select("file", "line", F.lit("lint_variant_label").alias("rule"))
 
@@ -128,14 +135,30 @@ def verse_sequence(files: DataFrame) -> DataFrame:
     return lagged.filter((F.col("n") < F.col("before")) | (F.col("n") > F.col("before") + 1)).select("file", "variant", "label", "n", "before")
 
 
-def lint(files: DataFrame) -> DataFrame:
-    """(file, line, rule, message) of ``files`` (file, text)."""
-    every = _lines(files)
-    blank = every.filter((F.col("raw") != "") & (F.col("t") == "")).select("file", "line", F.lit("lint_ws_only").alias("rule"))
-    order = verse_sequence(_checked(files)).select("file", F.lit(0).alias("line"), F.lit("lint_verse_sequence").alias("rule"))
-    found = _file_rules(files).unionByName(_meta_rules(every)).unionByName(blank).unionByName(order).unionByName(_label_rules(every))
+def lint(files: DataFrame, rules: tuple[str, ...] | None = None) -> DataFrame:
+    """(file, line, rule, message) of ``files`` (file, text); ``rules``: those to look for, all by default.
+
+    Only what the asked rules need is worked out: windows where one of them needs a window.
+    """
+    asked = tuple(MESSAGES) if rules is None else tuple(rules)
+    if unknown := set(asked) - set(MESSAGES):
+        raise ValueError(f"no such rules: {sorted(unknown)}")
+    some = lambda group: tuple(r for r in asked if r in group)
+    every, found = _lines(files), []
+    if some(FILE_RULES):
+        found.append(_file_rules(files, some(FILE_RULES)))
+    if some(META_RULES):
+        found.append(_meta_rules(every).filter(F.col("rule").isin(*some(META_RULES))))
+    if "lint_ws_only" in asked:
+        found.append(every.filter((F.col("raw") != "") & (F.col("t") == "")).select("file", "line", F.lit("lint_ws_only").alias("rule")))
+    if "lint_verse_sequence" in asked:
+        found.append(verse_sequence(_checked(files)).select("file", F.lit(0).alias("line"), F.lit("lint_verse_sequence").alias("rule")))
+    if "lint_variant_label" in asked:
+        found.append(_label_rules(every))
     text = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
-    return found.withColumn("message", text[F.col("rule")])
+    if not found:
+        return _file_rules(files, ()).withColumn("message", text[F.col("rule")])
+    return reduce(DataFrame.unionByName, found).withColumn("message", text[F.col("rule")])
 
 
 def summary(files: DataFrame, violations: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ needs no shuffle but for the parts, which come from exploded lines.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -153,14 +155,33 @@ def _row_findings(versions: DataFrame) -> DataFrame:
     return found.select("file", "v.severity", "v.check", "v.message")
 
 
-def verify(versions: DataFrame) -> DataFrame:
-    """All findings of the files that have both versions."""
+#: Checks by what they look at.
+TEXT_CHECKS = ("case", "punctuation", "punctuation_case", "text", "words", "part_count", "whole_text")
+REPEAT_CHECKS = ("repeat_lost", "repeat_case")
+ROW_CHECKS = ("repeat_count", "chord_count", "chord", "header", "meta_absent", "meta_unclosed", "meta_unopened")
+
+
+def verify(versions: DataFrame, checks: tuple[str, ...] | None = None) -> DataFrame:
+    """All findings of the files that have both versions; ``checks``: those to look for, all by default.
+
+    Only what the asked checks need is worked out.
+    """
+    groups = (TEXT_CHECKS, REPEAT_CHECKS, ROW_CHECKS)
+    asked = sum(groups, ()) if checks is None else tuple(checks)
+    if unknown := set(asked) - set(sum(groups, ())):
+        raise ValueError(f"no such checks: {sorted(unknown)}")
     both = versions.filter(F.col("old_text").isNotNull() & F.col("new_text").isNotNull())
-    repeats = lost_repeats(both)
+    made = {TEXT_CHECKS: _text_findings, REPEAT_CHECKS: _repeat_findings, ROW_CHECKS: _row_findings}
+    found = [made[g](both) for g in groups if set(g) & set(asked)] or [_repeat_findings(both)]
+    every = reduce(DataFrame.unionByName, found)
+    return every if checks is None else every.filter(F.col("check").isin(*asked))
+
+
+def _repeat_findings(versions: DataFrame) -> DataFrame:
+    repeats = lost_repeats(versions)
     check = F.when(F.col("severity") == "error", "repeat_lost").otherwise("repeat_case")
     told = F.when(F.col("severity") == "error", F.lit('repeat lost: "')).otherwise(F.lit('case changed in repeat: "'))
-    lost = repeats.select("file", "severity", check.alias("check"), F.concat(told, F.col("repeat"), F.lit('"')).alias("message"))
-    return _text_findings(both).unionByName(lost).unionByName(_row_findings(both))
+    return repeats.select("file", "severity", check.alias("check"), F.concat(told, F.col("repeat"), F.lit('"')).alias("message"))
 
 
 def skipped(versions: DataFrame) -> DataFrame:

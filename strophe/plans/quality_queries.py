@@ -14,7 +14,7 @@ from strophe.sources import readers
 
 
 def _lint(rule: str):
-    return lambda spark, sf_dir: lint.lint(b.song_files(spark, sf_dir)).filter(F.col("rule") == rule).select("file", "line", "rule")
+    return lambda spark, sf_dir: lint.lint(b.song_files(spark, sf_dir), (rule,)).select("file", "line", "rule")
 
 
 def lint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def lint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_non_empty_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.lint(b.song_files(spark, sf_dir)).filter("rule = 'lint_variant_label'").select("file", "line")
+    return lint.lint(b.song_files(spark, sf_dir), ("lint_variant_label",)).select("file", "line")
 
 
 def verse_sequence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checks(*checks: str):
-    return lambda spark, sf_dir: verify.verify(b.versions(spark, sf_dir)).filter(F.col("check").isin(*checks)).select("file", "severity", "check", "message")
+    return lambda spark, sf_dir: verify.verify(b.versions(spark, sf_dir), checks).select("file", "severity", "check", "message")
 
 
 def verify_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:

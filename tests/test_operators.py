@@ -310,3 +310,22 @@ def test_arrivals(spark, tmp_path):
     arrivals.ingest(arrivals.text_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/headers")).count() == 2
     assert [r["rule"] for r in spark.read.parquet(str(tmp_path / "out/violations")).collect()] == ["lint_filename"]
+
+
+def test_rules_and_checks_alone(spark):
+    """Asked for one by one they give the rows of all together, and only what they need is planned."""
+    texts = files(spark, SONG, "no header\n\n1. x\n3. y\n  \n(а)\nz\n@meta\nmeter:\nfoo: 1\n@end", "", "#4 t\n1. a\n@end\n@meta")
+    row = lambda r: (r["file"], r["line"], r["rule"], r["message"])
+    every = sorted(map(row, lint.lint(texts).collect()))
+    assert sorted(x for rule in lint.MESSAGES for x in map(row, lint.lint(texts, (rule,)).collect())) == every
+    assert sorted(map(row, lint.lint(texts, ("lint_ws_only", "lint_header")).collect())) == [x for x in every if x[2] in ("lint_ws_only", "lint_header")]
+    assert lint.lint(texts, ()).collect() == []
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan(lint.lint(texts)) and "Window" not in plan(lint.lint(texts, ("lint_ws_only",)))
+    v = spark.createDataFrame([("0001.txt", "#1 T\n\n1. One /{A} b /2р.", "#2 T\n\n1. Two {B}")], "file string, old_text string, new_text string")
+    found = lambda df: sorted((r["check"], r["message"]) for r in df.collect())
+    whole = found(verify.verify(v))
+    assert sorted(x for c in (*verify.TEXT_CHECKS, *verify.REPEAT_CHECKS, *verify.ROW_CHECKS) for x in found(verify.verify(v, (c,)))) == whole and len(whole) > 4
+    assert "Window" not in plan(verify.verify(v, ("header",)))
+    with pytest.raises(ValueError, match="no such"):
+        lint.lint(texts, ("lint_x",))
