@@ -91,3 +91,14 @@ def test_stages_edges(spark):
 
 def test_registered():
     assert len(queries.QUERIES) == 10 and all(n.startswith("op") for n in queries.QUERIES)
+
+
+def test_quality_stage_drops_rows(spark):
+    """On a table with enough labels the stage keeps what a plain walk scores 0.5 or more, and drops the rest."""
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    forest = boosting.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, data).select("doc_id").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    assert kept == {i for i, t in texts.items() if walk(forest, boosting.statistics(t)) >= 0.5}
+    assert 0 < len(kept) < len(texts)
