@@ -59,16 +59,23 @@ def prepared(queries: DataFrame) -> DataFrame:
     return rows.filter(F.length("q") >= MIN_QUERY).select("query_id", "q", F.replace("q", F.lit(" "), F.lit("")).alias("needle"))
 
 
+def listed(wanted: DataFrame, key: str) -> tuple[list | None, bool]:
+    """The different values of ``key`` in the written ``wanted`` if they are few, and whether its rows are few enough to broadcast."""
+    rows = wanted.select(key).limit(LISTED + 1).collect()
+    if len(rows) <= LISTED:
+        return list({r[0] for r in rows}), True
+    some = [r[0] for r in wanted.select(key).distinct().limit(LISTED + 1).collect()]
+    return some if len(some) <= LISTED else None, wanted.limit(SMALL + 1).count() <= SMALL
+
+
 def met(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """``table`` joined with the written ``wanted`` on ``key``.
 
     Few different keys become a filter of the scan, few rows a broadcast of counted size; more are joined by
     a shuffle.
     """
-    some = [r[0] for r in wanted.select(key).distinct().limit(LISTED + 1).collect()]
-    if len(some) <= LISTED:
-        table = table.filter(F.col(key).isin(some))
-    return table.join(F.broadcast(wanted) if wanted.limit(SMALL + 1).count() <= SMALL else wanted, key)
+    some, small = listed(wanted, key)
+    return (table if some is None else table.filter(F.col(key).isin(some))).join(F.broadcast(wanted) if small else wanted, key)
 
 
 def exact_hits(asked: DataFrame, ix: Indexes) -> DataFrame:
@@ -78,11 +85,8 @@ def exact_hits(asked: DataFrame, ix: Indexes) -> DataFrame:
     """
     needles = asked.select("needle").distinct()
     picks = materialize(grams.picked(needles, ix.dictionary), "picked-grams")
-    index = ix.grams
-    some = [r["gram"] for r in picks.select("gram").distinct().limit(LISTED + 1).collect()]
-    if len(some) <= LISTED:
-        index = index.filter(F.col("gram").isin(some))
-    small = picks.limit(SMALL + 1).count() <= SMALL
+    some, small = listed(picks, "gram")
+    index = ix.grams if some is None else ix.grams.filter(F.col("gram").isin(some))
     found = materialize(grams.candidates(index, F.broadcast(picks) if small else picks), "candidates")
     scored = met(ix.exact, found, "row").withColumn("score", exact_score(F.col("needle"))).filter("score is not null")
     hits = scored.select("needle", "n", F.col("variantIndex").cast("int").alias("variantIndex"), "score", "title")
@@ -105,8 +109,9 @@ def matched(terms: DataFrame, ix: Indexes, fuzzy: int = FUZZY, transposed: bool
     need = terms.filter("not last").select("query_id", "term", F.lit(True).alias("required"))
     lasts = terms.filter("last").select("query_id", F.col("term").alias("word"))
     keys = materialize(edits.keys_of(lasts.select("word").distinct(), fuzzy, transposed), "remainders")
-    some = [r[0] for r in keys.select("key").distinct().limit(LISTED + 1).collect()]
-    index = ix.neighbourhoods.filter(F.col("key").isin(some)) if len(some) <= LISTED else ix.neighbourhoods
+    some, small = listed(keys, "key")
+    index = ix.neighbourhoods if some is None else ix.neighbourhoods.filter(F.col("key").isin(some))
+    keys = F.broadcast(keys) if small else keys
     near = lasts.join(edits.near_terms(index, keys, fuzzy, transposed), "word").select("query_id", "term", F.lit(False).alias("required"))
     wanted = need.unionByName(near).groupBy("query_id", "term").agg(F.max("required").alias("required"))
     return met(ix.vocabulary, materialize(wanted, "wanted-terms"), "term")
