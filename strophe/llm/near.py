@@ -1,7 +1,10 @@
-"""Near copies by word shingles: banded minima for candidates, exact Jaccard similarity for links.
+"""Near copies by word shingles: SimHash and banded minima for candidates, exact Jaccard similarity for links.
 
 A text is the set of its hashed runs of ``words`` words (parted by ASCII white space, A-Z lower-cased).
-Texts with the same set collapse first. ``bands`` keys of ``rows`` minima each name the candidates: a
+Texts with the same set collapse first. The majority bits of its runs, repeats included, are its SimHash
+fingerprint; pigeonhole blocks and the Hamming check of ``simhash.links`` name as candidates what differs in
+at most ``max_distance`` bits. Texts of similarity 0.8 differ in about ten bits, which blocks of 64 bits
+cannot reach: what lies beyond is found by minima. ``bands`` keys of ``rows`` minima each name the candidates: a
 pair of similarity s shares no key with probability (1 - s ** rows) ** bands, 0.00007 at 0.8.
 
 Inside a bucket every member is compared with the smallest one; only buckets whose members still lie in
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from strophe.llm import simhash
 from strophe.llm.common import materialize
 from strophe.llm.graph import components
+from strophe.llm.tokens import release
 
 PART = 1 << 13
 CHUNK = 512
@@ -36,8 +40,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct hashes of the runs of ``words`` words of one text."""
+def every_run(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the runs of ``words`` words of one text, repeats included."""
     import xxhash
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower: A-Z alone
@@ -47,7 +51,12 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     runs = np.zeros(len(parts) - words + 1, np.uint64)
     for k in range(words):
         runs = _mixed(runs + each[k : len(parts) - words + 1 + k])
-    return np.unique(runs)
+    return runs
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct hashes of the runs of ``words`` words of one text."""
+    return np.unique(every_run(text, words))
 
 
 def _keys(own: np.ndarray, flips: np.ndarray, factors: np.ndarray, bands: int) -> np.ndarray:
@@ -62,18 +71,23 @@ def _keys(own: np.ndarray, flips: np.ndarray, factors: np.ndarray, bands: int) -
 
 
 def described(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, own, keys): a row for each row of ``docs``; ``own`` stands for its set."""
+    """(doc_id, own, fp, keys): a row for each row of ``docs``; ``own`` stands for its set, ``fp`` is its fingerprint."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(5)
         flips, factors = (rng.integers(0, 2**64, bands * rows, np.uint64) for _ in range(2))
         factors |= np.uint64(1)
         for b in batches:
-            sets = [shingles(t if isinstance(t, str) else None, words) for t in b["text"]]
-            keys = [_keys(s, flips, factors, bands) for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "own": [_named(s) for s in sets], "keys": keys})
+            own, fp, keys = [], [], []
+            for t in b["text"]:
+                runs = every_run(t if isinstance(t, str) else None, words)
+                fp.append(simhash.majority(runs))
+                own.append(_named(runs := np.unique(runs)))
+                keys.append(_keys(runs, flips, factors, bands))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "own": own, "fp": fp, "keys": keys})
+        release()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(each, "doc_id long, own long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(each, "doc_id long, own long, fp long, keys array<long>")
 
 
 def _named(own: np.ndarray) -> int:
@@ -89,6 +103,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         for b in batches:
             sets = [shingles(t if isinstance(t, str) else None, words) for t in b["text"]]
             yield pd.DataFrame({"own": [_named(s) for s in sets], "runs": [s.view(np.int64) for s in sets]})
+        release()
 
     return docs.select(F.col("text").cast("string")).mapInPandas(each, "own long, runs array<long>")
 
@@ -125,7 +140,15 @@ def _bucket_links(similarity: float):
     return each
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
+def _simhash_pairs(every: DataFrame, max_distance: int) -> DataFrame:
+    """(u, v) names of sets: a spanning set of the pairs whose fingerprints differ in at most ``max_distance`` bits."""
+    prints = every.select("fp", "own").distinct()
+    fps = materialize(prints.groupBy("fp").agg(F.min("own").alias("node")), "fps")
+    equal = prints.join(fps, "fp").filter("own != node").select(F.col("node").alias("u"), F.col("own").alias("v"))
+    return materialize(simhash.links(fps, fps.count(), max_distance).unionByName(equal), "simhash-pairs")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5, max_distance: int = 4) -> DataFrame:
     """(doc_id, component_id): a row for each row of ``docs`` with a doc_id.
 
     ``component_id`` is the smallest doc_id that can be reached over texts of which each has a Jaccard
@@ -136,9 +159,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     keyed = names.select("own", "node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("own").alias("first"), F.count("*").alias("n")).filter("n > 1")
     members = materialize(keyed.join(shared, "key"), "bucket-members")
-    close = members.filter("own != first").select(F.col("first").alias("u"), F.col("own").alias("v")).distinct()
-    # the sets of bucket members alone, worked out from their texts again
-    wanted = members.select(F.col("node").alias("_node")).distinct()
+    alike = _simhash_pairs(every, max_distance)
+    close = members.filter("own != first").select(F.col("first").alias("u"), F.col("own").alias("v")).union(alike).distinct()
+    # the sets of candidates alone, worked out from their texts again
+    paired = alike.select(F.explode(F.array("u", "v")).alias("own")).distinct()
+    wanted = members.select("node").union(names.join(paired, "own", "left_semi").select("node")).select(F.col("node").alias("_node")).distinct()
     texts = docs.join(wanted, docs["doc_id"].cast("long") == wanted["_node"], "left_semi")
     sets = materialize(_sets(texts, words).dropDuplicates(["own"]), "bucket-sets")
     one, other = (sets.select(F.col("own").alias(k), F.col("runs").alias(f"{k}_runs")) for k in "uv")

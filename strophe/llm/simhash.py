@@ -33,6 +33,13 @@ from strophe.llm.graph import components
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of 64-bit hashes: the bits that over half of them hold."""
+    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ BITS for k in range(8)])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, words: int) -> int:
     """Signed 64-bit fingerprint of one text; words are parted by ASCII white space."""
     import xxhash
@@ -48,9 +55,7 @@ def fingerprint(text: str | None, words: int) -> int:
         ends = np.cumsum(lengths + 1) - 1
         begin, end = (ends - lengths)[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist()
         hashes = np.fromiter((h(joined[a:b], 42) for a, b in zip(begin, end, strict=True)), np.uint64, len(begin))
-    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ BITS for k in range(8)])
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:

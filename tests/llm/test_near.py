@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from strophe.llm import near
+from strophe.llm import near, simhash
 
 DATA = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -70,3 +70,18 @@ def test_chunks_of_a_large_bucket(spark, monkeypatch):
     rows = [(k, " ".join(words[k % 30 : k % 30 + 60 + rng.randint(0, 4)])) for k in range(90)]
     got = near.near_copies(spark.createDataFrame(rows, SCHEMA), bands=40, rows=1)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute(rows)
+
+
+def test_simhash_names_candidates(spark):
+    """Without any key in common, texts within 4 bits are candidates; the exact check still decides."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    base = [rng.choice(words) for _ in range(600)]
+    lines = [" ".join(base), " ".join(base[:-3] + ["other"] * 3), " ".join(rng.choice(words) for _ in range(600))]
+    # the run that repeats gives both the same fingerprint, and their sets have that run alone in common
+    same = ["b " * 500 + " ".join(rng.choice(words) for _ in range(20)) for _ in range(2)]
+    rows = list(enumerate(lines + same))
+    fps = [simhash.majority(near.every_run(t, 5)) for _, t in rows]
+    assert fps[0] != fps[1] and ((fps[0] ^ fps[1]) % 2**64).bit_count() <= 4 and fps[3] == fps[4]
+    got = near.near_copies(spark.createDataFrame(rows, SCHEMA), bands=1, rows=1000)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute(rows) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
