@@ -2,8 +2,8 @@
 
 Every vector is projected on ``projections`` random directions; each direction has one sorted array.
 A query opens a window around its own projection in each array (query-centred buckets), and all windows
-are widened together, round by round, by a factor (virtual rehashing: no table is built again); a round
-counts only what it lets in. A
+are widened together, round by round, by a factor (virtual rehashing: no table is built again); a window is
+two places of its array, and a vector has collided if its own place lies between them. A
 vector that falls into at least ``threshold`` of the windows is a candidate and is verified with its
 exact score. A query's search ends once ``share`` of the shard's vectors plus five times ``k`` have been verified,
 or once the k best lie within the approximation radius; if neither happens, the windows end up covering
@@ -50,16 +50,19 @@ def search_cell(
     lift = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
     data = (np.c_[vectors, lift] @ axes).T
     order = np.argsort(data, axis=1, kind="stable")
-    arrays, flat = np.take_along_axis(data, order, axis=1), order.ravel()
+    arrays, small = np.take_along_axis(data, order, axis=1), np.uint16 if n < 1 << 16 else np.uint32
+    places = np.empty(order.shape, small)  # of each vector in each array
+    np.put_along_axis(places, order, np.arange(n, dtype=small)[None], axis=1)
+    tally = np.uint8 if projections < 256 else np.int64
     norms = np.linalg.norm(queries, axis=1, keepdims=True)
     centres = (queries / norms * longest) @ axes[:-1]
     need, budget = int(np.ceil(threshold * projections)), share * n + 5 * k
-    first, row = max(float(arrays.std()), 1e-9) * 0.8, np.arange(projections) * n
+    first = max(float(arrays.std()), 1e-9) * 0.8
     name = np.unique(ids, return_inverse=True)[1]
     several = name.max(initial=0) + 1 < n
 
     def place(at: np.ndarray, side: str) -> np.ndarray:
-        return np.stack([np.searchsorted(a, c, side) for a, c in zip(arrays, at.T, strict=True)], 1) + row
+        return np.stack([np.searchsorted(a, c, side) for a, c in zip(arrays, at.T, strict=True)], 1)
 
     def kth(done: np.ndarray, scores: np.ndarray) -> float | None:
         """The k-th best score of different ids so far."""
@@ -70,26 +73,25 @@ def search_cell(
             best = each[each > -np.inf]
         return float(np.partition(best, len(best) - k)[len(best) - k]) if len(best) >= k else None
 
-    middle = place(centres, "left")
+    past, inside = np.empty_like(places), np.empty(places.shape, bool)
     windows: list[tuple[np.ndarray, np.ndarray]] = []  # both ends of every window, a pair for each round
     out_q, out_v, out_s = [], [], []
     for q in range(len(queries)):
-        done, scores, counts = np.zeros(n, bool), np.full(n, -np.inf), np.zeros(n, np.int64)
+        done, scores = np.zeros(n, bool), np.full(n, -np.inf)
         mine = ids == query_ids[q]
         others, radius, step = n - int(mine.sum()), first, 0
-        low = high = middle[q]
         while True:
             if step == len(windows):
                 windows.append((place(centres - radius, "left"), place(centres + radius, "right")))
             begin, end = (side[q] for side in windows[step])
-            # only what this round lets in is counted
-            at, size = np.r_[begin, high], np.r_[low - begin, end - high]
-            low, high, done_before = begin, end, np.cumsum(size) - size
-            counts += np.bincount(flat[np.repeat(at - done_before, size) + np.arange(int(size.sum()))], minlength=n)
+            # places before the window wrap around to large ones
+            np.subtract(places, begin.astype(small)[:, None], out=past)
+            np.less(past, (end - begin).astype(small)[:, None], out=inside)
+            counts = inside.view(np.uint8).sum(axis=0, dtype=tally)
             new = np.flatnonzero((counts >= need) & ~done & ~mine)
             if len(new):
                 done[new] = True
-                scores[new] = np.einsum("ij,j->i", vectors[new], queries[q])
+                scores[new] = np.einsum("ij,j->i", np.take(vectors, new, axis=0, mode="clip"), queries[q])
             if int(done.sum()) >= min(budget, others):
                 break
             worst = kth(done, scores)
@@ -97,6 +99,9 @@ def search_cell(
                 break
             radius, step = radius * growth, step + 1
         at = np.flatnonzero(done)
+        if not several and len(at) > k:  # all that are level with the k-th best; only these are put in order
+            best = scores[at]
+            at = at[best >= np.partition(best, len(at) - k)[len(at) - k]]
         at = at[np.lexsort((ids[at], -scores[at]))]
         at = at[np.sort(np.unique(ids[at], return_index=True)[1])][:k]
         out_q.append(np.full(len(at), q))
