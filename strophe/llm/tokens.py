@@ -151,8 +151,8 @@ def release() -> None:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, kind: str) -> Encoder:
-    """One encoder per worker process, reused by its later tasks."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, kind)
-    return _encoders[path, kind]
+def encoder(path: str, kind: str, limit: int = 48 << 20) -> Encoder:
+    """One encoder per worker process, reused by its later tasks; ``limit`` as in ``Encoder``."""
+    if (path, kind, limit) not in _encoders:
+        _encoders[path, kind, limit] = Encoder(path, kind, limit)
+    return _encoders[path, kind, limit]

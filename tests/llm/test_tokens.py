@@ -97,3 +97,18 @@ def test_packing_edges(spark):
     got = packing.pack(packing.pieces(df, WORDS, "words", 1)).toPandas()
     assert got["length"].sum() == 3 + 20_001 and (got["length"] <= 4096).all()
     assert packing.pack(packing.pieces(df.limit(0), WORDS, "words", 1)).count() == 0
+
+
+def test_many_words_are_encoded_once(monkeypatch):
+    """The workers of the token files hold the pieces of 160,000 words until they come again."""
+    monkeypatch.setattr(tokens, "_encoders", {})
+    made, seen = tokens.encoder(BYTES, "bytes", vbyte.CACHE), []
+    piece = made.pieces.make
+    made.pieces.make = lambda x: seen.append(x) or piece(x)
+    rng = random.Random(9)
+    words = list({"".join(rng.choices("abcdefghij", k=9)) for _ in range(160_000)})
+    text = " ".join(["start", *words])
+    first = made.ids(text)
+    count = len(seen)
+    assert made.ids(text).tolist() == first.tolist()
+    assert len(seen) == count == len(words) + 2  # the first one without a blank too
