@@ -24,12 +24,17 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile("[\t\n\r -~¡-©«-±´¶-¸»¿-ÿ]*")
 SPACED = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+#: What mostly follows a word, always a piece of its own after a letter.
+ENDINGS = frozenset(".,;:!?")
 #: A run of white space that goes on beyond a blank, so that a piece could cross it.
 CROSSING = re.compile(r"\s \s|\s \Z")
 #: The letter that byte-level vocabularies write for each byte: its own where that can be seen.
 SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 LETTER = {b: b for b in SEEN} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - SEEN))}
+BLANK = chr(LETTER[32])
 CACHED_CHARS = 32
+#: Words of a slice whose ids are gathered in one step.
+GATHERED = 1 << 17
 #: Bytes of a dict's entry, its key and its value beside their characters.
 ENTRY = 190
 
@@ -65,23 +70,28 @@ class Encoder:
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.pieces = _Bounded(self.piece, limit * 3 // 4)
-        self.words = _Bounded(self.mixed, limit // 4)  # words of several pieces
+        self.pieces = _Bounded(self.piece, limit)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, piece: str) -> bytes:
         """The library's model alone: a piece of a plain text is neither normalized nor cut any further."""
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(LETTER))
+        if piece.isascii() and piece.isprintable():
+            letters = piece.replace(" ", BLANK)
+        else:
+            letters = piece.encode().decode("latin-1").translate(LETTER)
+        found = self.model.tokenize(letters)
         return array("I", [t.id for t in found]).tobytes()
 
     def mixed(self, word: str) -> bytes:
         """A word of letters and other characters; of a byte-level vocabulary, with the blank before it."""
-        return b"".join(map(self.pieces.__getitem__, WORDS.findall(word))) if self.kind == "words" else self.cut(word)
+        if word[-1:] in ENDINGS and (body := word[:-1]).lstrip(" ").isalpha():
+            return self.pieces[body] + self.pieces[word[-1]]
+        return b"".join([self.pieces[x] for x in WORDS.findall(word)]) if self.kind == "words" else self.cut(word)
 
     def cut(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, SPACED.findall(text)))
+        return b"".join([self.pieces[x] for x in SPACED.findall(text)])
 
     def plain(self, text: str) -> bool:
         """Whether the text may be cut at its blanks."""
@@ -125,19 +135,29 @@ class Encoder:
         lists = pc.ascii_split_whitespace(rows) if lower else pc.split_pattern(rows, " ")
         ends, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
         at = coded.indices.to_numpy().astype(np.int64)
-        pieces, words, blank = self.pieces, self.words, "" if lower else " "
-        held = [pieces[blank + w] if w.isalpha() else words[blank + w] for w in coded.dictionary.to_pylist()]
+        different = coded.dictionary
+        whole = pc.utf8_is_alpha(different).to_numpy(zero_copy_only=False).tolist()
+        if not lower:
+            different = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), different, pa.scalar("", pa.large_string()))
+        pieces, mixed = self.pieces, self.mixed
+        # an array of objects is made at once, a list of them one by one
+        held = [pieces[w] if one else mixed(w) for w, one in zip(different.to_numpy(zero_copy_only=False).tolist(), whole, strict=True)]
         if not lower:  # no blank stands before the first word of a text
             at[ends[:-1]] = len(held) + np.arange(len(texts))
             held += [self.cut(t.split(" ", 1)[0]) for t in texts]
         size = np.fromiter(map(len, held), np.int64, len(held)) // 4
         ids, first = np.frombuffer(b"".join(held), "<u4"), np.cumsum(size) - size
-        each = size[at]
-        done = np.r_[0, np.cumsum(each)]
-        place = np.repeat(first[at] - done[:-1], each)
-        place += np.arange(done[-1])
-        every = ids[place]
-        return [every[a:z] for a, z in zip(done[ends[:-1]].tolist(), done[ends[1:]].tolist(), strict=True)]
+        out = []
+        cuts = np.unique(np.r_[np.searchsorted(ends, np.arange(0, ends[-1], GATHERED)), len(texts)])
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some = at[ends[a] : ends[z]]
+            each = size[some]
+            done = np.r_[0, np.cumsum(each)]
+            place = np.repeat(first[some] - done[:-1], each)
+            place += np.arange(done[-1])
+            every, bounds = ids[place], done[ends[a : z + 1] - ends[a]].tolist()
+            out += [every[i:k] for i, k in zip(bounds[:-1], bounds[1:], strict=True)]
+        return out
 
 
 def release() -> None:

@@ -19,38 +19,51 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.llm.common import fresh_path, materialize
 from strophe.llm.tokens import encoder, release
 
-#: For each control byte, the number of data bytes of its four values.
-LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
+#: For each control byte, the number of data bytes of its four values beyond their first.
+EXTRA = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
 #: Bytes of a worker's caches: invented words are so many that smaller ones are emptied before a word comes again.
-CACHE = 192 << 20
+CACHE = 256 << 20
+#: Characters that are looked up at once: a word costs one look-up in each slice that has it.
+SLICE = 16 << 20
 BLOCK_SCHEMA = "part int, block int, before long, doc_ids array<long>, n_tokens array<long>, control binary, data binary"
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, "<u4")
-    codes = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    codes = (values > 0xFF).astype(np.uint8)
+    codes += values > 0xFFFF
+    codes += values > 0xFFFFFF
     padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     padded[: len(values)] = codes
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    used = np.arange(4) <= codes[:, None]
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    control = padded[::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
+    ends = np.cumsum(codes, dtype=np.int64) + np.arange(1, len(values) + 1)
+    at, octets = ends - codes - 1, values.view(np.uint8).reshape(-1, 4)
+    data = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    data[at] = octets[:, 0]
+    for k in range(1, int(codes.max(initial=0)) + 1):
+        longer = np.flatnonzero(codes >= k)
+        data[at[longer] + k] = octets[longer, k]
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The ``count`` values that ``pack`` was given."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count].astype(np.int64)
+    codes = EXTRA[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
     octets = np.frombuffer(data + b"\0\0\0", np.uint8)
-    at = np.cumsum(lengths) - lengths
+    at = np.cumsum(codes, dtype=np.int64)
+    at += np.arange(count)
+    at -= codes
     values = octets[at].astype(np.uint32)
-    for k in range(1, 4):
-        longer = np.flatnonzero(lengths > k)
+    for k in range(1, int(codes.max(initial=0)) + 1):
+        longer = np.flatnonzero(codes >= k)
         values[longer] |= octets[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return values
 
@@ -78,7 +91,7 @@ def tokenize(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
         encode, end, total = encoder(path, kind, CACHE), np.array([end_id], wide), np.zeros(size, np.int64)
         for b in batches:
             at = 0
-            for part in encode.slices([t if isinstance(t, str) else "" for t in b["text"]]):
+            for part in encode.slices([t if isinstance(t, str) else "" for t in b["text"]], SLICE):
                 total += np.bincount(np.concatenate(part), minlength=size)
                 total[end_id] += len(part)
                 ids = [np.concatenate([x.astype(wide), end]).tobytes() for x in part]
@@ -151,17 +164,19 @@ def read(spark: SparkSession, files: TokenFiles) -> DataFrame:
     ranks = spark.read.schema("rank long, id long").parquet(files.ranks).orderBy("rank").toPandas()
     table = spark.sparkContext.broadcast((first, ranks["id"].to_numpy().astype("<u4")))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, by_rank = table.value
         for b in batches:
-            for part, before, doc_ids, lengths, control, data in zip(*(b[c] for c in ("part", "before", "doc_ids", "n_tokens", "control", "data")), strict=True):
-                lengths = np.asarray(lengths, np.int64)
-                ids = by_rank[unpack(control, data, int(lengths.sum()))].tobytes()
-                ends = np.cumsum(lengths)
-                begin = ends - lengths
-                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in doc_ids], "Int64"), "start": first[part] + before + begin, "n_tokens": lengths, "ids": [ids[4 * a : 4 * z] for a, z in zip(begin.tolist(), ends.tolist(), strict=True)]})
-
-    return blocks.mapInPandas(each, "doc_id long, start long, n_tokens long, ids binary")
+            own = (b.column(c) for c in ("part", "before", "doc_ids", "n_tokens", "control", "data"))
+            for part, before, doc_ids, lengths, control, data in zip(*own, strict=True):
+                lengths = lengths.values.to_numpy()
+                ids = by_rank[unpack(control.as_py(), data.as_py(), int(lengths.sum()))]
+                ends = np.r_[0, np.cumsum(lengths)]
+                rows = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids)])
+                start = pa.array(first[part.as_py()] + before.as_py() + ends[:-1])
+                yield pa.RecordBatch.from_arrays([doc_ids.values, start, pa.array(lengths), rows.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+
+    return blocks.mapInArrow(each, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

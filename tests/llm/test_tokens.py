@@ -112,3 +112,30 @@ def test_many_words_are_encoded_once(monkeypatch):
     count = len(seen)
     assert made.ids(text).tolist() == first.tolist()
     assert len(seen) == count == len(words) + 2  # the first one without a blank too
+
+
+def test_a_worker_s_share_of_invented_words_is_encoded_once(monkeypatch):
+    """A part of the large table has 600,000 pieces, half of which stand in the next part too."""
+    monkeypatch.setattr(tokens, "_encoders", {})
+    made, seen = tokens.encoder(BYTES, "bytes", vbyte.CACHE), [0]
+    piece = made.pieces.make
+
+    def counted(x):
+        seen[0] += 1
+        return piece(x)
+
+    made.pieces.make = counted
+    rng = random.Random(11)
+    words = list({"".join(rng.choices("abcdefghij", k=9)) for _ in range(500_000)})
+    text = " ".join(["start", *words])
+    first = made.ids(text)
+    assert np.array_equal(made.ids(text), first) and seen[0] == len(words) + 2  # the first one without a blank too
+
+
+@pytest.mark.parametrize(("path", "kind"), [(BYTES, "bytes"), (WORDS, "words")])
+def test_ids_gathered_in_groups_of_texts(path, kind, monkeypatch):
+    monkeypatch.setattr(tokens, "GATHERED", 5)
+    rng, ids = random.Random(4), library(path)
+    texts = [" ".join(rng.choices(["word", "Wort,", "été.\nEt", "x1", "", "it's"], k=rng.choice([0, 1, 3, 5, 40]))) for _ in range(300)]
+    for some in (texts, texts[:1], ["", ""], ["a b c d e", "f"]):
+        assert [x.tolist() for x in tokens.Encoder(path, kind).batch(some)] == [ids(t) for t in some]
