@@ -40,6 +40,31 @@ def test_one_search_writes_no_index(spark, tmp_path):
     assert not os.path.exists(own.path)
 
 
+def test_table_of_queries_as_indexed(spark, tmp_path):
+    songs, own = made(spark, tmp_path)
+    queries = [f"{a} {b}".strip() for a in ("the", "gold", "zzzz", "yyyy", "river gold", "zzzz the", "") for b in ("thean", "rivers", "old", "моро")]
+    asked = spark.createDataFrame([(k, q) for k, q in enumerate([*queries, "x", None])] + [(None, "the")], "query_id long, query string")
+    row = lambda df, *more: sorted((r["query_id"], r["n"], r["variantIndex"], round(r["score"], 6), r["title"], r["tier"], *(r[c] for c in more)) for r in df.collect())
+    got, first = row(own.search_all(asked)), row(own.search_all(asked, 3), "rank")
+    assert not os.path.exists(own.path)
+    assert own.indexes and own.exact_indexes  # written: asked from now on
+    assert got == row(own.search_all(asked)) and first == row(own.search_all(asked, 3), "rank")
+    assert {r[0] for r in got} >= set(range(4))
+
+
+def test_same_words_share_their_scores(spark, tmp_path, monkeypatch):
+    """Scores of 40 queries with the same last word and unknown other ones are worked out once."""
+    songs, own = made(spark, tmp_path)
+    asked = spark.createDataFrame([(k, f"zz{k}zz thean") for k in range(40)], "query_id int, query string")
+    written = {}
+    keep = lambda df, name, *a: written.setdefault(name, whole(df, name, *a))
+    whole = scan.materialize
+    monkeypatch.setattr(scan, "materialize", keep)
+    out = own.search_all(asked).collect()
+    assert len({r["query_id"] for r in out}) == 40
+    assert written["matched-terms"].count() == written["answering-terms"].count()
+
+
 def test_near_words_against_distance(spark):
     rng = random.Random(1)
     terms = sorted({"".join(rng.choice("abж𝛼") for _ in range(rng.randint(1, 9))) for _ in range(600)})
@@ -60,7 +85,7 @@ def test_words_as_cleaned(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["search_unified"])
+@pytest.mark.parametrize("name", ["search_unified", "search_all"])
 def test_registered_search_writes_no_index(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(search_queries, "_sessions", {})
     monkeypatch.setattr(search_queries, "fresh_folder", lambda *_: str(tmp_path / "indexes"))
