@@ -40,6 +40,14 @@ def test_one_search_writes_no_index(spark, tmp_path):
     assert not os.path.exists(own.path)
 
 
+def test_filled_limit(spark, tmp_path):
+    songs, own = made(spark, tmp_path)
+    every = [(r["tier"], r["score"]) for r in own.search("the").collect()]
+    assert len(every) > 3 and every[2][0] == 0
+    assert [(r["tier"], r["score"]) for r in own.search("the", 3).collect()] == every[:3]
+    assert not os.path.exists(own.path)
+
+
 def test_table_of_queries_as_indexed(spark, tmp_path):
     songs, own = made(spark, tmp_path)
     queries = [f"{a} {b}".strip() for a in ("the", "gold", "zzzz", "yyyy", "river gold", "zzzz the", "") for b in ("thean", "rivers", "old", "моро")]
@@ -85,7 +93,7 @@ def test_words_as_cleaned(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["search_unified", "search_all"])
+@pytest.mark.parametrize("name", ["search_unified", "search_all", "ui_limit"])
 def test_registered_search_writes_no_index(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(search_queries, "_sessions", {})
     monkeypatch.setattr(search_queries, "fresh_folder", lambda *_: str(tmp_path / "indexes"))
