@@ -93,7 +93,7 @@ def test_words_as_cleaned(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["search_unified", "search_all", "except_exact", "lexical_not_in_exact", "search_fuzzy", "search_lexical", "ui_limit"])
+@pytest.mark.parametrize("name", ["search_unified", "search_all", "search_all_top", "except_exact", "lexical_not_in_exact", "search_fuzzy", "search_lexical", "ui_limit"])
 def test_registered_search_writes_no_index(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(search_queries, "_sessions", {})
     monkeypatch.setattr(search_queries, "fresh_folder", lambda *_: str(tmp_path / "indexes"))
